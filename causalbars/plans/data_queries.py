@@ -94,10 +94,11 @@ UNION SELECT bar_id FROM b JOIN vn USING (series_id, index_ns, volume) WHERE n >
 UNION SELECT bar_id FROM spike
 """
 
-P2_SQL = """
+P2_SQL = r"""
 WITH RECURSIVE one AS (
   SELECT min(experiment_id) AS id, k, max(pk) AS pk FROM (
-    SELECT experiment_id, nullif(upper(trim(experiment_id)), '') AS k, nullif(upper(trim(lineage_parent)), '') AS pk FROM experiments)
+    SELECT experiment_id, nullif(upper(regexp_replace(experiment_id, '^\s+|\s+$', '', 'g')), '') AS k,
+      nullif(upper(regexp_replace(lineage_parent, '^\s+|\s+$', '', 'g')), '') AS pk FROM experiments)
   WHERE k IS NOT NULL GROUP BY k),
 tree AS (SELECT a.id, b.id AS parent FROM one a LEFT JOIN one b ON a.pk = b.k),
 down AS (
