@@ -12,14 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalbars.runtime import cut
 
 BLOCK = 65_536
 BUFFER = 1_000_000  # values a task holds while it builds blocks
-FINISH = 2048
+FINISH = 512
 MAX_ROUNDS = 500
 MAX_BROADCAST_TARGETS = 200_000  # rows of about 50 bytes
 
@@ -96,7 +96,8 @@ def select_ranks(held: DataFrame, keys: list[str], qs: list[float], eps: float =
         if left.isEmpty():
             break
         seen = at_blocks(left, ["t", "lo", "hi", "pivot"]).mapInPandas(_propose, "t bigint, lt bigint, eq bigint, gt bigint, m_lt double, m_gt double")
-        told = seen.groupBy("t").applyInPandas(_weigh, "t bigint, lt bigint, eq bigint, gt bigint, m_lt double, m_gt double")
+        # the weighted median of at most one proposal a partition and side
+        told = seen.groupBy("t").agg(*(F.sum(x).alias(x) for x in ("lt", "eq", "gt")), *(F.percentile(f"m_{x}", 0.5, F.col(x)).alias(f"m_{x}") for x in ("lt", "gt")))
         j = state.join(told, "t", "left")
         first = F.col("pivot").isNull()
         has = F.col("lt").isNotNull()
@@ -119,7 +120,9 @@ def select_ranks(held: DataFrame, keys: list[str], qs: list[float], eps: float =
     near = state.where((F.col("value").isNull()) & F.lit(eps > 0) & (F.col("active") <= F.lit(eps) * F.col("n")) & F.col("pivot").isNotNull())
     rest = state.where("value is null").join(near.select("t"), "t", "left_anti")
     last = at_blocks(rest, ["t", "lo", "hi", "below", "k"]).mapInPandas(_gather, "t bigint, r bigint, v array<double>, w array<bigint>")
-    settled = last.groupBy("t").applyInPandas(_settle, "t bigint, last double")
+    each = last.select("t", "r", F.inline(F.arrays_zip("v", "w")))  # at most FINISH rows a target
+    upto = F.sum("w").over(Window.partitionBy("t").orderBy("v").rangeBetween(Window.unboundedPreceding, 0))
+    settled = each.withColumn("upto", upto).where("upto >= r").groupBy("t").agg(F.min("v").alias("last"))
     out = state.join(settled, "t", "left").select(*(F.col(x).alias(k) for k, x in zip(keys, g)), "q", "n", F.coalesce("value", "last", "pivot").alias("value"))
     return out
 
@@ -166,14 +169,6 @@ def _propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=["t", "lt", "eq", "gt", "m_lt", "m_gt"]).astype({"m_lt": float, "m_gt": float})
 
 
-def _weigh(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-    def mid(m: str, w: str) -> float:
-        x = p[p[w] > 0]
-        return _weighted_median(x[m].to_numpy(), x[w].to_numpy()) if len(x) else float("nan")
-
-    return pd.DataFrame({"t": [key[0]], "lt": [p["lt"].sum()], "eq": [p["eq"].sum()], "gt": [p["gt"].sum()], "m_lt": [mid("m_lt", "lt")], "m_gt": [mid("m_gt", "gt")]})
-
-
 def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
@@ -186,12 +181,6 @@ def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["t", "r", "v", "w"])
 
 
-def _settle(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-    v, w = np.concatenate(p["v"].to_list()), np.concatenate(p["w"].to_list())
-    o = np.argsort(v, kind="stable")
-    return pd.DataFrame({"t": [key[0]], "last": [float(v[o][np.searchsorted(np.cumsum(w[o]), p["r"].iloc[0])])]})
-
-
 def path_values(paths: DataFrame) -> DataFrame:
     """Long form ``symbol, h, event_day, field, value`` of the eligible path rows, each (event_id, h) once."""
     one = paths.where("elig").select("event_id", "symbol", "h", "event_day", "mfe_pts", "mae_pts", "t_mfe").dropDuplicates(["event_id", "h"])
