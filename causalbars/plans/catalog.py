@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from causalbars.plans import data_queries
+from causalbars.plans import data_queries, study_queries
 
-MODULES = [data_queries]
+MODULES = [data_queries, study_queries]
 
 
 def queries() -> dict:
