@@ -166,7 +166,7 @@ def diagnostics(events: DataFrame, bars: DataFrame) -> DataFrame:
     if sigma:
         for k in FIRST_PASSAGE:
             c = F.col("j") < 60
-            agg += [F.min(F.when(c & (F.col("lf") >= F.col("sigma") * k), F.col("j"))).alias(f"u{k}"), F.min(F.when(c & (F.col("la") <= -F.col("sigma") * k), F.col("j"))).alias(f"d{k}")]
+            agg += [F.min(F.when(c & (F.col("lf") >= F.col("sigma") * k), F.col("j"))).alias(f"u{k * 10:.0f}"), F.min(F.when(c & (F.col("la") <= -F.col("sigma") * k), F.col("j"))).alias(f"d{k * 10:.0f}")]
     agg += [F.sum(F.abs("step")).alias("len"), F.abs(F.sum("step")).alias("net"), F.sqrt(F.sum(F.col("step") * F.col("step"))).alias("rv")]
     g = f.groupBy(*_own(e), *(["sigma"] if sigma else []), "p0").agg(*agg)
     whole = lambda n, c: F.when((F.col("last") >= n - 1) & (F.col("event_ns") + F.col("step_ns") * n <= F.col("close_ns")), c)
@@ -175,7 +175,7 @@ def diagnostics(events: DataFrame, bars: DataFrame) -> DataFrame:
         out |= {f"DIAG_MFE_{n}": whole(n, F.col(f"fav{n}")), f"DIAG_MAE_{n}": whole(n, F.col(f"adv{n}")), f"DIAG_TIME_TO_MFE_{n}": whole(n, F.col(f"tf{n}")), f"DIAG_TIME_TO_MAE_{n}": whole(n, F.col(f"ta{n}"))}
     if sigma:
         for k in FIRST_PASSAGE:
-            u, d = F.coalesce(F.col(f"u{k}"), F.lit(9999)), F.coalesce(F.col(f"d{k}"), F.lit(9999))
+            u, d = F.coalesce(F.col(f"u{k * 10:.0f}"), F.lit(9999)), F.coalesce(F.col(f"d{k * 10:.0f}"), F.lit(9999))
             out[f"DIAG_FIRST_PASSAGE_{k}".replace(".", "_")] = whole(60, F.signum(d - u).cast("int"))
     out |= {"DIAG_PATH_LENGTH_60": whole(60, F.col("len")), "DIAG_PATH_EFFICIENCY_60": whole(60, F.col("net") / F.nullif("len", F.lit(0.0))), "DIAG_FWD_RV_60": whole(60, F.col("rv"))}
     return g.select("event_id", *(v.alias(k) for k, v in out.items()))

@@ -1,6 +1,6 @@
 """Queries of the event-study operators over ``bars``, ``study_events`` and the registry tables.
 
-Each query has its counterpart in SQL. Doubles are rounded to nine decimals on both sides, since sums are
+Each query has its counterpart in SQL. Doubles are rounded to ten decimals on both sides, since sums are
 taken in another order."""
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causalbars.operators import crossval, events, features, nested, pathstats, positions, ranks, spikes, stats, targets
-from causalbars.runtime import table
+from causalbars.runtime import cut, table
 from causalbars.sources import bars as bar_source
 
-DIGITS = 9
+DIGITS = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -272,7 +272,7 @@ def _hurst(n: int) -> str:
 FEATURE_SQL = {
     "f1_returns": _feature_sql({f"RET_{n}": _if(n, f"x - {_past('x', n)}") for n in features.RET}),
     "f2_realized_volatility": _feature_sql({f"RV_{n}": _if(n, f"sqrt(sum(r * r) {_w(n)})") for n in features.RV}),
-    "f3_volatility_of_volatility": _feature_sql({f"VOV_{n}": _if(n, f"stddev_pop(tr) {_w(n)}") for n in features.VOV}),
+    "f3_volatility_of_volatility": _feature_sql({f"VOV_{n}": _if(n, f"(stddev_pop(tr) {_w(n)})::FLOAT::DOUBLE") for n in features.VOV}),
     "f4_efficiency_ratio": _feature_sql({f"ER_{n}": _if(n, f"abs(close - {_past('close', n)}) / nullif(sum(dc) {_w(n)}, 0)") for n in features.ER}),
     "f5_brownian_displacement": _feature_sql({f"BROWNIAN_DISP_{n}": _if(n, f"(x - {_past('x', n)}) / nullif(sqrt(sum(r * r) {_w(n)}), 0)") for n in features.BROWNIAN}),
     "f6_variance_ratio": _feature_sql({f"VR_{n}_{q}": _if(n - 1, f"v{q}_{n} / nullif({q} * v1_{n}, 0)") for n in features.VR_WINDOWS for q in features.VR_Q}, _VR_EXTRA, "v1"),
@@ -281,16 +281,16 @@ FEATURE_SQL = {
     "f9_body_balance": _feature_sql({f"BODY_BALANCE_{n}": _if(n - 1, f"sum(close - open) {_w(n)} / nullif(sum(abs(close - open)) {_w(n)}, 0)") for n in features.BALANCE}),
     "f10_range_position": _feature_sql({f"RANGE_POS_{n}": _if(n - 1, f"CASE WHEN max(high) {_w(n)} > min(low) {_w(n)} THEN (close - min(low) {_w(n)}) / (max(high) {_w(n)} - min(low) {_w(n)}) ELSE 0.5 END") for n in features.RANGE}),
     "f11_signed_volume": _feature_sql({f"SIGNED_VOLUME_{n}": _if(n - 1, f"sum(sg * volume) {_w(n)} / nullif(sum(volume) {_w(n)}, 0)") for n in features.VOLUME}),
-    "f12_minutes_since_open": sql("SELECT event_id, pos_t + 1 AS completed_bars, round(epoch(l - l::DATE) / 60 - rth_from, 9) + 0.0 AS \"minutes_since_RTH_open\" FROM (SELECT *, date_trunc('second', make_timestamptz(event_ns // 1000) AT TIME ZONE tz) AS l FROM ev)"),
-    "f13_session_phase": sql("""SELECT event_id, pos_t + 1 AS completed_bars, round(sin(2 * pi() * m / rth_minutes), 9) + 0.0 AS "sin_RTH_phase", round(cos(2 * pi() * m / rth_minutes), 9) + 0.0 AS "cos_RTH_phase"
+    "f12_minutes_since_open": sql("SELECT event_id, pos_t + 1 AS completed_bars, round(epoch(l - l::DATE) / 60 - rth_from, 10) + 0.0 AS \"minutes_since_RTH_open\" FROM (SELECT *, date_trunc('second', make_timestamptz(event_ns // 1000) AT TIME ZONE tz) AS l FROM ev)"),
+    "f13_session_phase": sql("""SELECT event_id, pos_t + 1 AS completed_bars, round(sin(2 * pi() * m / rth_minutes), 10) + 0.0 AS "sin_RTH_phase", round(cos(2 * pi() * m / rth_minutes), 10) + 0.0 AS "cos_RTH_phase"
 FROM (SELECT *, epoch(l - l::DATE) / 60 - rth_from AS m FROM (SELECT *, date_trunc('second', make_timestamptz(event_ns // 1000) AT TIME ZONE tz) AS l FROM ev))"""),
     "f14_return_from_open": sql(""", s AS (SELECT *, make_timestamptz(ts // 1000) AT TIME ZONE tz AS l FROM cb),
 g AS (SELECT series_id, pos, close, first_value(CASE WHEN extract(hour FROM l) * 60 + extract(minute FROM l) >= rth_from AND extract(hour FROM l) * 60 + extract(minute FROM l) < rth_to THEN open END IGNORE NULLS)
   OVER (PARTITION BY series_id, l::DATE ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS px FROM s)
-SELECT event_id, pos_t + 1 AS completed_bars, round(ln(close / px), 9) + 0.0 AS "RTH_return_from_open" FROM ev LEFT JOIN g ON ev.series_id = g.series_id AND ev.pos_t = g.pos"""),
+SELECT event_id, pos_t + 1 AS completed_bars, round(ln(close / px), 10) + 0.0 AS "RTH_return_from_open" FROM ev LEFT JOIN g ON ev.series_id = g.series_id AND ev.pos_t = g.pos"""),
     "f15_vwap_distance": sql(""", s AS (SELECT *, l::DATE + CASE WHEN extract(hour FROM l) * 60 + extract(minute FROM l) >= eth_from THEN 1 ELSE 0 END AS sess FROM (SELECT *, make_timestamptz(ts // 1000) AT TIME ZONE tz AS l FROM cb)),
 g AS (SELECT series_id, pos, close, sum((high + low + close) / 3 * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vwap FROM s WINDOW w AS (PARTITION BY series_id, sess ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT event_id, pos_t + 1 AS completed_bars, round(close / vwap - 1, 9) + 0.0 AS "distance_from_causal_session_VWAP" FROM ev LEFT JOIN g ON ev.series_id = g.series_id AND ev.pos_t = g.pos"""),
+SELECT event_id, pos_t + 1 AS completed_bars, round(close / vwap - 1, 10) + 0.0 AS "distance_from_causal_session_VWAP" FROM ev LEFT JOIN g ON ev.series_id = g.series_id AND ev.pos_t = g.pos"""),
     "f16_day_of_week": sql("SELECT event_id, pos_t + 1 AS completed_bars, (isodow(make_timestamptz(event_ns // 1000) AT TIME ZONE tz) - 1)::DOUBLE AS day_of_week FROM ev"),
 }
 
@@ -298,7 +298,10 @@ SELECT event_id, pos_t + 1 AS completed_bars, round(close / vwap - 1, 9) + 0.0 A
 def _family(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         b = placed_bars(spark, d)
-        return features.compute_features(located(spark, d, b), b, features.FAMILIES[name])
+        f = features.compute_features(located(spark, d, b), b, features.FAMILIES[name])
+        if name == "f3_volatility_of_volatility":  # of prices, some absurd: seven digits rather than nine decimals
+            f = f.withColumns({c: F.col(c).cast("float").cast("double") for c in features.FAMILIES[name]})
+        return f
 
     run.__name__ = name
     query(FEATURE_SQL[name])(run)
@@ -321,7 +324,7 @@ def flt11_feature_quality(spark, d):
 
 
 # ---------------------------------------------------------------- targets
-_H = "greatest(least({n}, (close_ns - event_ns) // step_ns), 1)"
+_H = "greatest(least({n}, (close_ns - event_ns) // el.step_ns), 1)"
 TARGET_BASE = BASE + ", tg AS (" + " UNION ALL ".join(
     f"SELECT event_id, 'DIR_RETURN_{n}' AS target_name, b0.ts AS target_start_ns, b1.ts + el.step_ns AS target_end_ns, direction * ln(b1.close / b0.open) AS value, {_H.format(n=n)} AS horizon_bars_effective, {_H.format(n=n)} < {n} AS truncated, b1.ts + el.step_ns > close_ns AS crosses_session "
     f"FROM el JOIN cb b0 ON el.series_id = b0.series_id AND b0.pos = pos_fwd JOIN cb b1 ON el.series_id = b1.series_id AND b1.pos = pos_fwd + {_H.format(n=n)} - 1"
@@ -337,7 +340,7 @@ def _targets(spark, d, b=None):
     return targets.primary_targets(eligible(spark, d, b), b)
 
 
-@query(TARGET_BASE + "SELECT event_id, target_name, target_start_ns, target_end_ns, target_end_ns AS effective_target_end_ns, round(value, 9) + 0.0 AS value, horizon_bars_effective, truncated, crosses_session FROM tg")
+@query(TARGET_BASE + "SELECT event_id, target_name, target_start_ns, target_end_ns, target_end_ns AS effective_target_end_ns, round(value, 10) + 0.0 AS value, horizon_bars_effective, truncated, crosses_session FROM tg")
 def tg3_tg4_primary_targets(spark, d):
     return _targets(spark, d)
 
@@ -378,7 +381,7 @@ fs AS (SELECT *, CASE WHEN j < 60 THEN ln(close / coalesce(pc, p0)) END AS st FR
 
 def _whole(n: int, e: str, digits: bool = True) -> str:
     x = f"CASE WHEN max(j) >= {n - 1} AND any_value(event_ns) + any_value(step_ns) * {n} <= any_value(close_ns) THEN {e} END"
-    return f"round({x}, 9) + 0.0" if digits else x
+    return f"round({x}, 10) + 0.0" if digits else x
 
 
 _DIAG = {f"DIAG_RET_{n}": _whole(n, f"any_value(direction) * ln(max(close) FILTER (WHERE j = {n - 1}) / any_value(p0))") for n in targets.DIAG_RETURNS}
@@ -419,13 +422,13 @@ PATH_BASE = DIAG_BASE + f", pa AS (SELECT event_id, any_value(direction) AS dire
 ) + "),\npx AS (SELECT pl.*, ce.experiment_id, dim.symbol, year(make_timestamp(pl.event_ns // 1000)) AS year, direction_ * ln(close_h / p0) AS dir_log FROM (SELECT *, direction AS direction_ FROM pl) pl JOIN (SELECT event_id, experiment_id, series_id FROM ce) ce USING (event_id) JOIN dim USING (series_id))\n"
 
 
-@query(PATH_BASE + "SELECT event_id, h, elig, close_h, round(mfe, 9) + 0.0 AS mfe_pts, round(mae, 9) + 0.0 AS mae_pts, t_mfe, t_mae FROM pl")
+@query(PATH_BASE + "SELECT event_id, h, elig, close_h, round(mfe, 10) + 0.0 AS mfe_pts, round(mae, 10) + 0.0 AS mae_pts, t_mfe, t_mae FROM pl")
 def pd1_path_engine(spark, d):
     b = placed_bars(spark, d)
     return targets.path_rows(targets.paths(eligible(spark, d, b), b))
 
 
-@query(PATH_BASE + "SELECT event_id, round(sigma, 9) + 0.0 AS sigma, " + ", ".join(f'"t_fav_{k}"::INT AS t_fav_{str(k).replace(".", "_")}, "t_adv_{k}"::INT AS t_adv_{str(k).replace(".", "_")}' for k in targets.LEVELS) + " FROM pa")
+@query(PATH_BASE + "SELECT event_id, round(sigma, 10) + 0.0 AS sigma, " + ", ".join(f'"t_fav_{k}"::INT AS t_fav_{str(k).replace(".", "_")}, "t_adv_{k}"::INT AS t_adv_{str(k).replace(".", "_")}' for k in targets.LEVELS) + " FROM pa")
 def pd2_pd4_barrier_touches(spark, d):
     p = _paths(spark, d)
     return p.select("event_id", "sigma", *(F.col(f"`t_{s}_{k}`").alias(f"t_{s}_{str(k).replace('.', '_')}") for k in targets.LEVELS for s in ("fav", "adv")))
@@ -436,14 +439,14 @@ _Q = "quantile_cont({c}, {q})"
 
 
 def _qs(c: str, qs: list[float], name: str) -> str:
-    return ", ".join(f"round(quantile_cont({c}, {q}), 9) + 0.0 AS {name}_p{round(q * 100)}" for q in qs)
+    return ", ".join(f"round(quantile_cont({c}, {q}), 10) + 0.0 AS {name}_p{round(q * 100)}" for q in qs)
 
 
-@query(PATH_BASE + f"""SELECT symbol, h, count(*) AS n, round(avg(dir_log), 9) + 0.0 AS dir_log_mean, {_qs('dir_log', [0.05, 0.25, 0.5, 0.75, 0.95], 'dir_log')}, round(stddev_samp(dir_log), 9) + 0.0 AS dir_log_std,
- round({_RATE.format(c='dir_log > 0')}, 9) AS continuation, round({_RATE.format(c='dir_log < 0')}, 9) AS reversal, round({_RATE.format(c='dir_log = 0')}, 9) AS flat,
- round(avg(mfe), 9) + 0.0 AS mfe_mean, {_qs('mfe', [0.5, 0.75, 0.95], 'mfe')}, round(avg(-mae), 9) + 0.0 AS abs_mae_mean, {_qs('-mae', [0.5, 0.75, 0.95], 'abs_mae')},
- round(avg(mfe + mae), 9) + 0.0 AS dominance_mean, {_qs('mfe + mae', [0.25, 0.5, 0.75], 'dominance')}, round({_RATE.format(c='mfe + mae > 0')}, 9) AS dominance_gt_0,
- round(avg(t_mfe), 9) + 0.0 AS t_mfe_mean, {_qs('t_mfe', [0.5, 0.75, 0.95], 't_mfe')}, round(avg(t_mae), 9) + 0.0 AS t_mae_mean, round({_RATE.format(c='t_mfe < t_mae')}, 9) AS mfe_first, round({_RATE.format(c='t_mae < t_mfe')}, 9) AS mae_first
+@query(PATH_BASE + f"""SELECT symbol, h, count(*) AS n, round(avg(dir_log), 10) + 0.0 AS dir_log_mean, {_qs('dir_log', [0.05, 0.25, 0.5, 0.75, 0.95], 'dir_log')}, round(stddev_samp(dir_log), 10) + 0.0 AS dir_log_std,
+ round({_RATE.format(c='dir_log > 0')}, 10) AS continuation, round({_RATE.format(c='dir_log < 0')}, 10) AS reversal, round({_RATE.format(c='dir_log = 0')}, 10) AS flat,
+ round(avg(mfe), 10) + 0.0 AS mfe_mean, {_qs('mfe', [0.5, 0.75, 0.95], 'mfe')}, round(avg(-mae), 10) + 0.0 AS abs_mae_mean, {_qs('-mae', [0.5, 0.75, 0.95], 'abs_mae')},
+ round(avg(mfe + mae), 10) + 0.0 AS dominance_mean, {_qs('mfe + mae', [0.25, 0.5, 0.75], 'dominance')}, round({_RATE.format(c='mfe + mae > 0')}, 10) AS dominance_gt_0,
+ round(avg(t_mfe), 10) + 0.0 AS t_mfe_mean, {_qs('t_mfe', [0.5, 0.75, 0.95], 't_mfe')}, round(avg(t_mae), 10) + 0.0 AS t_mae_mean, round({_RATE.format(c='t_mfe < t_mae')}, 10) AS mfe_first, round({_RATE.format(c='t_mae < t_mfe')}, 10) AS mae_first
 FROM px WHERE elig GROUP BY 1, 2""")
 def pd7_excursion_summary(spark, d):
     return pathstats.excursion_summary(_paths(spark, d), ["symbol"])
@@ -452,7 +455,7 @@ def pd7_excursion_summary(spark, d):
 _LOGF = "CASE WHEN direction > 0 THEN ln((p0 + {m}) / p0) ELSE -ln((p0 - {m}) / p0) END / sigma"
 
 
-@query(PATH_BASE + f"""SELECT symbol, h, count(*) AS n, round(avg(f), 9) + 0.0 AS mfe_sigma_mean, {_qs('f', [0.5, 0.95], 'mfe_sigma')}, round(avg(a), 9) + 0.0 AS mae_sigma_mean, {_qs('a', [0.5, 0.95], 'mae_sigma')}
+@query(PATH_BASE + f"""SELECT symbol, h, count(*) AS n, round(avg(f), 10) + 0.0 AS mfe_sigma_mean, {_qs('f', [0.5, 0.95], 'mfe_sigma')}, round(avg(a), 10) + 0.0 AS mae_sigma_mean, {_qs('a', [0.5, 0.95], 'mae_sigma')}
 FROM (SELECT *, {_LOGF.format(m='mfe')} AS f, -({_LOGF.format(m='mae')}) AS a FROM px WHERE elig AND sigma > 0) GROUP BY 1, 2""")
 def pd3_sigma_excursions(spark, d):
     return pathstats.sigma_excursions(_paths(spark, d), ["symbol"])
@@ -469,7 +472,7 @@ _PASSAGE = " UNION ALL ".join(
 )
 
 
-@query(PATH_BASE + f"""SELECT direction, target_sigma, stop_sigma, h, count(*) AS n, round({_RATE.format(c='code = 1')}, 9) AS target_first, round({_RATE.format(c='code = 2')}, 9) AS stop_first, round({_RATE.format(c='code = 3')}, 9) AS same_bar, round({_RATE.format(c='code = 0')}, 9) AS neither
+@query(PATH_BASE + f"""SELECT direction, target_sigma, stop_sigma, h, count(*) AS n, round({_RATE.format(c='code = 1')}, 10) AS target_first, round({_RATE.format(c='code = 2')}, 10) AS stop_first, round({_RATE.format(c='code = 3')}, 10) AS same_bar, round({_RATE.format(c='code = 0')}, 10) AS neither
 FROM ({_PASSAGE}) JOIN (SELECT event_id, direction FROM pa) USING (event_id) GROUP BY 1, 2, 3, 4""")
 def pd8_first_passage(spark, d):
     return pathstats.first_passage(_paths(spark, d), ["direction"])
@@ -483,21 +486,21 @@ _CELLS = " UNION ALL ".join(
 CELL_BASE = PATH_BASE + f", cl AS (SELECT *, year(make_timestamp(event_ns // 1000)) AS year, CASE WHEN code = 3 THEN -lose ELSE raw_pnl END AS pnl FROM (SELECT *, CASE code WHEN 1 THEN win WHEN 2 THEN -lose WHEN 0 THEN direction * (close_h - p0) END AS raw_pnl FROM ({_CELLS})))\n"
 
 
-@query(CELL_BASE + f"""SELECT direction, expiry, stop_sigma, target_sigma, count(*) AS n, round({_RATE.format(c='code = 1')}, 9) AS target_rate, round({_RATE.format(c='code IN (2, 3)')}, 9) AS stop_rate, round({_RATE.format(c='code = 0')}, 9) AS expiry_rate, round({_RATE.format(c='code = 3')}, 9) AS same_bar_rate,
- round(avg(pnl), 9) + 0.0 AS mean_points, round(quantile_cont(pnl, 0.5), 9) + 0.0 AS median_points, round(avg(pnl / lose), 9) + 0.0 AS mean_r, round(quantile_cont(pnl / lose, 0.5), 9) + 0.0 AS median_r,
- round(sum(pnl) FILTER (WHERE pnl > 0) / abs(sum(pnl) FILTER (WHERE pnl < 0)), 9) + 0.0 AS profit_factor, round({_RATE.format(c='pnl > 0')}, 9) AS win_rate, round(avg(pnl) FILTER (WHERE pnl > 0), 9) + 0.0 AS mean_winner, round(avg(pnl) FILTER (WHERE pnl < 0), 9) + 0.0 AS mean_loser,
- {_qs('pnl', [0.05, 0.25, 0.75, 0.95], 'points')}, round(avg(raw_pnl), 9) + 0.0 AS raw_mean_points, count(raw_pnl) AS n_unambiguous FROM cl GROUP BY 1, 2, 3, 4""")
+@query(CELL_BASE + f"""SELECT direction, expiry, stop_sigma, target_sigma, count(*) AS n, round({_RATE.format(c='code = 1')}, 10) AS target_rate, round({_RATE.format(c='code IN (2, 3)')}, 10) AS stop_rate, round({_RATE.format(c='code = 0')}, 10) AS expiry_rate, round({_RATE.format(c='code = 3')}, 10) AS same_bar_rate,
+ round(avg(pnl), 10) + 0.0 AS mean_points, round(quantile_cont(pnl, 0.5), 10) + 0.0 AS median_points, round(avg(pnl / lose), 10) + 0.0 AS mean_r, round(quantile_cont(pnl / lose, 0.5), 10) + 0.0 AS median_r,
+ round(sum(pnl) FILTER (WHERE pnl > 0) / abs(sum(pnl) FILTER (WHERE pnl < 0)), 10) + 0.0 AS profit_factor, round({_RATE.format(c='pnl > 0')}, 10) AS win_rate, round(avg(pnl) FILTER (WHERE pnl > 0), 10) + 0.0 AS mean_winner, round(avg(pnl) FILTER (WHERE pnl < 0), 10) + 0.0 AS mean_loser,
+ {_qs('pnl', [0.05, 0.25, 0.75, 0.95], 'points')}, round(avg(raw_pnl), 10) + 0.0 AS raw_mean_points, count(raw_pnl) AS n_unambiguous FROM cl GROUP BY 1, 2, 3, 4""")
 def pd5_pd6_bracket_surface(spark, d):
     return pathstats.bracket_surface(_paths(spark, d), ["direction"])
 
 
-@query(CELL_BASE + """SELECT direction, expiry, stop_sigma, target_sigma, count(*) AS eligible_years, count(*) FILTER (WHERE m > 0) AS positive_years, round(min(m), 9) + 0.0 AS worst_year, round(max(m), 9) + 0.0 AS best_year, round(quantile_cont(m, 0.5), 9) + 0.0 AS median_year
+@query(CELL_BASE + """SELECT direction, expiry, stop_sigma, target_sigma, count(*) AS eligible_years, count(*) FILTER (WHERE m > 0) AS positive_years, round(min(m), 10) + 0.0 AS worst_year, round(max(m), 10) + 0.0 AS best_year, round(quantile_cont(m, 0.5), 10) + 0.0 AS median_year
 FROM (SELECT direction, year, expiry, stop_sigma, target_sigma, avg(pnl) AS m FROM cl GROUP BY ALL HAVING count(*) >= 20) GROUP BY 1, 2, 3, 4""")
 def pd6_year_stability(spark, d):
     return pathstats.year_stability(_paths(spark, d), ["direction"], "year")
 
 
-@query(PATH_BASE + f"SELECT direction, year::BIGINT AS year, h, count(*) AS n, round({_RATE.format(c='dir_log > 0')}, 9) AS continuation, {_qs('mfe', [0.5, 0.95], 'mfe')}, {_qs('-mae', [0.5, 0.95], 'abs_mae')} FROM px WHERE elig GROUP BY 1, 2, 3 HAVING count(*) >= 20")
+@query(PATH_BASE + f"SELECT direction, year::BIGINT AS year, h, count(*) AS n, round({_RATE.format(c='dir_log > 0')}, 10) AS continuation, {_qs('mfe', [0.5, 0.95], 'mfe')}, {_qs('-mae', [0.5, 0.95], 'abs_mae')} FROM px WHERE elig GROUP BY 1, 2, 3 HAVING count(*) >= 20")
 def pd9_yearly_table(spark, d):
     return pathstats.yearly_table(_paths(spark, d), ["direction"], "year")
 
@@ -517,7 +520,7 @@ def _rows(spark, d, wanted=(PANEL_SCORE,)):
     x = e.select("event_id", "event_ns", "symbol", "step_ns", "experiment_id").join(f, "event_id")
     for n in wanted:
         x = x.where(F.col(n).isNotNull())
-    return x.join(t.select("event_id", F.col("target_name").alias("target"), F.col("value").alias("y"), F.col("effective_target_end_ns").alias("end_ns"), "truncated"), "event_id").withColumn("tz", F.lit(TZ))
+    return cut(x.join(t.select("event_id", F.col("target_name").alias("target"), F.col("value").alias("y"), F.col("effective_target_end_ns").alias("end_ns"), "truncated"), "event_id").withColumn("tz", F.lit(TZ)))  # a row per event and target: kept once, read by folds and panel
 
 
 def _folded(spark, d, wanted=(PANEL_SCORE,)):
@@ -544,7 +547,7 @@ pn AS (SELECT fr.*, threshold, CASE WHEN score > threshold THEN 'UPPER_HALF' WHE
   year(make_timestamp(event_ns // 1000)) AS year, strftime(make_timestamptz(event_ns // 1000) AT TIME ZONE '{TZ}', '%G-W%V') AS week FROM fr JOIN th USING (target, fold) WHERE role = 'val'),
 ph AS (SELECT *, 'UPPER_HALF' AS half, y AS v, state = 'UPPER_HALF' AS sel FROM pn UNION ALL SELECT *, 'LOWER_HALF', -y, state = 'LOWER_HALF' FROM pn)
 """
-_CORE = "count(*) AS n_parent, count(*) FILTER (WHERE sel) AS n_selected, round(avg(v), 9) + 0.0 AS parent_effect, round(avg(v) FILTER (WHERE sel), 9) + 0.0 AS selected_effect, round(avg(v) FILTER (WHERE sel) - avg(v), 9) + 0.0 AS uplift"
+_CORE = "count(*) AS n_parent, count(*) FILTER (WHERE sel) AS n_selected, round(avg(v), 10) + 0.0 AS parent_effect, round(avg(v) FILTER (WHERE sel), 10) + 0.0 AS selected_effect, round(avg(v) FILTER (WHERE sel) - avg(v), 10) + 0.0 AS uplift"
 
 
 @query(PANEL_BASE + "SELECT block, lo, hi FROM bl")
@@ -558,7 +561,7 @@ def cv2_fold_roles(spark, d):
     return _folded(spark, d).groupBy("target", "fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(PANEL_BASE + "SELECT target, event_id, event_ns, fold, round(score, 9) + 0.0 AS score, round(threshold, 9) + 0.0 AS threshold, state, round(y, 9) + 0.0 AS y FROM pn")
+@query(PANEL_BASE + "SELECT target, event_id, event_ns, fold, round(score, 10) + 0.0 AS score, round(threshold, 10) + 0.0 AS threshold, state, round(y, 10) + 0.0 AS y FROM pn")
 def cv5_score_panel(spark, d):
     return _panel(spark, d).select("target", "event_id", "event_ns", "fold", "score", "threshold", "state", "y")
 
@@ -602,12 +605,12 @@ def cv8_split_masks(spark, d):
     return _splits(spark, d).groupBy("target", "split", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(SPLIT_BASE + "SELECT target, split, n_test, n_selected, round(selected_effect, 9) + 0.0 AS selected_effect, round(uplift, 9) + 0.0 AS uplift FROM sx")
+@query(SPLIT_BASE + "SELECT target, split, n_test, n_selected, round(selected_effect, 10) + 0.0 AS selected_effect, round(uplift, 10) + 0.0 AS uplift FROM sx")
 def cv9_split_results(spark, d):
     return _split_results(spark, d)
 
 
-@query(SPLIT_BASE + """SELECT target, count(*) AS n_valid, round(quantile_cont(selected_effect, 0.5), 9) + 0.0 AS median_effect, round(quantile_cont(uplift, 0.5), 9) + 0.0 AS median_uplift, round(quantile_cont(uplift, 0.1), 9) + 0.0 AS p10_uplift, round(quantile_cont(uplift, 0.9), 9) + 0.0 AS p90_uplift,
+@query(SPLIT_BASE + """SELECT target, count(*) AS n_valid, round(quantile_cont(selected_effect, 0.5), 10) + 0.0 AS median_effect, round(quantile_cont(uplift, 0.5), 10) + 0.0 AS median_uplift, round(quantile_cont(uplift, 0.1), 10) + 0.0 AS p10_uplift, round(quantile_cont(uplift, 0.9), 10) + 0.0 AS p90_uplift,
  count(*) FILTER (WHERE selected_effect > 0) AS n_effect_positive, count(*) FILTER (WHERE uplift > 0) AS n_uplift_positive, arg_min(split, [uplift, split]) AS worst_split, arg_max(split, [uplift, -split]) AS best_split,
  count(*) = 15 AND quantile_cont(selected_effect, 0.5) > 0 AND quantile_cont(uplift, 0.5) > 0 AND count(*) FILTER (WHERE selected_effect > 0) >= 12 AND count(*) FILTER (WHERE uplift > 0) >= 12 AS passed FROM sx WHERE n_selected > 0 GROUP BY 1""")
 def cv10_pass_rule(spark, d):
@@ -624,7 +627,7 @@ def ag2_weeks_with_bars(spark, d):
     return stats.weeks_with_bars(bars_of(spark, d))
 
 
-@query(PANEL_BASE + f", w AS (SELECT count(DISTINCT strftime(make_timestamptz(ts // 1000) AT TIME ZONE tz, '%G-W%V')) AS w FROM cb) SELECT target, half, {_CORE}, round(stddev_samp(v), 9) AS target_sd, round(count(*) / any_value(w), 9) AS parent_frequency, round(count(*) FILTER (WHERE sel) / any_value(w), 9) AS selected_frequency, round(count(*) FILTER (WHERE sel) / count(*), 9) AS retention_ratio, round((avg(v) FILTER (WHERE sel) - avg(v)) / stddev_samp(v), 9) + 0.0 AS standardized_uplift FROM ph, w GROUP BY 1, 2")
+@query(PANEL_BASE + f", w AS (SELECT count(DISTINCT strftime(make_timestamptz(ts // 1000) AT TIME ZONE tz, '%G-W%V')) AS w FROM cb) SELECT target, half, {_CORE}, round(stddev_samp(v), 10) AS target_sd, round(count(*) / any_value(w), 10) AS parent_frequency, round(count(*) FILTER (WHERE sel) / any_value(w), 10) AS selected_frequency, round(count(*) FILTER (WHERE sel) / count(*), 10) AS retention_ratio, round((avg(v) FILTER (WHERE sel) - avg(v)) / stddev_samp(v), 10) + 0.0 AS standardized_uplift FROM ph, w GROUP BY 1, 2")
 def ag3_evaluate(spark, d):
     w = stats.weeks_with_bars(bars_of(spark, d)).where("year is null").first()["n_weeks"]
     return stats.evaluate(_panel(spark, d), ["target"], w)
@@ -646,15 +649,15 @@ def ag6_yearly(spark, d):
 
 
 @query(PANEL_BASE + """, yy AS (SELECT target, half, year, count(*) FILTER (WHERE sel) AS n, avg(v) FILTER (WHERE sel) AS e, avg(v) FILTER (WHERE sel) - avg(v) AS u FROM ph GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE sel) >= 20)
-SELECT target, half, count(*) AS eligible_years, count(*) FILTER (WHERE e > 0) AS positive_years, count(*) FILTER (WHERE u > 0) AS positive_uplift_years, round(max(abs(n * u)) / nullif(sum(abs(n * u)), 0), 9) AS year_concentration_share,
- CASE WHEN count(*) >= 2 AND sum(n * u) > 0 THEN round(max(n * u) / sum(n * u), 9) + 0.0 END AS year_best_share FROM yy GROUP BY 1, 2""")
+SELECT target, half, count(*) AS eligible_years, count(*) FILTER (WHERE e > 0) AS positive_years, count(*) FILTER (WHERE u > 0) AS positive_uplift_years, round(max(abs(n * u)) / nullif(sum(abs(n * u)), 0), 10) AS year_concentration_share,
+ CASE WHEN count(*) >= 2 AND sum(n * u) > 0 THEN round(max(n * u) / sum(n * u), 10) + 0.0 END AS year_best_share FROM yy GROUP BY 1, 2""")
 def ag6_year_consistency(spark, d):
     return stats.year_consistency(_panel(spark, d), ["target"])
 
 
 @query(PANEL_BASE + """, rk AS (SELECT *, (row_number() OVER (PARTITION BY target, half ORDER BY event_ns, event_id) - 1) * 10 // count(*) OVER (PARTITION BY target, half) AS batch FROM ph),
 ms AS (SELECT target, half, batch, coalesce(count(*) FILTER (WHERE sel) * (avg(v) FILTER (WHERE sel) - avg(v)), 0) AS m FROM rk GROUP BY 1, 2, 3)
-SELECT target, half, CASE WHEN sum(m) > 0 THEN round(max(m) / sum(m), 9) END AS batch_best_share FROM ms GROUP BY 1, 2""")
+SELECT target, half, CASE WHEN sum(m) > 0 THEN round(max(m) / sum(m), 10) END AS batch_best_share FROM ms GROUP BY 1, 2""")
 def ag7_batch_concentration(spark, d):
     return stats.batch_concentration(_panel(spark, d), ["target"])
 
@@ -665,7 +668,7 @@ def ag8_folds(spark, d):
 
 
 @query(PANEL_BASE + """, rk AS (SELECT *, least((row_number() OVER (PARTITION BY target ORDER BY score, event_ns, event_id) - 1) * 10 // count(*) OVER (PARTITION BY target), 9) + 1 AS decile, count(*) OVER (PARTITION BY target) AS n_all FROM pn)
-SELECT target, decile, count(*) AS n, round(avg(y), 9) + 0.0 AS mean_target FROM rk WHERE n_all >= 10 GROUP BY 1, 2""")
+SELECT target, decile, count(*) AS n, round(avg(y), 10) + 0.0 AS mean_target FROM rk WHERE n_all >= 10 GROUP BY 1, 2""")
 def ag9_deciles(spark, d):
     return stats.deciles(_panel(spark, d), ["target"])
 
@@ -680,7 +683,7 @@ def ag12_paired_difference(spark, d):
   SELECT target, half, 'year' AS dimension, year::VARCHAR AS bucket, count(*) AS n, count(*) FILTER (WHERE sel) AS s, avg(v) FILTER (WHERE sel) - avg(v) AS u FROM ph GROUP BY 1, 2, 4
   UNION ALL SELECT target, half, 'hour', strftime(make_timestamptz(event_ns // 1000) AT TIME ZONE '{TZ}', '%H:00'), count(*), count(*) FILTER (WHERE sel), avg(v) FILTER (WHERE sel) - avg(v) FROM ph GROUP BY 1, 2, 4
   UNION ALL SELECT target, half, 'horizon', CASE WHEN truncated THEN 'truncated' ELSE 'full' END, count(*), count(*) FILTER (WHERE sel), avg(v) FILTER (WHERE sel) - avg(v) FROM ph GROUP BY 1, 2, 4)
-SELECT target, half, dimension, bucket, round(n::DOUBLE, 9) AS median_events, round(s::DOUBLE, 9) AS median_selected, round(u, 9) + 0.0 AS median_uplift FROM wm""")
+SELECT target, half, dimension, bucket, round(n::DOUBLE, 10) AS median_events, round(s::DOUBLE, 10) AS median_selected, round(u, 10) + 0.0 AS median_uplift FROM wm""")
 def ag13_where_map(spark, d):
     return stats.where_map(_panel(spark, d).withColumn("model", F.lit("SCORE")), "model", ["target"])
 
@@ -693,7 +696,7 @@ def ag14_monthly(spark, d):
 @query(FEATURE_BASE + f""", g AS (SELECT series_id, pos, {_if(15, f"x - {_past('x', 15)}")} AS "RET_15", {_if(60, f'sqrt(sum(r * r) {_w(60)})')} AS "RV_60", {_if(14, f'sum(sg) {_w(15)} / 15.0')} AS "COUNT_BALANCE_15" FROM f1),
 lg AS (SELECT year(make_timestamp(event_ns // 1000)) AS year, feature, x FROM (UNPIVOT (SELECT event_ns, "RET_15", "RV_60", "COUNT_BALANCE_15" FROM ev JOIN g ON ev.series_id = g.series_id AND ev.pos_t = g.pos) ON "RET_15", "RV_60", "COUNT_BALANCE_15" INTO NAME feature VALUE x) WHERE x IS NOT NULL),
 yr AS (SELECT feature, year, avg(x) AS m FROM lg GROUP BY 1, 2), al AS (SELECT feature, avg(x) AS mu, stddev_samp(x) AS sd FROM lg GROUP BY 1)
-SELECT feature, round(max(abs(m - mu) / sd), 9) AS shift, count(*) AS n_years FROM yr JOIN al USING (feature) WHERE sd > 0 GROUP BY 1 HAVING count(*) > 1""")
+SELECT feature, round(max(abs(m - mu) / sd), 10) AS shift, count(*) AS n_years FROM yr JOIN al USING (feature) WHERE sd > 0 GROUP BY 1 HAVING count(*) > 1""")
 def ag15_mean_shifts(spark, d):
     b = placed_bars(spark, d)
     e = located(spark, d, b)
@@ -709,7 +712,7 @@ LADDER_STEPS = ("ALL", "SCORE_ABOVE_HALF", "SCORE_ABOVE_HALF_LONG")
   SELECT target, 0 AS step_no, 'ALL' AS step, year, y FROM pn UNION ALL SELECT target, 1, 'SCORE_ABOVE_HALF', year, y FROM pn WHERE score > 0.5
   UNION ALL SELECT target, 2, 'SCORE_ABOVE_HALF_LONG', year, y FROM pn JOIN (SELECT event_id, direction FROM ce) USING (event_id) WHERE score > 0.5 AND direction = 1),
 lg AS (SELECT target, step_no, step, year, count(*) AS n, avg(y) AS e FROM ls GROUP BY GROUPING SETS ((target, step_no, step, year), (target, step_no, step)))
-SELECT a.target, a.step_no, a.step, a.year::BIGINT AS year, a.n, round(a.e, 9) + 0.0 AS effect, round(a.e - p.e, 9) + 0.0 AS uplift_vs_parent, round(a.e - coalesce(q.e, CASE WHEN a.step_no = 0 THEN a.e END), 9) + 0.0 AS uplift_vs_previous, round(a.n / p.n, 9) AS retention
+SELECT a.target, a.step_no, a.step, a.year::BIGINT AS year, a.n, round(a.e, 10) + 0.0 AS effect, round(a.e - p.e, 10) + 0.0 AS uplift_vs_parent, round(a.e - coalesce(q.e, CASE WHEN a.step_no = 0 THEN a.e END), 10) + 0.0 AS uplift_vs_previous, round(a.n / p.n, 10) AS retention
 FROM lg a LEFT JOIN lg p ON a.target = p.target AND a.year IS NOT DISTINCT FROM p.year AND p.step_no = 0 LEFT JOIN lg q ON a.target = q.target AND a.year IS NOT DISTINCT FROM q.year AND q.step_no = a.step_no - 1""")
 def ag17_ladder(spark, d):
     p = _panel(spark, d).join(bar_source.clean_events(table(spark, d, "study_events")).select("event_id", "direction"), "event_id")
@@ -738,14 +741,14 @@ def ag10_ag11_multiplicity(spark, d):
     return stats.benjamini_hochberg(_trials(spark, d), ["campaign_id"], "p", "trial_id").select("campaign_id", "trial_id", "p", "q", "bonferroni")
 
 
-@query(PANEL_BASE + "SELECT target, symbol, m, n, rank() OVER (PARTITION BY target ORDER BY n) + (count(*) OVER (PARTITION BY target, n) - 1) / 2 AS avg_rank FROM (SELECT target, symbol, round(avg(y), 9) + 0.0 AS m, count(*) AS n FROM pn GROUP BY 1, 2)")
+@query(PANEL_BASE + "SELECT target, symbol, m, n, rank() OVER (PARTITION BY target ORDER BY n) + (count(*) OVER (PARTITION BY target, n) - 1) / 2 AS avg_rank FROM (SELECT target, symbol, round(avg(y), 10) + 0.0 AS m, count(*) AS n FROM pn GROUP BY 1, 2)")
 def w7_average_rank(spark, d):
     g = _panel(spark, d).groupBy("target", "symbol").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("target")
     return g.withColumn("avg_rank", F.rank().over(w.orderBy("n")) + (F.count(F.lit(1)).over(Window.partitionBy("target", "n")) - 1) / 2)
 
 
-@query(PANEL_BASE + "SELECT target, symbol, n, round(m, 9) + 0.0 AS m FROM (SELECT target, symbol, avg(y) AS m, count(*) AS n, row_number() OVER (PARTITION BY target ORDER BY avg(y) DESC, symbol) AS k FROM pn GROUP BY 1, 2) WHERE k <= 5")
+@query(PANEL_BASE + "SELECT target, symbol, n, round(m, 10) + 0.0 AS m FROM (SELECT target, symbol, avg(y) AS m, count(*) AS n, row_number() OVER (PARTITION BY target ORDER BY avg(y) DESC, symbol) AS k FROM pn GROUP BY 1, 2) WHERE k <= 5")
 def so3_top_groups(spark, d):
     g = _panel(spark, d).groupBy("target", "symbol").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
     return g.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("m"), "symbol"))).where("k <= 5").drop("k")
