@@ -150,9 +150,8 @@ def find(ids: np.ndarray, items: Items, least: int) -> list[tuple[int, int, int,
     """(test text, place, words of the test text covered, errors, longest verbatim run) of the best
     passage of each place that holds at least ``least`` words."""
     p, q, t, n = matches(ids, items)
+    # a passage with errors whose longest run has only SEED words has more than one word beyond an error
     keep = (n >= SEED + 1) | _goes_on(ids, items, p, q, n) if len(p) else np.zeros(0, bool)
-    # a lone run must be long enough itself, or go on
-    keep &= (n >= least) | _goes_on(ids, items, p, q, n) if len(p) else keep
     out = []
     for p0, q0, t0, n0 in zip(p[keep].tolist(), q[keep].tolist(), t[keep].tolist(), n[keep].tolist()):
         a = int(items.start[t0])

@@ -29,8 +29,9 @@ def blocks(values: DataFrame, keys: list[str], value: str = "value", eps: float
 
     With ``eps`` > 0 a block keeps one value of every s = 2 * eps * size, at the middle of its s ranks and
     with their weight, so the rank error is at most eps of the values summed up - within a block, hence
-    over any union of blocks, be they of partitions, files or days. NULL and NaN values are left out."""
-    src = values.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    over any union of blocks, be they of partitions, files or days. NULLs and values that are not finite are
+    left out."""
+    src = values.select(*keys, F.col(value).cast("double").alias("_v")).where(F.abs("_v") < float("inf"))
     schema = ", ".join(f"{c} {t}" for c, t in src.drop("_v").dtypes) + ", vals array<double>, cum array<bigint>"
 
     def flush(parts: list[pd.DataFrame]) -> pd.DataFrame:
