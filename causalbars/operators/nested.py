@@ -140,7 +140,7 @@ def assemble(s: Shredder, table: str, outer: bool = False) -> pd.DataFrame:
     for path, at, lv in s.paths:  # leaves of the ancestors: entry j of theirs holds while rep > lv
         if lv < level and table.startswith(at + "."):
             col = s.levels(path)
-            out[path] = col["value"].to_numpy(dtype=object)[np.cumsum(rep <= lv) - 1] if len(rep) else []
+            out[path] = col["value"].to_numpy(dtype=object)[np.cumsum(rep <= lv) - 1] if len(rep) else np.zeros(0, dtype=object)
     df = pd.DataFrame(out)
     parent = dfn >= level - 1
     # an undefined element among defined ones (NULL in an array) is no missing list

@@ -21,7 +21,7 @@ TRANSITIONS = np.array([[0.997, 0.001, 0.001, 0.001], [0.6, 0.39, 0.005, 0.005],
 START = np.array([0.97, 0.01, 0.01, 0.01])
 EDGE = 16  # readings a block gets from either side
 NEAR_BLOCKS = 8  # from at most so many blocks: enough for runs of eight readings even if each has one
-CHUNK, LAP = 192, 32  # rows of one forward-backward chain, and its warm-up on either side
+CHUNK, LAP = 256, 64  # rows of one forward-backward chain, and its warm-up on either side
 POINT = 32  # one quantile point stands for so many values in a block's summary
 
 
