@@ -6,11 +6,12 @@ taken in another order."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causalbars.operators import crossval, events, features, nested, pathstats, positions, ranks, spikes, stats, targets
+from causalbars.operators import crossval, events, features, graphs, nested, pathstats, positions, stats, targets
 from causalbars.runtime import cut, table
 from causalbars.sources import bars as bar_source
 
@@ -805,3 +806,64 @@ def ud4_causality_check(spark, d):
     """The pivot plugin on bars cut off at a stamp finds the same events up to it as on all bars."""
     b = bars_of(spark, d)
     return events.causality(lambda x: events.pivots(positions.with_positions(x), 5, 3), b, fraction=0.6)
+
+
+@query()
+def m5_importances(spark, d):
+    """Importances and coefficient signs of the three models, per target and fold: fits, so no SQL."""
+    return crossval.importances(_folded(spark, d, tuple(MODEL_FEATURES)), ["target", "fold"], MODEL_FEATURES)
+
+
+HOLDOUT = ("2019-01-01", "2020-01-01")
+
+
+@query(PANEL_BASE + f""", hr AS (SELECT *, CASE WHEN event_ns < a AND end_ns < a THEN 'train' WHEN event_ns >= a AND end_ns <= z THEN 'val' END AS role FROM ro, (SELECT epoch_us(TIMESTAMP '{HOLDOUT[0]}') * 1000 AS a, epoch_us(TIMESTAMP '{HOLDOUT[1]}') * 1000 AS z)),
+ht AS (SELECT target, quantile_cont(score, 0.5) AS threshold FROM hr WHERE role = 'train' GROUP BY 1)
+SELECT target, count(*) AS n, count(*) FILTER (WHERE score > threshold) AS n_selected, round(avg(y) FILTER (WHERE score > threshold), 10) + 0.0 AS selected_effect, round(avg(y) FILTER (WHERE score > threshold) - avg(y), 10) + 0.0 AS uplift FROM hr JOIN ht USING (target) WHERE role = 'val' GROUP BY 1""")
+def cv12_holdout(spark, d):
+    ns = [int(datetime.fromisoformat(x).replace(tzinfo=UTC).timestamp()) * 1_000_000_000 for x in HOLDOUT]
+    p = crossval.score_panel(crossval.holdout_rows(_rows(spark, d), *ns), ["target"], PANEL_SCORE, min_train=1)
+    sel = F.when(F.col("state") == "UPPER_HALF", F.col("y"))
+    return p.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count(sel).alias("n_selected"), F.avg(sel).alias("selected_effect"), (F.avg(sel) - F.avg("y")).alias("uplift"))
+
+
+@query()
+def cv11_overfitting(spark, d):
+    """Each symbol's uplift per block as a configuration: few rows, checked by its own test."""
+    rows = _rows(spark, d).withColumn("study", F.lit("pooled"))
+    g = crossval.blocks(rows.select("study", "event_id", "event_ns", "tz").distinct(), crossval.GROUPS, ["study"])
+    b = rows.join(g, "study").where((F.col("lo").isNull() | (F.col("event_ns") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("event_ns") < F.col("hi"))))
+    u = F.avg(F.when(F.col(PANEL_SCORE) > 0.5, F.col("y"))) - F.avg("y")
+    return crossval.overfitting(b.where("target = 'DIR_RETURN_15'").groupBy(F.col("symbol").alias("config"), "block").agg(u.alias("uplift")))
+
+
+@query()
+def pd10_context_groups(spark, d):
+    """Contexts (all events, each direction, each direction per symbol) with a fingerprint of their events."""
+    e = located(spark, d)
+    side = F.when(F.col("direction") > 0, "LONG").otherwise("SHORT")
+    m = e.select("event_id", F.explode(F.array(F.lit("ALL"), side, F.concat(side, F.lit("|"), F.col("symbol")))).alias("context"))
+    return pathstats.group_contexts(m)
+
+
+@query(r"""WITH RECURSIVE one AS (SELECT DISTINCT upper(regexp_replace(experiment_id, '^\s+|\s+$', '', 'g')) AS a, upper(regexp_replace(lineage_parent, '^\s+|\s+$', '', 'g')) AS b FROM experiments),
+l AS (SELECT a, b FROM one WHERE b <> '' UNION SELECT b, a FROM one WHERE b <> ''),
+r AS (SELECT a AS node, a AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a)
+SELECT node, min(other) AS component FROM r GROUP BY 1""")
+def gr1_components(spark, d):
+    """Families of experiments: components of the parent links, parents outside the registry included."""
+    k = lambda c: F.upper(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    e = table(spark, d, "experiments", "experiment_id", "lineage_parent").select(k("experiment_id").alias("a"), F.nullif(k("lineage_parent"), F.lit("")).alias("b"))
+    return graphs.components(e, "a", "b")
+
+
+@query(PANEL_BASE + """, gm AS (SELECT target, symbol, avg(y) AS m, count(*) AS n FROM pn GROUP BY 1, 2), tk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY n DESC, symbol) AS k FROM gm QUALIFY k <= 8)
+SELECT a.target, a.symbol AS first, b.symbol AS second, round(abs(a.m - b.m), 10) + 0.0 AS difference FROM tk a JOIN tk b ON a.target = b.target AND a.k < b.k WHERE abs(a.m - b.m) <= 0.0005""")
+def jn13_near_ties(spark, d):
+    """Pairs among the eight largest groups of each target whose effects are near: eight a target, by the rule."""
+    g = _panel(spark, d).groupBy("target", "symbol").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
+    t = g.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), "symbol"))).where("k <= 8")
+    a = t.select("target", F.col("symbol").alias("first"), F.col("m").alias("m1"), F.col("k").alias("k1"))
+    b = t.select("target", F.col("symbol").alias("second"), F.col("m").alias("m2"), F.col("k").alias("k2"))
+    p = a.join(b, "target").where((F.col("k1") < F.col("k2")) & (F.abs(F.col("m1") - F.col("m2")) <= 0.0005))
+    return p.select("target", "first", "second", F.abs(F.col("m1") - F.col("m2")).alias("difference"))
