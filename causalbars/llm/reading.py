@@ -18,6 +18,8 @@ MAX_LABELLED = 6000
 MAX_PAIRS = 60_000
 SEED = 17
 LEAST_WORDS = 12
+#: A text in which log lines are more than this share of log tokens and prose words is a log.
+LOG_SHARE = 0.12
 
 # Frequent function words by language, and joining words of subordinate clauses.
 FUNCTION_WORDS = {
@@ -38,28 +40,33 @@ _END = re.compile(r"[.!?;]+[\"'”’)\]]*(?=\s|$)")
 
 def prose(text: str | None) -> list[str]:
     """The paragraphs of running prose in a text: no code, tables, lists, quotes, headings, log lines or
-    lines in which fewer than two thirds of the tokens are words. Wrapped lines are joined."""
+    lines of a single token. Wrapped lines stay together."""
+    return scan(text)[0]
+
+
+def scan(text: str | None) -> tuple[list[str], int]:
+    """``prose`` and the number of tokens in log lines."""
     if not text:
-        return []
+        return [], 0
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n\n", text)
     if "<" in text:
         text = _TAG.sub(lambda m: "\n" if m[2].lower() in ("p", "div", "li", "tr", "h1", "h2", "h3") else _tag(m), text)
-    out, cur = [], []
+    out, cur, logged = [], [], 0
     for line in text.replace("\r\n", "\n").split("\n"):
         if not line or line.isspace():
             if cur:
                 out.append("\n".join(cur))
                 cur = []
             continue
-        if _SKIP.match(line) or _LOG.match(line):
-            continue
         n = len(line.split())
-        if n >= 2:
+        if _LOG.match(line):
+            logged += n
+        elif n >= 2 and not _SKIP.match(line):
             cur.append(line)
     if cur:
         out.append("\n".join(cur))
-    return out
+    return out, logged
 
 
 class Words:
@@ -106,10 +113,12 @@ class Batch:
 
 
 def read(texts: list[str | None]) -> Batch:
-    ws, ids, at, par, par_doc, sentences, commas = Words(), [], [0], [0], [], [], []
+    ws, ids, at, par, par_doc, sentences, commas, logs = Words(), [], [0], [0], [], [], [], []
     for d, text in enumerate(texts):
         s = c = 0
-        for p in prose(text):
+        paragraphs, logged = scan(text)
+        logs.append(logged)
+        for p in paragraphs:
             p = plain(p) if ("&" in p or "\\" in p or not p.isascii() or "*" in p or "_" in p) and _mostly_ascii(p) else p.lower()
             got = _WORD.findall(p)
             if len(got) < 3:
@@ -127,7 +136,8 @@ def read(texts: list[str | None]) -> Batch:
     n = np.maximum(b.at[1:] - b.at[:-1], 1)
     share = {k: (_sum(m[b.ids], b.at) if len(b.ids) else np.zeros(len(texts))) / n for k, m in lang.items()}
     rest = np.maximum.reduce([share[k] for k in share if k != "en"])
-    b.english = (b.at[1:] - b.at[:-1] >= LEAST_WORDS) & (share["en"] > 0.12) & (share["en"] > 1.3 * rest)
+    own = np.array(logs, float) <= LOG_SHARE / (1 - LOG_SHARE) * n  # else it is a log with something pasted in
+    b.english = (b.at[1:] - b.at[:-1] >= LEAST_WORDS) & (share["en"] > 0.12) & (share["en"] > 1.3 * rest) & own
     return b
 
 
@@ -284,7 +294,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
     ``n_words`` counts words of running prose (see ``prose``); ``is_english`` is told from its function
     words, whatever a language column says; ``score`` is the ranker's, ``level`` its calibrated grade. A
-    text without prose (NULL, empty, a log, a table) or of fewer than LEAST_WORDS words has NULL score
+    text without prose (NULL, empty, a log even if prose is pasted in, a table) or of fewer than LEAST_WORDS words has NULL score
     and level; so has prose in another language. Repeated rows repeat; texts are read whole. The model
     is fitted once and travels with the function: its size is bounded by MAX_LABELLED documents.
     Without any labelled prose a ValueError says so."""
