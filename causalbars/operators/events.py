@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causalbars.operators import features
-from causalbars.operators.positions import local_minute
-from causalbars.operators.targets import SPAN
+from causalbars.functions.clock import local_minute
+from causalbars.operators.targets import SPAN, forward
 
 # The trials of an experiment, in order.
 TARGETS = ("DIR_RETURN_15", "DIR_RETURN_60", "DIR_RETURN_180", "DIR_PATH_SKEW_60")
@@ -90,8 +90,6 @@ def event_id(experiment: str, ns: str) -> Column:
 
 def window_rows(starts: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """Rows of the n positions from ``pos_fwd`` on, which may lie before the first bar."""
-    from causalbars.operators.targets import forward
-
     shifted = bars.withColumn("pos", F.col("pos") + SPAN * 4)
     moved = starts.withColumn("pos_fwd", F.col("pos_fwd") + SPAN * 4)
     return forward(moved, shifted, n)

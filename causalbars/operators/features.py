@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalbars.operators.positions import DAY_NS, local_day, local_minute, local_ns
+from causalbars.functions.clock import DAY_NS, local_day, local_minute, local_ns
 
 CHUNK = 8192
 HALO = 512

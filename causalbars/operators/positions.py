@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_NS = 86_400_000_000_000
+from causalbars.functions.clock import DAY_NS
 
 
 def _day(c: str) -> Column:
@@ -53,28 +53,3 @@ def locate(events: DataFrame, bars: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == 1, F.col("before") + F.col("c") - 1)).alias("pos_t"), F.max(F.when(F.col("kind") == -1, F.col("before") + F.col("c"))).alias("pos_fwd")
     )
     return ev.join(got, "event_id")
-
-
-def local_ns(ns: str | Column, tz: str = "tz") -> Column:
-    """Wall-clock ns since 1970 in the zone of column ``tz``, whatever the session's time zone."""
-    c = F.expr(f"{ns} div 1000") if isinstance(ns, str) else ns
-    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(c), F.col(tz))) * F.lit(1000)
-
-
-def utc_ns(local: Column, tz: str = "tz") -> Column:
-    return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros((local / 1000).cast("long")), F.col(tz))) * F.lit(1000)
-
-
-def local_day(ns: str, tz: str = "tz") -> Column:
-    """Days since 1970 of the local date."""
-    return F.floor(local_ns(ns, tz) / F.lit(DAY_NS)).cast("long")
-
-
-def local_minute(ns: str, tz: str = "tz") -> Column:
-    """Minute of the local day, seconds cut off."""
-    return F.floor((local_ns(ns, tz) % F.lit(DAY_NS)) / F.lit(60_000_000_000)).cast("long")
-
-
-def session_close_ns(ns: str, tz: str = "tz") -> Column:
-    """UTC ns of the regular close on the local date, by wall clock: right across changes of the clock."""
-    return utc_ns(local_day(ns, tz) * F.lit(DAY_NS) + F.col("rth_to") * F.lit(60_000_000_000), tz)

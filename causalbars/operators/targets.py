@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causalbars.operators.positions import session_close_ns
+from causalbars.functions.clock import session_close_ns
 
 SPAN = 256
 HORIZON = 180

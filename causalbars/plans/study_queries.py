@@ -11,9 +11,11 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causalbars.functions.clock import utc_year, week_key
 from causalbars.operators import crossval, events, features, graphs, nested, pathstats, positions, stats, targets
 from causalbars.runtime import cut, table
 from causalbars.sources import bars as bar_source
+from causalbars.streaming import resample
 
 DIGITS = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -409,7 +411,7 @@ def _paths(spark, d):
     b = placed_bars(spark, d)
     e = with_sigma(spark, d, b)
     p = targets.paths(e, b)
-    return p.join(e.select("event_id", "experiment_id", "symbol", "tick"), "event_id").withColumn("year", stats.utc_year("event_ns"))
+    return p.join(e.select("event_id", "experiment_id", "symbol", "tick"), "event_id").withColumn("year", utc_year("event_ns"))
 
 
 _PATH_COLS = ", ".join(
@@ -532,7 +534,7 @@ def _folded(spark, d, wanted=(PANEL_SCORE,)):
 
 def _panel(spark, d):
     p = crossval.score_panel(_folded(spark, d), ["target"], PANEL_SCORE)
-    return p.select("target", "event_id", "event_ns", "symbol", "fold", "score", "threshold", "state", "y", "truncated", "tz").withColumns({"year": stats.utc_year("event_ns"), "week": stats.week_key("event_ns")})
+    return p.select("target", "event_id", "event_ns", "symbol", "fold", "score", "threshold", "state", "y", "truncated", "tz").withColumns({"year": utc_year("event_ns"), "week": week_key("event_ns")})
 
 
 PANEL_BASE = TARGET_BASE + f""", rp AS (SELECT series_id, pos, CASE WHEN pos >= 14 THEN CASE WHEN max(high) {_w(15)} > min(low) {_w(15)} THEN (close - min(low) {_w(15)}) / (max(high) {_w(15)} - min(low) {_w(15)}) ELSE 0.5 END END AS score FROM cb),
@@ -702,7 +704,7 @@ def ag15_mean_shifts(spark, d):
     b = placed_bars(spark, d)
     e = located(spark, d, b)
     names = ["RET_15", "RV_60", "COUNT_BALANCE_15"]
-    f = features.compute_features(e, b, names).join(e.select("event_id", "event_ns"), "event_id").withColumn("year", stats.utc_year("event_ns"))
+    f = features.compute_features(e, b, names).join(e.select("event_id", "event_ns"), "event_id").withColumn("year", utc_year("event_ns"))
     return stats.mean_shifts(f, names, "year")
 
 
@@ -867,3 +869,11 @@ def jn13_near_ties(spark, d):
     b = t.select("target", F.col("symbol").alias("second"), F.col("m").alias("m2"), F.col("k").alias("k2"))
     p = a.join(b, "target").where((F.col("k1") < F.col("k2")) & (F.abs(F.col("m1") - F.col("m2")) <= 0.0005))
     return p.select("target", "first", "second", F.abs(F.col("m1") - F.col("m2")).alias("difference"))
+
+
+@query("""SELECT event_type AS series_id, epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) * 1000 AS ts, arg_min(value, [epoch_us(ts), event_id]) AS open, max(value) AS high, min(value) AS low, arg_max(value, [epoch_us(ts), event_id]) AS close, count(*)::DOUBLE AS volume
+FROM events WHERE value IS NOT NULL GROUP BY 1, time_bucket(INTERVAL 5 MINUTE, ts)""")
+def src8_bars_from_events(spark, d):
+    """Raw events to bars: the same plan runs over a stream."""
+    b = resample.bars(table(spark, d, "events"), "event_type", "ts", "value", "event_id", "5 minutes")
+    return b.select("series_id", (F.unix_micros("bar_time") * 1000).alias("ts"), "open", "high", "low", "close", "volume")

@@ -288,3 +288,59 @@ def test_sources(spark, tmp_path):
     bar_source.write_panel(p, f"{tmp_path}/p")
     assert spark.read.parquet(f"{tmp_path}/p").where("target = 'A'").count() == 1
     assert bar_source.read_timestamps(spark, f"{tmp_path}/b.csv", "timestamp").count() == 2
+
+
+def test_stream_of_bars_equals_the_batch(spark, data, tmp_path):
+    from causalbars.streaming import resample
+
+    e = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = e.limit(1).withColumn("ts", F.lit("2030-01-01").cast("timestamp"))  # moves the watermark past all others
+    e.repartition(3).write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 10).parquet(f"{tmp_path}/in")
+    q = resample.bars(s, "event_type", "ts", "value", "event_id", "5 minutes", "1 day").writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    late.write.mode("append").parquet(f"{tmp_path}/in")
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = resample.bars(e, "event_type", "ts", "value", "event_id", "5 minutes")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() > 100
+
+
+def test_components(spark):
+    from causalbars.operators import graphs
+
+    r = random.Random(1)
+    pairs = [(f"n{i:03d}", f"n{r.randrange(max(0, i - 3), i + 1):03d}") for i in range(200) if r.random() < 0.8] + [(f"n{i}", f"n{i + 1}") for i in range(300, 380)] + [("x", None), ("y", "y")]
+    up = {}
+
+    def find(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    for a, b in pairs:
+        if a and b:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    want = {a: find(a) for a in list(up)}
+    got = {x.node: x.component for x in graphs.components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()}
+    assert got == want
+
+
+def test_registry_and_reports(spark, tmp_path):
+    from causalbars.sources import registry, reports, synthetic
+
+    df = spark.createDataFrame([("a", "1", None), ("b", "2", "x")], "id string, n string, s string")
+    registry.replace(df, f"{tmp_path}/reg")
+    registry.append(df.limit(1), f"{tmp_path}/reg")
+    assert registry.read(spark, f"{tmp_path}/reg", ["n", "missing", "s"]).count() == 3
+    registry.replace(df, f"{tmp_path}/reg")
+    assert sorted(map(tuple, registry.read(spark, f"{tmp_path}/reg", ["id", "missing", "s"]).collect())) == [("a", "", ""), ("b", "", "x")]
+    assert len(list(tmp_path.iterdir())) == 1
+    nan = spark.createDataFrame([(1, float("nan")), (2, 0.5)], "i int, x double")
+    assert sorted(r.value for r in reports.json_rows(nan).collect()) == ['{"i":1,"x":null}', '{"i":2,"x":0.5}']
+    assert reports.markdown(nan.where("i = 2")) == "| i | x |\n|---|---|\n| 2 | 0.5 |\n"
+    b = synthetic.bars(spark, 3, phi=0.5)
+    assert b.count() == 1170 and b.where("high < low").count() == 0
+    assert synthetic.event_table(spark, 30, 4.0, signal="linear").stat.corr("x", "y") > 0.1
