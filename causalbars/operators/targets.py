@@ -1,11 +1,13 @@
 """Forward windows: session-truncated targets, diagnostic targets and path excursions.
 
-Events meet the bars of their window by an equi-join on blocks of SPAN positions - each block also holds
-the HORIZON bars after it - and all results are conditional aggregates over that one join, combined on
-the map side; no window is gathered into an array."""
+Events meet the bars of their window by an equi-join on blocks of positions; each block also holds the
+bars after it that a window can reach. Targets are conditional aggregates over that join, path excursions
+and diagnostics one grouped-map pass over blocks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,18 @@ def horizon(n: int) -> Column:
     return F.greatest(F.least(F.lit(n), F.expr("(close_ns - event_ns) div step_ns")), F.lit(1))
 
 
+#: What ``forward`` leaves the rows of an event together by: aggregates and windows on it need no shuffle.
+HERE = ["series_id", "block"]
+
+
 def forward(events: DataFrame, bars: DataFrame, n: int = HORIZON) -> DataFrame:
-    """Event rows times the bars of their next n positions, as ``j`` = 0, 1, ... with ``b_*`` columns."""
+    """Event rows times the bars of their next n positions, as ``j`` = 0, 1, ... with ``b_*`` columns, hashed by HERE."""
     at = F.expr(f"pos % {SPAN}")
     own = F.expr(f"pos div {SPAN}")
     blocks = F.array_compact(F.array(own, *(F.when((at < n - SPAN * k) & (own > k), own - k - 1) for k in range(-(-n // SPAN)))))
     b = bars.select("series_id", "pos", *(F.col(c).alias(f"b_{c}") for c in ("ts", "open", "high", "low", "close")), F.explode(blocks).alias("block"))
     e = events.withColumn("block", F.expr(f"pos_fwd div {SPAN}"))
-    return e.join(b, ["series_id", "block"]).where((F.col("pos") >= F.col("pos_fwd")) & (F.col("pos") < F.col("pos_fwd") + n)).withColumn("j", (F.col("pos") - F.col("pos_fwd")).cast("int")).drop("block", "pos")
+    return e.join(b, ["series_id", "block"]).where((F.col("pos") >= F.col("pos_fwd")) & (F.col("pos") < F.col("pos_fwd") + n)).withColumn("j", (F.col("pos") - F.col("pos_fwd")).cast("int")).drop("pos")
 
 
 def _own(events: DataFrame) -> list[str]:
@@ -70,7 +76,7 @@ def primary_targets(events: DataFrame, bars: DataFrame) -> DataFrame:
         agg += [F.max(F.when(last, F.col("b_close"))).alias(f"c{n}"), F.max(F.when(last, F.col("b_ts"))).alias(f"t{n}")]
     inside = F.col("j") < horizon(SKEW_BARS)
     agg += [F.max(F.when(inside, F.col("b_high"))).alias("hi"), F.min(F.when(inside, F.col("b_low"))).alias("lo")]
-    g = f.groupBy(*_own(e)).agg(*agg)
+    g = f.groupBy(*HERE, *_own(e)).agg(*agg)
     up, dn = F.ln(F.col("hi") / F.col("p0")), F.ln(F.col("lo") / F.col("p0"))
     rows = []
     for name, n in names.items():
@@ -98,45 +104,99 @@ def inside_session(targets: DataFrame, strict: bool = False) -> DataFrame:
 def span_violations(events: DataFrame, bars: DataFrame, n: int) -> DataFrame:
     """One row: how many complete forward windows of n bars span more than n - 1 intervals."""
     f = forward(events.select("event_id", "series_id", "pos_fwd", "step_ns"), bars, n)
-    g = f.groupBy("event_id", "step_ns").agg(F.min("b_ts").alias("a"), F.max(F.when(F.col("j") == n - 1, F.col("b_ts"))).alias("z"))
+    g = f.groupBy(*HERE, "event_id", "step_ns").agg(F.min("b_ts").alias("a"), F.max(F.when(F.col("j") == n - 1, F.col("b_ts"))).alias("z"))
     return g.agg(F.count(F.when(F.col("z") - F.col("a") > F.col("step_ns") * (n - 1), 1)).alias("n_violations"))
 
 
+MAP_SPAN = 4096  # positions of a block of the grouped-map passes
+
+
+def _grouped(events: DataFrame, bars: DataFrame, n: int, compute, schema: str) -> DataFrame:
+    """Per block of positions: the block's events and its bars, with the n bars after it, go to ``compute`` as
+    (events, matrices of the next n bars, which of them exist). Events without a forward bar give no row.
+
+    The dozens of running extremes below make an aggregate whose generated code is too large to be compiled;
+    over the events of sf0.1 it took 31 s, this pass takes a few."""
+    own, at = F.expr(f"pos div {MAP_SPAN}"), F.expr(f"pos % {MAP_SPAN}")
+    cols = ["ts", "open", "high", "low", "close"]
+    b = bars.select("series_id", "pos", *cols, F.explode(F.array_compact(F.array(own, F.when((at < n) & (own > 0), own - 1)))).alias("block"))
+    e = events.withColumn("block", F.expr(f"pos_fwd div {MAP_SPAN}"))
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+
+    def run(ev: pd.DataFrame, ba: pd.DataFrame) -> pd.DataFrame:
+        ba = ba.sort_values("pos")
+        i = ev["pos_fwd"].to_numpy() - (ba["pos"].iloc[0] if len(ba) else 0)
+        ev, i = ev[i < len(ba)], i[i < len(ba)]
+        if not len(ev):
+            return pd.DataFrame(columns=names)
+        idx = i[:, None] + np.arange(n)
+        ok = idx < len(ba)
+        m = {c: ba[c].to_numpy()[np.minimum(idx, len(ba) - 1)] for c in cols}
+        return pd.DataFrame(compute(ev, m, ok))[names]
+
+    return e.groupBy("series_id", "block").cogroup(b.groupBy("series_id", "block")).applyInPandas(run, schema)
+
+
+def _running(x: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running maximum along the rows, and the 1-based bar at which it was first reached."""
+    x = np.where(ok, x, -np.inf)
+    top = np.maximum.accumulate(x, axis=1)
+    before = np.hstack([np.full((len(x), 1), -np.inf), top[:, :-1]])
+    return top, np.maximum.accumulate(np.where(x > before, np.arange(1, x.shape[1] + 1), 0), axis=1)
+
+
+def _nullable(x: np.ndarray, there: np.ndarray) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(np.where(there, x, 0).astype("int32"), ~there)
+
+
+def _first(hit: np.ndarray) -> pd.arrays.IntegerArray:
+    """1-based position of the first hit of each row, NULL if none."""
+    return _nullable(hit.argmax(1) + 1, hit.any(1))
+
+
+def _oriented(ev: pd.DataFrame, m: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    p0, long = m["open"][:, :1], (ev["direction"].to_numpy() > 0)[:, None]
+    up, dn = np.log(m["high"] / p0), np.log(m["low"] / p0)
+    return p0, long, np.where(long, up, -dn), np.where(long, dn, -up)
+
+
 def paths(events: DataFrame, bars: DataFrame) -> DataFrame:
     """One row per event: ``p0``, and per horizon h ``elig_h, close_h, mfe_h, mae_h, t_mfe_h, t_mae_h``;
     if ``events`` has ``sigma``, per level ``t_fav_k, t_adv_k`` (first bar at or beyond it, NULL if none).
 
-    The first bar that reaches an extreme counts. Points are in the event's direction."""
+    The first bar that reaches an extreme counts. Points are in the event's direction. Where the data end
+    early the extremes are those of the bars there are, and the path is not eligible."""
     sigma = "sigma" in events.columns
     e = events.select("series_id", "pos_fwd", *_own(events), *(["sigma"] if sigma else []))
-    first = bars.select("series_id", F.col("pos").alias("pos_fwd"), F.col("open").alias("p0"))
-    f = forward(e.join(first, ["series_id", "pos_fwd"]), bars, max(PATH_HORIZONS))
-    long = F.col("direction") > 0
-    f = f.withColumn("fav", F.when(long, F.col("b_high") - F.col("p0")).otherwise(F.col("p0") - F.col("b_low")))
-    f = f.withColumn("adv", F.when(long, F.col("b_low") - F.col("p0")).otherwise(F.col("p0") - F.col("b_high")))
-    agg: list[Column] = []
+    kinds, keep = dict(e.dtypes), _own(events)
+    parts = [*(f"{c} {kinds[c]}" for c in keep), *(["sigma double"] if sigma else []), "p0 double"]
     for h in PATH_HORIZONS:
-        c, last = F.col("j") < h, F.col("j") == h - 1
-        agg += [
-            (F.count(F.when(last, 1)) > 0).alias(f"has_{h}"),
-            (F.max(F.when(last, F.col("b_ts"))) - F.min("b_ts")).alias(f"span_{h}"),
-            F.max(F.when(last, F.col("b_ts"))).alias(f"end_{h}"),
-            F.max(F.when(last, F.col("b_close"))).alias(f"close_{h}"),
-            F.max(F.when(c, F.col("fav"))).alias(f"mfe_{h}"),
-            F.min(F.when(c, F.col("adv"))).alias(f"mae_{h}"),
-            F.min_by(F.col("j") + 1, F.when(c, F.struct(-F.col("fav"), "j"))).alias(f"t_mfe_{h}"),
-            F.min_by(F.col("j") + 1, F.when(c, F.struct("adv", "j"))).alias(f"t_mae_{h}"),
-        ]
-    if sigma:
-        lf = F.when(long, F.ln(F.col("b_high") / F.col("p0"))).otherwise(-F.ln(F.col("b_low") / F.col("p0")))
-        la = F.when(long, F.ln(F.col("b_low") / F.col("p0"))).otherwise(-F.ln(F.col("b_high") / F.col("p0")))
-        f = f.withColumn("lf", lf).withColumn("la", la)
-        for k in LEVELS:
-            agg += [F.min(F.when(F.col("lf") >= F.col("sigma") * k, F.col("j") + 1)).alias(f"t_fav_{k}"), F.min(F.when(F.col("la") <= -F.col("sigma") * k, F.col("j") + 1)).alias(f"t_adv_{k}")]
-    g = f.groupBy(*_own(e), *(["sigma"] if sigma else []), "p0").agg(*agg)
-    for h in PATH_HORIZONS:
-        g = g.withColumn(f"elig_{h}", F.col(f"has_{h}") & F.coalesce((F.col(f"span_{h}") == F.col("step_ns") * (h - 1)) & (F.col(f"end_{h}") + F.col("step_ns") <= F.col("close_ns")), F.lit(False)))
-    return g.drop(*(f"{x}_{h}" for x in ("has", "span", "end") for h in PATH_HORIZONS))
+        parts += [f"elig_{h} boolean", f"close_{h} double", f"mfe_{h} double", f"mae_{h} double", f"t_mfe_{h} int", f"t_mae_{h} int"]
+    parts += [f"`t_{x}_{k}` int" for k in LEVELS for x in ("fav", "adv")] if sigma else []
+
+    def compute(ev: pd.DataFrame, m: dict[str, np.ndarray], ok: np.ndarray) -> dict:
+        p0, long, lf, la = _oriented(ev, m)
+        mfe, t_mfe = _running(np.where(long, m["high"] - p0, p0 - m["low"]), ok)
+        worst, t_mae = _running(-np.where(long, m["low"] - p0, p0 - m["high"]), ok)
+        step, close = ev["step_ns"].to_numpy(), ev["close_ns"].to_numpy()
+        out = {c: ev[c].to_numpy() for c in keep} | {"p0": p0[:, 0]}
+        for h in PATH_HORIZONS:
+            last = m["ts"][:, h - 1]
+            there = ok[:, h - 1]
+            out |= {
+                f"elig_{h}": there & (last - m["ts"][:, 0] == step * (h - 1)) & (last + step <= close),
+                f"close_{h}": np.where(there, m["close"][:, h - 1], np.nan),
+                f"mfe_{h}": mfe[:, h - 1], f"mae_{h}": -worst[:, h - 1], f"t_mfe_{h}": t_mfe[:, h - 1], f"t_mae_{h}": t_mae[:, h - 1],
+            }
+        if sigma:
+            s = ev["sigma"].to_numpy(float)[:, None]
+            out["sigma"] = s[:, 0]
+            for k in LEVELS:
+                out |= {f"t_fav_{k}": _first(ok & (lf >= k * s)), f"t_adv_{k}": _first(ok & (la <= -k * s))}
+        return out
+
+    g = _grouped(e, bars, max(PATH_HORIZONS), compute, ", ".join(parts))
+    return g.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in [*(["sigma"] if sigma else []), *(f"close_{h}" for h in PATH_HORIZONS)]})
 
 
 def path_rows(p: DataFrame) -> DataFrame:
@@ -149,33 +209,38 @@ def diagnostics(events: DataFrame, bars: DataFrame) -> DataFrame:
     before the close. ``events`` may carry ``sigma`` for the first-passage codes (+1, -1, 0)."""
     sigma = "sigma" in events.columns
     e = events.select("series_id", "pos_fwd", *_own(events), *(["sigma"] if sigma else []))
-    first = bars.select("series_id", F.col("pos").alias("pos_fwd"), F.col("open").alias("p0"))
-    f = forward(e.join(first, ["series_id", "pos_fwd"]), bars, 120)
-    long = F.col("direction") > 0
-    up, dn = F.ln(F.col("b_high") / F.col("p0")), F.ln(F.col("b_low") / F.col("p0"))
-    f = f.withColumn("lf", F.when(long, up).otherwise(-dn)).withColumn("la", F.when(long, dn).otherwise(-up))
-    # the step into bar j: from the previous close, for bar 0 from the first open
-    prev = f.select("event_id", (F.col("j") + 1).alias("j"), F.col("b_close").alias("_pc")).where("j < 60")
-    f = f.join(prev, ["event_id", "j"], "left").withColumn("step", F.when(F.col("j") < 60, F.ln(F.col("b_close") / F.coalesce("_pc", "p0"))))
-    agg = [F.max("j").alias("last")]
-    agg += [F.max(F.when(F.col("j") == n - 1, F.col("b_close"))).alias(f"c{n}") for n in DIAG_RETURNS]
-    for n in DIAG_EXCURSIONS:
-        c = F.col("j") < n
-        agg += [F.max(F.when(c, F.col("lf"))).alias(f"fav{n}"), F.min(F.when(c, F.col("la"))).alias(f"adv{n}")]
-        agg += [F.min_by(F.col("j") + 1, F.when(c, F.struct(-F.col("lf"), "j"))).alias(f"tf{n}"), F.min_by(F.col("j") + 1, F.when(c, F.struct("la", "j"))).alias(f"ta{n}")]
-    if sigma:
-        for k in FIRST_PASSAGE:
-            c = F.col("j") < 60
-            agg += [F.min(F.when(c & (F.col("lf") >= F.col("sigma") * k), F.col("j"))).alias(f"u{k * 10:.0f}"), F.min(F.when(c & (F.col("la") <= -F.col("sigma") * k), F.col("j"))).alias(f"d{k * 10:.0f}")]
-    agg += [F.sum(F.abs("step")).alias("len"), F.abs(F.sum("step")).alias("net"), F.sqrt(F.sum(F.col("step") * F.col("step"))).alias("rv")]
-    g = f.groupBy(*_own(e), *(["sigma"] if sigma else []), "p0").agg(*agg)
-    whole = lambda n, c: F.when((F.col("last") >= n - 1) & (F.col("event_ns") + F.col("step_ns") * n <= F.col("close_ns")), c)
-    out = {f"DIAG_RET_{n}": whole(n, F.col("direction") * F.ln(F.col(f"c{n}") / F.col("p0"))) for n in DIAG_RETURNS}
+    code = {k: f"DIAG_FIRST_PASSAGE_{k}".replace(".", "_") for k in FIRST_PASSAGE} if sigma else {}
+    doubles = [f"DIAG_RET_{n}" for n in DIAG_RETURNS]
+    ints = []
     for n in DIAG_EXCURSIONS:
-        out |= {f"DIAG_MFE_{n}": whole(n, F.col(f"fav{n}")), f"DIAG_MAE_{n}": whole(n, F.col(f"adv{n}")), f"DIAG_TIME_TO_MFE_{n}": whole(n, F.col(f"tf{n}")), f"DIAG_TIME_TO_MAE_{n}": whole(n, F.col(f"ta{n}"))}
-    if sigma:
-        for k in FIRST_PASSAGE:
-            u, d = F.coalesce(F.col(f"u{k * 10:.0f}"), F.lit(9999)), F.coalesce(F.col(f"d{k * 10:.0f}"), F.lit(9999))
-            out[f"DIAG_FIRST_PASSAGE_{k}".replace(".", "_")] = whole(60, F.signum(d - u).cast("int"))
-    out |= {"DIAG_PATH_LENGTH_60": whole(60, F.col("len")), "DIAG_PATH_EFFICIENCY_60": whole(60, F.col("net") / F.nullif("len", F.lit(0.0))), "DIAG_FWD_RV_60": whole(60, F.col("rv"))}
-    return g.select("event_id", *(v.alias(k) for k, v in out.items()))
+        doubles += [f"DIAG_MFE_{n}", f"DIAG_MAE_{n}"]
+        ints += [f"DIAG_TIME_TO_MFE_{n}", f"DIAG_TIME_TO_MAE_{n}"]
+    doubles += ["DIAG_PATH_LENGTH_60", "DIAG_PATH_EFFICIENCY_60", "DIAG_FWD_RV_60"]
+    ints += list(code.values())
+
+    def compute(ev: pd.DataFrame, m: dict[str, np.ndarray], ok: np.ndarray) -> dict:
+        p0, _, lf, la = _oriented(ev, m)
+        d = ev["direction"].to_numpy(float)
+        ns, step, close = (ev[c].to_numpy() for c in ("event_ns", "step_ns", "close_ns"))
+        whole = lambda n: ok[:, n - 1] & (ns + step * n <= close)
+        real = lambda n, x: np.where(whole(n), x, np.nan)
+        count = lambda n, x: _nullable(x, whole(n))
+        fav, t_fav = _running(lf, ok)
+        worst, t_adv = _running(-la, ok)
+        out = {"event_id": ev["event_id"].to_numpy()} | {f"DIAG_RET_{n}": real(n, d * np.log(m["close"][:, n - 1] / p0[:, 0])) for n in DIAG_RETURNS}
+        for n in DIAG_EXCURSIONS:
+            out |= {f"DIAG_MFE_{n}": real(n, fav[:, n - 1]), f"DIAG_MAE_{n}": real(n, -worst[:, n - 1])}
+            out |= {f"DIAG_TIME_TO_MFE_{n}": count(n, t_fav[:, n - 1]), f"DIAG_TIME_TO_MAE_{n}": count(n, t_adv[:, n - 1])}
+        for k, name in code.items():
+            s = ev["sigma"].to_numpy(float)[:, None]
+            hit = lambda x: np.where(x.any(1), x.argmax(1), 9999)
+            u, w = hit((lf >= k * s)[:, :60]), hit((la <= -k * s)[:, :60])
+            out[name] = count(60, np.sign(w - u))
+        steps = np.log(m["close"][:, :60] / np.hstack([p0, m["close"][:, :59]]))
+        length, net = np.abs(steps).sum(1), np.abs(steps.sum(1))
+        with np.errstate(all="ignore"):
+            out |= {"DIAG_PATH_LENGTH_60": real(60, length), "DIAG_PATH_EFFICIENCY_60": real(60, net / length), "DIAG_FWD_RV_60": real(60, np.sqrt((steps**2).sum(1)))}
+        return out
+
+    g = _grouped(e, bars, 120, compute, ", ".join(["event_id string", *(f"{c} double" for c in doubles), *(f"{c} int" for c in ints)]))
+    return g.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in doubles})
