@@ -22,15 +22,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), DIGITS) + F.lit(0.0) for c, t in df.dtypes if t == "double"})
+def rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) + F.lit(0.0) for c, t in df.dtypes if t == "double"})
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, digits: int = DIGITS):
+    """Register a query. Points of absurd prices reach 1e7 and more, so summaries of points keep fewer decimals."""
+
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d))
+        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d), digits)
         if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = sql.replace(f", {DIGITS})", f", {digits})")
         return f
 
     return add
@@ -425,7 +427,7 @@ PATH_BASE = DIAG_BASE + f", pa AS (SELECT event_id, any_value(direction) AS dire
 ) + "),\npx AS (SELECT pl.*, ce.experiment_id, dim.symbol, year(make_timestamp(pl.event_ns // 1000)) AS year, direction_ * ln(close_h / p0) AS dir_log FROM (SELECT *, direction AS direction_ FROM pl) pl JOIN (SELECT event_id, experiment_id, series_id FROM ce) ce USING (event_id) JOIN dim USING (series_id))\n"
 
 
-@query(PATH_BASE + "SELECT event_id, h, elig, close_h, round(mfe, 10) + 0.0 AS mfe_pts, round(mae, 10) + 0.0 AS mae_pts, t_mfe, t_mae FROM pl")
+@query(PATH_BASE + "SELECT event_id, h, elig, close_h, round(mfe, 10) + 0.0 AS mfe_pts, round(mae, 10) + 0.0 AS mae_pts, t_mfe, t_mae FROM pl", digits=6)
 def pd1_path_engine(spark, d):
     b = placed_bars(spark, d)
     return targets.path_rows(targets.paths(eligible(spark, d, b), b))
@@ -450,7 +452,7 @@ def _qs(c: str, qs: list[float], name: str) -> str:
  round(avg(mfe), 10) + 0.0 AS mfe_mean, {_qs('mfe', [0.5, 0.75, 0.95], 'mfe')}, round(avg(-mae), 10) + 0.0 AS abs_mae_mean, {_qs('-mae', [0.5, 0.75, 0.95], 'abs_mae')},
  round(avg(mfe + mae), 10) + 0.0 AS dominance_mean, {_qs('mfe + mae', [0.25, 0.5, 0.75], 'dominance')}, round({_RATE.format(c='mfe + mae > 0')}, 10) AS dominance_gt_0,
  round(avg(t_mfe), 10) + 0.0 AS t_mfe_mean, {_qs('t_mfe', [0.5, 0.75, 0.95], 't_mfe')}, round(avg(t_mae), 10) + 0.0 AS t_mae_mean, round({_RATE.format(c='t_mfe < t_mae')}, 10) AS mfe_first, round({_RATE.format(c='t_mae < t_mfe')}, 10) AS mae_first
-FROM px WHERE elig GROUP BY 1, 2""")
+FROM px WHERE elig GROUP BY 1, 2""", digits=6)
 def pd7_excursion_summary(spark, d):
     return pathstats.excursion_summary(_paths(spark, d), ["symbol"])
 
@@ -492,18 +494,18 @@ CELL_BASE = PATH_BASE + f", cl AS (SELECT *, year(make_timestamp(event_ns // 100
 @query(CELL_BASE + f"""SELECT direction, expiry, stop_sigma, target_sigma, count(*) AS n, round({_RATE.format(c='code = 1')}, 10) AS target_rate, round({_RATE.format(c='code IN (2, 3)')}, 10) AS stop_rate, round({_RATE.format(c='code = 0')}, 10) AS expiry_rate, round({_RATE.format(c='code = 3')}, 10) AS same_bar_rate,
  round(avg(pnl), 10) + 0.0 AS mean_points, round(quantile_cont(pnl, 0.5), 10) + 0.0 AS median_points, round(avg(pnl / lose), 10) + 0.0 AS mean_r, round(quantile_cont(pnl / lose, 0.5), 10) + 0.0 AS median_r,
  round(sum(pnl) FILTER (WHERE pnl > 0) / abs(sum(pnl) FILTER (WHERE pnl < 0)), 10) + 0.0 AS profit_factor, round({_RATE.format(c='pnl > 0')}, 10) AS win_rate, round(avg(pnl) FILTER (WHERE pnl > 0), 10) + 0.0 AS mean_winner, round(avg(pnl) FILTER (WHERE pnl < 0), 10) + 0.0 AS mean_loser,
- {_qs('pnl', [0.05, 0.25, 0.75, 0.95], 'points')}, round(avg(raw_pnl), 10) + 0.0 AS raw_mean_points, count(raw_pnl) AS n_unambiguous FROM cl GROUP BY 1, 2, 3, 4""")
+ {_qs('pnl', [0.05, 0.25, 0.75, 0.95], 'points')}, round(avg(raw_pnl), 10) + 0.0 AS raw_mean_points, count(raw_pnl) AS n_unambiguous FROM cl GROUP BY 1, 2, 3, 4""", digits=6)
 def pd5_pd6_bracket_surface(spark, d):
     return pathstats.bracket_surface(_paths(spark, d), ["direction"])
 
 
 @query(CELL_BASE + """SELECT direction, expiry, stop_sigma, target_sigma, count(*) AS eligible_years, count(*) FILTER (WHERE m > 0) AS positive_years, round(min(m), 10) + 0.0 AS worst_year, round(max(m), 10) + 0.0 AS best_year, round(quantile_cont(m, 0.5), 10) + 0.0 AS median_year
-FROM (SELECT direction, year, expiry, stop_sigma, target_sigma, avg(pnl) AS m FROM cl GROUP BY ALL HAVING count(*) >= 20) GROUP BY 1, 2, 3, 4""")
+FROM (SELECT direction, year, expiry, stop_sigma, target_sigma, avg(pnl) AS m FROM cl GROUP BY ALL HAVING count(*) >= 20) GROUP BY 1, 2, 3, 4""", digits=6)
 def pd6_year_stability(spark, d):
     return pathstats.year_stability(_paths(spark, d), ["direction"], "year")
 
 
-@query(PATH_BASE + f"SELECT direction, year::BIGINT AS year, h, count(*) AS n, round({_RATE.format(c='dir_log > 0')}, 10) AS continuation, {_qs('mfe', [0.5, 0.95], 'mfe')}, {_qs('-mae', [0.5, 0.95], 'abs_mae')} FROM px WHERE elig GROUP BY 1, 2, 3 HAVING count(*) >= 20")
+@query(PATH_BASE + f"SELECT direction, year::BIGINT AS year, h, count(*) AS n, round({_RATE.format(c='dir_log > 0')}, 10) AS continuation, {_qs('mfe', [0.5, 0.95], 'mfe')}, {_qs('-mae', [0.5, 0.95], 'abs_mae')} FROM px WHERE elig GROUP BY 1, 2, 3 HAVING count(*) >= 20", digits=6)
 def pd9_yearly_table(spark, d):
     return pathstats.yearly_table(_paths(spark, d), ["direction"], "year")
 
