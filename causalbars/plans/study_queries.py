@@ -98,8 +98,8 @@ def src1_load_bars(spark, d):
 
 @query("SELECT symbol, count(*) AS n, max(bar_time) < TIMESTAMPTZ '2019-01-01 00:00:00+00' AS all_before FROM bars WHERE bar_time < TIMESTAMPTZ '2019-01-01 00:00:00+00' GROUP BY 1")
 def src2_bars_before(spark, d):
-    b = events.before(table(spark, d, "bars", "symbol", "bar_time"), "bar_time", "2019-01-01 00:00:00")
-    return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (F.max("bar_time") < F.lit("2019-01-01").cast("timestamp")).alias("all_before"))
+    b = events.before(table(spark, d, "bars", "symbol", "bar_time"), "bar_time", "2019-01-01 00:00:00+00:00")
+    return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (F.max("bar_time") < F.lit("2019-01-01 00:00:00+00:00").cast("timestamp")).alias("all_before"))
 
 
 @query("SELECT series_id, index_ns, count(*) AS n FROM bars GROUP BY 1, 2 HAVING count(*) > 1 OR index_ns IS NULL")
@@ -115,16 +115,17 @@ def flt1_flt2_partition_views(spark, d):
     ev = bar_source.clean_events(table(spark, d, "study_events"))
     x = table(spark, d, "experiments", "experiment_id", "campaign_id").distinct()
     c = table(spark, d, "campaigns", "campaign_id", "development_end", "selection_holdout_end")
-    day = lambda n: F.unix_micros(F.col(n).cast("date").cast("timestamp")) * 1000
+    day = lambda n: F.unix_date(F.col(n).cast("date")) * F.lit(86_400_000_000_000)
     j = ev.join(x, "experiment_id").join(c, "campaign_id").where(F.col("event_ns") < day("selection_holdout_end"))
     return j.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_development"), F.count(F.when(F.col("event_ns") >= day("development_end"), 1)).alias("n_holdout"))
 
 
-@query("""SELECT campaign_id, development_end::DATE AS development_end, selection_holdout_end::DATE AS holdout_end, lockbox_start::DATE AS lockbox_start,
+@query("""SELECT campaign_id, development_end::DATE::VARCHAR AS development_end, selection_holdout_end::DATE::VARCHAR AS holdout_end, lockbox_start::DATE::VARCHAR AS lockbox_start,
   (selection_holdout_end::DATE IN (development_end::DATE + INTERVAL 1 YEAR, development_end::DATE + INTERVAL 2 YEAR) AND lockbox_start::DATE = selection_holdout_end::DATE) AS valid
 FROM campaigns""")
 def flt3_partition_dates(spark, d):
-    return events.partition_dates(table(spark, d, "campaigns"))
+    p = events.partition_dates(table(spark, d, "campaigns"))
+    return p.withColumns({c: F.col(c).cast("string") for c in ("development_end", "holdout_end", "lockbox_start")})
 
 
 @query(sql("SELECT series_id, count(*) AS n FROM cb JOIN (SELECT series_id, max(event_ns) AS last FROM ce GROUP BY 1) USING (series_id) WHERE ts + step_ns <= last GROUP BY 1"))
