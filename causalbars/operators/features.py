@@ -2,9 +2,9 @@
 
 A series is cut into chunks of CHUNK positions; each chunk also gets the HALO bars before it, so a window
 never leaves its chunk and a long series is spread over the cluster. One grouped-map pass over the chunks
-computes all windows with NumPy. (As window expressions the bank has some 150 frames; that plan took 246 s
-where this pass takes a few on the same 590,000 bars. Running sums and their differences are no way out:
-one absurd price in a chunk blurs the windows after it.)"""
+computes all windows with NumPy. (As window expressions over exact, decimal running sums the bank has some
+150 frames; that plan took 246 s where this pass takes 13 s on the same 590,000 bars. Running sums of doubles
+are no way out: one absurd price in a chunk blurs the windows after it.)"""
 
 from __future__ import annotations
 

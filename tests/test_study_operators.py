@@ -344,3 +344,13 @@ def test_registry_and_reports(spark, tmp_path):
     b = synthetic.bars(spark, 3, phi=0.5)
     assert b.count() == 1170 and b.where("high < low").count() == 0
     assert synthetic.event_table(spark, 30, 4.0, signal="linear").stat.corr("x", "y") > 0.1
+
+
+def test_plugin_sources():
+    from causalbars.operators.plugins import problems
+
+    good = "def detect_events(bars, params):\n    x = bars['close'].shift(1) > bars['close'].rolling(params['n']).mean()\n    return bars[x]\n"
+    assert problems(good) == []
+    bad = "import os\nfrom random import choice\nx = 5\ny = b.shift(-1)\ny = b.shift(periods=-n)\nz = b.bfill()\nw = b.rolling(n, center=True)\nv = b.fillna(method='bfill')\nopen('f')\n"
+    assert [p.split(":")[0] for p in problems(bad)] == ["1", "2", "3", "4", "5", "6", "7", "8", "9"]
+    assert problems("def (") != []
