@@ -4,7 +4,8 @@ Each source is cut by time into blocks of bounded size, so that a source with a
 spread over the cluster; a block also gets the nearest readings of the blocks beside it. Per block the
 price and the volume chain run through forward-backward over the states normal, spike, stuck and
 out-of-range, whose emissions are scaled by the source's own medians. Rows to which the model gives a
-chance of not being normal are then held against the exact bounds."""
+chance of not being normal are then held against the exact bounds; runs of unchanged readings are told
+by their length alone."""
 
 from __future__ import annotations
 
@@ -89,6 +90,12 @@ def _rolling_median(x: np.ndarray, w: int = 9) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(p, w), axis=1)
 
 
+def _usual_share(same: np.ndarray, run: int) -> float:
+    """Share of the rows outside runs of ``run`` or more that equal a neighbour."""
+    free = same[same < run]
+    return float(np.clip(np.mean(free > 1), 0.01, 0.5)) if len(free) else 0.01
+
+
 def judge(rows: pd.DataFrame, move: float, vol: float, tick: float, k_price: float, k_volume: float, run: int, wide: int) -> pd.DataFrame:
     """Posteriors and flags of one block's rows, which are sorted by stamp; see ``implausible``."""
     h, lo, c, v, o = (rows[x].to_numpy(float) for x in ("high", "low", "close", "volume", "open"))
@@ -144,8 +151,9 @@ def judge(rows: pd.DataFrame, move: float, vol: float, tick: float, k_price: flo
             lik[bad] = (1e-9, 1e-9, 1e-9, 1.0)
             return np.maximum(lik, 1e-12)
 
-        p_eq = float(np.clip(np.mean(same[full] > 1), 0.01, 0.5)) if full.any() else 0.01
-        pv_eq = float(np.clip(np.mean(vsame[some] > 1), 0.01, 0.5)) if some.any() else 0.01
+        # stuck rows must not teach the model that equality is usual
+        p_eq = _usual_share(same[full], run)
+        pv_eq = _usual_share(vsame[some], run)
         vd = np.nan_to_num(np.abs(v) / vol) if vol > 0 else np.zeros(n)
         pp = posterior(chain(dist, same > 1, bad_price, p_eq))
         pv = posterior(chain(vd, vsame > 1, bad_volume, pv_eq))
@@ -173,7 +181,7 @@ def judge(rows: pd.DataFrame, move: float, vol: float, tick: float, k_price: flo
                 far = (far_i | ~has_i[:, None]) & (far_j | ~has_j[:, None]) & ~np.isnan(x)
                 flag_spike[odd] = far.any(1) & (rj - ri - 1 <= wide) & (has_i | has_j)
         flag_volume = (v > k_volume * vol) & ((1 - pv[:, 0]) > 0.01) if vol > 0 else np.zeros(n, bool)
-        flag_stuck = ((same >= run) & ((1 - pp[:, 0]) > 1e-3)) | ((vsame >= run) & ((1 - pv[:, 0]) > 1e-3))
+        flag_stuck = (same >= run) | (vsame >= run)
     reason = np.where(bad_price | bad_volume, "range", np.where(flag_stuck, "stuck", np.where(flag_spike | flag_volume, "spike", None)))
     return pd.DataFrame(
         {"bar_id": rows["bar_id"].to_numpy(), "p_spike": np.maximum(pp[:, 1], pv[:, 1]), "p_stuck": np.maximum(pp[:, 2], pv[:, 2]), "p_range": np.maximum(pp[:, 3], pv[:, 3]), "reason": reason}

@@ -46,6 +46,23 @@ def test_kinds(spark, block_rows):
     assert got == want
 
 
+def test_a_source_frozen_for_half_its_block(spark):
+    d = rows()
+    for i in range(100, 300):
+        d[i][4:8] = [d[100][7]] * 4
+    assert run(spark, d) == dict.fromkeys(range(100, 300), "stuck")
+
+
+def test_stuck_volumes_among_few_distinct_ones(spark):
+    d = rows()
+    for i in range(400):
+        d[i][8] = (1.0, 1.0, 2.0, 2.0, 3.0)[i % 5]
+    for i in range(200, 208):
+        d[i][8] = 2.0
+    d[199][8], d[208][8] = 3.0, 1.0
+    assert run(spark, d) == dict.fromkeys(range(200, 208), "stuck")
+
+
 def test_level_changes_short_runs_and_nulls_are_no_cases(spark):
     d = rows()
     for i in range(100, 400):  # a lasting change of level
