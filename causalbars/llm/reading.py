@@ -18,8 +18,8 @@ MAX_LABELLED = 6000
 MAX_PAIRS = 60_000
 SEED = 17
 LEAST_WORDS = 12
-#: A text in which log lines are more than this share of log tokens and prose words is a log.
-LOG_SHARE = 0.12
+#: A text in which log lines are more than this share of all tokens, those of lists, quotes and tables included, is a log.
+LOG_SHARE = 0.5
 
 # Frequent function words by language, and joining words of subordinate clauses.
 FUNCTION_WORDS = {
@@ -32,7 +32,8 @@ SUBORDINATORS = "although because since unless until whereas while when if that
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _LOG = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|^\s*\d\d:\d\d:\d\d\b|^\s*(?:INFO|WARN|ERROR|FAIL|DEBUG)\b")
-_SKIP = re.compile(r"^\s*(?:[-*+•|>#]|\d+[.)]\s|[`$])")
+# marks of lists, headings and prompts end with a blank: *emphasis*, -0.5 or `name` may begin a sentence
+_SKIP = re.compile(r"^\s*(?:[-*+$]\s|#{1,6}\s|[•|>]|\d+[.)]\s|```|`[^`]*`\s*$)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TOKEN = re.compile(r"\S+")
 _END = re.compile(r"[.!?;]+[\"'”’)\]]*(?=\s|$)")
@@ -44,15 +45,15 @@ def prose(text: str | None) -> list[str]:
     return scan(text)[0]
 
 
-def scan(text: str | None) -> tuple[list[str], int]:
-    """``prose`` and the number of tokens in log lines."""
+def scan(text: str | None) -> tuple[list[str], int, int]:
+    """``prose``, the number of tokens in log lines, and that in all lines outside of code."""
     if not text:
-        return [], 0
+        return [], 0, 0
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n\n", text)
     if "<" in text:
         text = _TAG.sub(lambda m: "\n" if m[2].lower() in ("p", "div", "li", "tr", "h1", "h2", "h3") else _tag(m), text)
-    out, cur, logged = [], [], 0
+    out, cur, logged, total = [], [], 0, 0
     for line in text.replace("\r\n", "\n").split("\n"):
         if not line or line.isspace():
             if cur:
@@ -60,13 +61,14 @@ def scan(text: str | None) -> tuple[list[str], int]:
                 cur = []
             continue
         n = len(line.split())
+        total += n
         if _LOG.match(line):
             logged += n
         elif n >= 2 and not _SKIP.match(line):
             cur.append(line)
     if cur:
         out.append("\n".join(cur))
-    return out, logged
+    return out, logged, total
 
 
 class Words:
@@ -116,8 +118,8 @@ def read(texts: list[str | None]) -> Batch:
     ws, ids, at, par, par_doc, sentences, commas, logs = Words(), [], [0], [0], [], [], [], []
     for d, text in enumerate(texts):
         s = c = 0
-        paragraphs, logged = scan(text)
-        logs.append(logged)
+        paragraphs, logged, total = scan(text)
+        logs.append(logged > LOG_SHARE * total)
         for p in paragraphs:
             p = plain(p) if ("&" in p or "\\" in p or not p.isascii() or "*" in p or "_" in p) and _mostly_ascii(p) else p.lower()
             got = _WORD.findall(p)
@@ -136,7 +138,7 @@ def read(texts: list[str | None]) -> Batch:
     n = np.maximum(b.at[1:] - b.at[:-1], 1)
     share = {k: (_sum(m[b.ids], b.at) if len(b.ids) else np.zeros(len(texts))) / n for k, m in lang.items()}
     rest = np.maximum.reduce([share[k] for k in share if k != "en"])
-    own = np.array(logs, float) <= LOG_SHARE / (1 - LOG_SHARE) * n  # else it is a log with something pasted in
+    own = ~np.array(logs, bool)  # else it is a log with something pasted in
     b.english = (b.at[1:] - b.at[:-1] >= LEAST_WORDS) & (share["en"] > 0.12) & (share["en"] > 1.3 * rest) & own
     return b
 

@@ -48,6 +48,30 @@ def test_own_prose_only(got):
     assert got[1007].level < 2.5
 
 
+@pytest.mark.parametrize("share", [0.15, 0.25, 0.4])
+def test_memos_with_log_lines_are_no_logs(share):
+    lines = LOG.split("\n")
+    per = len(lines[0].split())
+    k = max(1, round(share / (1 - share) * 300 / per))
+    memo = text(3, 11, 300)
+    half = len(memo) // 2
+    cut = memo.index(". ", half) + 2
+    mixed = memo[:cut] + "\n" + "\n".join(lines[i % 30] for i in range(k)) + "\n" + memo[cut:]
+    plain, got = reading.read([memo]), reading.read([mixed])
+    assert got.english.tolist() == [True] and got.at.tolist() == plain.at.tolist()
+    # many tables and little prose: the log lines are still no more than a part
+    table = "\n".join("| EXP | the of a | 12 | 13 |" for _ in range(60))
+    assert reading.read([text(3, 11, 60) + "\n\n" + table + "\n\n" + "\n".join(lines[:8])]).english.tolist() == [True]
+    assert reading.read([text(3, 11, 60) + "\n\n" + LOG]).english.tolist() == [False]
+
+
+def test_marks_that_begin_sentences():
+    for line in ("*Although* the fold is small it was kept", "-0.5 percent is what the fold has lost", "`fold` is the name that it was given", "#3 of the folds was the one at fault", "$5 is what the run costs"):
+        assert reading.prose(line) == [line]
+    for line in ("* the fold is small", "- the fold is small", "+ the fold", "# the fold", "## the fold", "> the fold is", "| the | fold |", "1. the fold", "`the fold is`", "$ cat fold", "• the fold"):
+        assert reading.prose(line) == []
+
+
 def test_isotonic():
     k, v = reading.isotonic(np.array([3.0, 1.0, 2.0, 4.0]), np.array([2.0, 1.0, 3.0, 5.0]))
     assert np.interp([1, 2, 3, 4], k, v).tolist() == [1.0, 2.5, 2.5, 5.0]
