@@ -162,10 +162,26 @@ def hierarchy(rows: DataFrame, node: str, parent: str, with_paths: bool = False,
     return out if with_paths else out.drop("path")
 
 
-def descendants(rows: DataFrame, node: str, parent: str) -> DataFrame:
-    """Every (ancestor, descendant, steps) pair of the acyclic part: what the asked-for result is.
-
-    Its size is the sum of depths; the pairs come from each node's own path, one row at a time."""
-    h = hierarchy(rows, node, parent, with_paths=True).where("depth > 0")
-    up = F.transform(F.slice("path", 1, F.col("depth").cast("int")), lambda x, i: F.struct(x.alias("ancestor"), (F.col("depth") - i).alias("steps")))
-    return h.select(F.col("id").alias("descendant"), F.inline(up)).select("ancestor", "descendant", "steps")
+def descendants(rows: DataFrame, node: str, parent: str, marked: bool = False) -> DataFrame:
+    """Every (ancestor, descendant, steps) pair, ``steps`` being the least number of steps up.
+
+    Where the ancestry runs into a cycle, all its members are ancestors of the nodes below it and of each
+    other, and each is its own after one turn. ``marked`` adds ``on_cycle``: the ancestor lies on a cycle.
+    The result's size is the sum of depths, plus for each node that hangs on a cycle the cycle's length;
+    the pairs come from each node's own path, one row at a time. To get paths there as well, the link above
+    each cycle's least member is left out: the way down from it to its parent is the cycle."""
+    h = hierarchy(rows, node, parent, with_paths=True)
+    up = F.transform(F.slice("path", 1, F.col("depth").cast("int")), lambda x, i: F.struct(x.alias("ancestor"), (F.col("depth") - i).alias("steps"), F.lit(False).alias("on_cycle")))
+    pairs = h.where("depth > 0").select(F.col("id").alias("descendant"), F.inline(up))
+    lost = cut(h.where("depth = -1").select("id", "root_id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("parent"), F.col("parent").alias("above")))
+    opened = cut(hierarchy(lost, "id", "parent", with_paths=True).select("id", "root_id", "depth", "path"))
+    rings = lost.where("id = root_id").select(F.col("above").alias("id")).join(opened, "id").select("root_id", F.col("path").alias("ring"))
+    # a path runs along the cycle and never comes back to it, so the members on it are its first ones
+    on = F.size(F.array_intersect("path", "ring"))
+    hung = opened.join(rings, "root_id").withColumn("on", on.cast("long")).withColumn("long", F.size("ring").cast("long"))
+    before = F.transform(F.slice("path", 1, F.col("depth").cast("int")), lambda x, i: F.struct(x.alias("ancestor"), (F.col("depth") - i).alias("steps"), (i < F.col("on")).alias("on_cycle")))
+    # the other members, over the link left out; a member itself comes last
+    first = F.least("on", "depth")
+    around = F.transform(F.expr("slice(ring, cast(least(on, depth) as int) + 1, cast(long as int))"), lambda x, i: F.struct(x.alias("ancestor"), (F.col("depth") + F.col("long") - first - i).alias("steps"), F.lit(True).alias("on_cycle")))
+    pairs = pairs.unionByName(hung.select(F.col("id").alias("descendant"), F.inline(F.concat(before, around))))
+    return pairs.select("ancestor", "descendant", "steps", *(["on_cycle"] if marked else []))

@@ -24,7 +24,7 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return lineage.descendants(table(spark, d, "experiments"), "experiment_id", "lineage_parent")
+    return lineage.descendants(table(spark, d, "experiments"), "experiment_id", "lineage_parent", marked=True)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

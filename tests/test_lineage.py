@@ -66,3 +66,26 @@ def test_descendants(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "b")], "node string, parent string")
     got = {tuple(r) for r in lineage.descendants(df, "node", "parent").collect()}
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 2), ("b", "d", 1)}
+
+
+def test_descendants_on_and_below_cycles(spark):
+    pairs = forest(80, 5) + [("B", "A"), ("A", "C2"), ("SELF", "self")]
+    ids = {n.upper(): n for n, _ in pairs}
+    up = {n: ids.get(max(((p or "").strip().upper() for m, p in pairs if m == n), default="")) for n in ids.values()}
+    want = set()
+    for n in up:
+        steps, at, seen = 0, n, {}
+        while up[at] and up[at] not in seen:
+            steps, at = steps + 1, up[at]
+            seen[at] = steps
+        ring = set()
+        if up[at]:
+            x = at
+            while x not in ring:
+                ring.add(x)
+                x = up[x]
+        want |= {(a, n, k, a in ring) for a, k in seen.items()}
+    df = spark.createDataFrame(pairs, "node string, parent string")
+    got = [tuple(r) for r in lineage.descendants(df, "node", "parent", marked=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {("A", "B", 1, False), ("C2", "B", 2, True), ("C1", "B", 8, True), ("SELF", "SELF", 1, True)} <= want
