@@ -3,15 +3,14 @@
 Each source is cut by time into blocks of bounded size, so that a source with a third of all rows is
 spread over the cluster; a block also gets the nearest readings of the blocks beside it. Per block the
 price and the volume chain run through forward-backward over the states normal, spike, stuck and
-out-of-range, whose emissions are scaled by the source's own medians. Rows to which the model gives a
-chance of not being normal are then held against the exact bounds; runs of unchanged readings are told
-by their length alone."""
+out-of-range, whose emissions are scaled by the source's own medians. What is flagged is told by the
+exact bounds and the exact medians alone; the model gives the chances beside it."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalbars.runtime import clean_double, cut
@@ -23,7 +22,7 @@ START = np.array([0.97, 0.01, 0.01, 0.01])
 EDGE = 16  # readings a block gets from either side
 NEAR_BLOCKS = 8  # from at most so many blocks: enough for runs of eight readings even if each has one
 CHUNK, LAP = 256, 64  # rows of one forward-backward chain, and its warm-up on either side
-POINT = 32  # one quantile point stands for so many values in a block's summary
+POINT = 32  # values of a block that share one pair of bounds while a median is being closed in
 
 
 def forward_backward(lik: np.ndarray, trans: np.ndarray = TRANSITIONS, start: np.ndarray = START) -> np.ndarray:
@@ -83,11 +82,14 @@ def _match(reading: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _rolling_median(x: np.ndarray, w: int = 9) -> np.ndarray:
-    h = w // 2
-    if len(x) == 0:
-        return x
-    p = np.pad(x, h, mode="edge") if len(x) else x
-    return np.median(np.lib.stride_tricks.sliding_window_view(p, w), axis=1)
+    """Median of the ``w`` values around each; fewer at the ends."""
+    h, n = w // 2, len(x)
+    out = np.empty(n)
+    if n >= w:
+        out[h : n - h] = np.median(np.lib.stride_tricks.sliding_window_view(x, w), axis=1)
+    for i in range(n) if n < w else (*range(h), *range(n - h, n)):
+        out[i] = np.median(x[max(i - h, 0) : i + h + 1])
+    return out
 
 
 def _usual_share(same: np.ndarray, run: int) -> float:
@@ -96,8 +98,11 @@ def _usual_share(same: np.ndarray, run: int) -> float:
     return float(np.clip(np.mean(free > 1), 0.01, 0.5)) if len(free) else 0.01
 
 
-def judge(rows: pd.DataFrame, move: float, vol: float, tick: float, k_price: float, k_volume: float, run: int, wide: int) -> pd.DataFrame:
-    """Posteriors and flags of one block's rows, which are sorted by stamp; see ``implausible``."""
+def judge(
+    rows: pd.DataFrame, move: float, vol: float, tick: float, k_price: float, k_volume: float, run: int, wide: int, more: tuple[bool, bool] = (False, False)
+) -> pd.DataFrame:
+    """Posteriors and flags of one block's rows, which are sorted by stamp; see ``implausible``. ``move``
+    and ``vol`` are NaN if unknown; ``more``: the source goes on before, and after, the block."""
     h, lo, c, v, o = (rows[x].to_numpy(float) for x in ("high", "low", "close", "volume", "open"))
     n = len(rows)
     _, t = np.unique(rows["index_ns"].to_numpy(np.int64), return_inverse=True)
@@ -154,33 +159,32 @@ def judge(rows: pd.DataFrame, move: float, vol: float, tick: float, k_price: flo
         # stuck rows must not teach the model that equality is usual
         p_eq = _usual_share(same[full], run)
         pv_eq = _usual_share(vsame[some], run)
-        vd = np.nan_to_num(np.abs(v) / vol) if vol > 0 else np.zeros(n)
+        vd = np.nan_to_num(np.abs(v) / vol) if vol > 0 else np.where(np.nan_to_num(v) != 0, 60.0, 0.0) if vol == 0 else np.zeros(n)
         pp = posterior(chain(dist, same > 1, bad_price, p_eq))
         pv = posterior(chain(vd, vsame > 1, bad_volume, pv_eq))
 
-        # bounds. Levels before and after a row are the nearest readings that the model takes for normal
+        # bounds. Levels before and after a row are the nearest readings that stay near the level around them
         flag_spike = np.zeros(n, bool)
-        odd = np.flatnonzero(((1 - pp[:, 0]) > 0.01) & (dist > 0))
-        if len(odd) and len(lev_t):
-            dl = np.abs(lev - med) / scale
-            normal = dl <= k_price / 2
+        if len(lev_t):
+            normal = np.abs(lev - med) <= k_price / 2 * move
             any_t = np.unique(t[~np.isnan(prices).all(1)])
             nt, nl = lev_t[normal], lev[normal]
             rank = np.searchsorted(any_t, nt)
-            r_row = np.searchsorted(any_t, t[odd])
-            i = np.searchsorted(nt, t[odd], side="left") - 1
-            j = np.searchsorted(nt, t[odd], side="right")
+            r_row = np.searchsorted(any_t, t)
+            i = np.searchsorted(nt, t, side="left") - 1
+            j = np.searchsorted(nt, t, side="right")
             has_i, has_j = i >= 0, j < len(nt)
             if len(nt):
                 li, lj = nl[np.maximum(i, 0)], nl[np.minimum(j, len(nl) - 1)]
                 ri = np.where(has_i, rank[np.maximum(i, 0)], r_row - 1)
                 rj = np.where(has_j, rank[np.minimum(j, len(nl) - 1)], r_row + 1)
-                x = prices[odd]
-                far_i = np.abs(x - li[:, None]) > k_price * scale
-                far_j = np.abs(x - lj[:, None]) > k_price * scale
-                far = (far_i | ~has_i[:, None]) & (far_j | ~has_j[:, None]) & ~np.isnan(x)
-                flag_spike[odd] = far.any(1) & (rj - ri - 1 <= wide) & (has_i | has_j)
-        flag_volume = (v > k_volume * vol) & ((1 - pv[:, 0]) > 0.01) if vol > 0 else np.zeros(n, bool)
+                far_i = np.abs(prices - li[:, None]) > k_price * move
+                far_j = np.abs(prices - lj[:, None]) > k_price * move
+                far = (far_i | ~has_i[:, None]) & (far_j | ~has_j[:, None]) & ~np.isnan(prices)
+                # no level among the readings of the next blocks: more than ``wide`` stand there
+                beyond = (~has_i & more[0]) | (~has_j & more[1])
+                flag_spike = far.any(1) & (rj - ri - 1 <= wide) & (has_i | has_j) & ~beyond
+        flag_volume = v > k_volume * vol
         flag_stuck = (same >= run) | (vsame >= run)
     reason = np.where(bad_price | bad_volume, "range", np.where(flag_stuck, "stuck", np.where(flag_spike | flag_volume, "spike", None)))
     return pd.DataFrame(
@@ -188,6 +192,38 @@ def judge(rows: pd.DataFrame, move: float, vol: float, tick: float, k_price: flo
     )
 
 
+def _told(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a`` with the columns of ``b`` for its (series_id, kind); a NULL series counts as one."""
+    b = b.withColumnsRenamed({"series_id": "_s", "kind": "_k"})
+    return a.join(b, F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_k"))).drop("_s", "_k")
+
+
+def medians(values: DataFrame) -> DataFrame:
+    """The exact median ``x`` per (series_id, kind) of sorted arrays ``xs`` that together hold its values.
+
+    POINT neighbours of an array share their least and largest value; the medians of these, weighted by
+    their number, are bounds of the median sought. Only what lies between them is then counted by value."""
+    keys = ["series_id", "kind"]
+    sizes = values.groupBy(keys).agg(F.sum(F.size("xs")).alias("n")).select(*keys, F.expr("(n - 1) div 2").alias("k1"), F.expr("n div 2").alias("k2"))
+    points = values.select(
+        *keys, F.expr(f"inline(transform(sequence(0L, (size(xs) - 1) div {POINT}), i -> struct(xs[i * {POINT}] as lo, xs[least(i * {POINT} + {POINT - 1}, size(xs) - 1)] as hi, least({POINT}, size(xs) - i * {POINT}) as w)))")
+    )
+    along = Window.partitionBy(keys).orderBy(F.col("v").asc_nulls_first())
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("c") > F.col(rank)) & (F.col("c") - F.col("w") <= F.col(rank)), F.col("v")))
+
+    def ranked(df: DataFrame) -> DataFrame:
+        return _told(df.groupBy(*keys, "v").agg(F.sum("w").alias("w")).withColumn("c", F.sum("w").over(along)), sizes).groupBy(keys)
+
+    low = ranked(points.withColumnRenamed("lo", "v")).agg(at("k1").alias("lo"))
+    bounds = cut(_told(low, ranked(points.withColumnRenamed("hi", "v")).agg(at("k2").alias("hi"))))
+    near = _told(values, bounds).select(
+        *keys, F.expr("inline(concat(array(struct(cast(null as double) as v, size(filter(xs, x -> x < lo)) as w)), transform(filter(xs, x -> x >= lo and x <= hi), x -> struct(x as v, 1 as w))))")
+    )  # the values below the bounds count under NULL, which comes first
+    return ranked(near).agg((at("k1") * 0.5 + at("k2") * 0.5).alias("x"))
+
+
 def implausible(
     bars: DataFrame, instruments: DataFrame, k_price: float = 22.0, k_volume: float = 30.0, run: int = 8, wide: int = 3, block_rows: int = 8192
 ) -> DataFrame:
@@ -199,7 +235,9 @@ def implausible(
     the levels before and after it, for at most ``wide`` readings, or a volume above ``k_volume`` times its
     median. NULLs, NaNs and infinities are no values: they neither are cases nor break a run. Copies of one
     stamp are judged each by its own values. A reading without a stamp is held against the range bounds
-    only. Medians come from quantile points of each block, one per 32 values. An unknown symbol has tick 0."""
+    only. Medians are exact, of all values of the source (see ``medians``); where one is 0 any other volume, and
+    any price off both levels, exceeds it. A source without a move or volume has no such spikes. An unknown
+    symbol has tick 0."""
     ins = instruments.select(F.col("symbol").alias("_sym"), F.col("tick_size").alias("tick"), F.col("bar_seconds").alias("_sec")).dropDuplicates(["_sym"])
     keyed = (
         bars.select("bar_id", "series_id", F.col("symbol").alias("_sym"), F.col("index_ns").cast("long").alias("index_ns"), *(clean_double(x).alias(x) for x in ("open", "high", "low", "close", "volume")))
@@ -214,17 +252,17 @@ def implausible(
     )
     keyed = keyed.where("index_ns is not null")
     cols = ["bar_id", "index_ns", "open", "high", "low", "close", "volume", "tick"]
-    kinds = "series_id string, block bigint, kind string, x double, bar_id bigint, index_ns bigint, open double, high double, low double, close double, volume double, tick double"
+    kinds = "series_id string, block bigint, kind string, x double, xs array<double>, bar_id bigint, index_ns bigint, open double, high double, low double, close double, volume double, tick double"
 
     def summarise(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["index_ns", "bar_id"], kind="stable")
         ok = g[g["close"].notna() & (g["close"] > 0)].drop_duplicates("index_ns")
         parts = []
         for kind, x in (("move", np.abs(np.diff(ok["close"].to_numpy(float)))), ("volume", g["volume"].dropna().to_numpy(float))):
-            x = np.sort(x)
             if len(x):
-                at = np.minimum(np.arange(POINT // 2, len(x) + POINT // 2, POINT), len(x) - 1)
-                parts.append(pd.DataFrame({"kind": kind, "x": x[at]}))
+                parts.append(pd.DataFrame({"kind": [kind], "xs": [np.sort(x)]}))
+        if len(ok):  # for the move from block to block
+            parts.append(pd.DataFrame({"kind": ["ends"], "index_ns": ok["index_ns"].iloc[:1], "x": ok["close"].iloc[0], "close": ok["close"].iloc[-1]}))
         used = g[g[["high", "low", "close", "volume"]].notna().any(axis=1)]
         d = used["index_ns"].rank(method="dense")
         for kind, edge in (("head", used[d <= EDGE]), ("tail", used[d > (d.max() if len(d) else 0) - EDGE])):
@@ -232,11 +270,15 @@ def implausible(
         parts.append(pd.DataFrame({"kind": ["block"]}))
         out = pd.concat(parts, ignore_index=True)
         out["series_id"], out["block"] = key[0], key[1]
-        return out.reindex(columns=["series_id", "block", "kind", "x", *cols])
+        out = out.reindex(columns=["series_id", "block", "kind", "x", "xs", *cols])
+        out["xs"] = [x if isinstance(x, np.ndarray) else None for x in out["xs"]]
+        return out
 
     summary = cut(keyed.groupBy("series_id", "block").applyInPandas(summarise, kinds))
-    mid = lambda kind: F.percentile_approx(F.when(F.col("kind") == kind, F.col("x")), 0.5, 20000)
-    usual = summary.where("kind in ('move', 'volume')").groupBy("series_id").agg(mid("move").alias("move"), mid("volume").alias("vol"))
+    across = summary.where("kind = 'ends'").select("series_id", F.abs(F.col("x") - F.lag("close").over(Window.partitionBy("series_id").orderBy("index_ns"))).alias("x"))
+    across = across.where("x is not null").select("series_id", F.lit("move").alias("kind"), F.array("x").alias("xs"))
+    mid = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("x")))
+    usual = medians(summary.where("kind in ('move', 'volume')").select("series_id", "kind", "xs").unionByName(across)).groupBy("series_id").agg(mid("move").alias("move"), mid("volume").alias("vol"))
     w = Window.partitionBy("series_id").orderBy("block")
     blocks = summary.where("kind = 'block'").select(
         "series_id", "block", F.collect_list("block").over(w.rowsBetween(-NEAR_BLOCKS, -1)).alias("before"), F.collect_list("block").over(w.rowsBetween(1, NEAR_BLOCKS)).alias("after")
@@ -256,12 +298,13 @@ def implausible(
         if own.empty:
             return pd.DataFrame({"bar_id": [], "p_spike": [], "p_stuck": [], "p_range": [], "reason": []})
         told = ctx[ctx["kind"] == "usual"]
-        move, vol = (float(np.nan_to_num(told[x].iloc[0])) if len(told) else 0.0 for x in ("move", "vol"))
+        move, vol = (float(told[x].astype(float).iloc[0]) if len(told) else np.nan for x in ("move", "vol"))
         halo = ctx[ctx["kind"] != "usual"]
         own = own.assign(_own=True)
         rows = pd.concat([own, halo.assign(_own=False)[[*cols, "_own"]]], ignore_index=True) if len(halo) else own
         rows = rows.sort_values(["index_ns", "bar_id"], kind="stable", ignore_index=True)
-        res = judge(rows, move, vol, float(own["tick"].iloc[0]), k_price, k_volume, run, wide)
+        more = bool((halo["index_ns"] < own["index_ns"].min()).any()), bool((halo["index_ns"] > own["index_ns"].max()).any())
+        res = judge(rows, move, vol, float(own["tick"].iloc[0]), k_price, k_volume, run, wide, more)
         res = res[rows["_own"].to_numpy(bool)]
         return res.assign(bar_id=res["bar_id"].astype("int64"))
 

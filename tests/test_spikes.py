@@ -95,6 +95,62 @@ def test_copies_are_judged_by_their_own_values(spark):
     assert got == {1000: "spike"} | dict.fromkeys(range(200, 208), "stuck")
 
 
+def test_few_readings(spark):
+    d = rows(15)
+    for k in (4, 5, 6, 7):
+        d[7][k] *= 10
+    d[11][8] = 60_000.0
+    assert run(spark, d) == {7: "spike", 11: "spike"}
+
+
+def test_medians_of_zero(spark):
+    d = rows(60)
+    for i in range(60):  # prices that move every fifth reading, and volumes that are mostly 0
+        d[i][4:9] = [100.0 + i // 5] * 4 + [0.0]
+    d[30][8] = 5.0
+    d[42][5] += 0.01
+    assert run(spark, d) == {30: "spike", 42: "spike"}
+
+
+@pytest.mark.parametrize("block_rows", [8192, 8])
+def test_small_sources_as_in_sql(spark, block_rows):
+    import duckdb
+
+    from causalbars.plans.data_queries import P1_SQL
+
+    r = np.random.default_rng(7)
+    d = []
+    for s in range(40):
+        part = rows(int(r.integers(1, 70)), seed=s)
+        for x in part:
+            x[0], x[1] = len(d), f"S{s}"
+            if s % 3 == 0:
+                x[8] = float(r.choice([0, 0, 0, 1, 40]))
+            elif r.random() < 0.03:
+                x[8] *= 100
+            if r.random() < 0.04:
+                x[5] += float(r.choice([0.1, 0.3, 2, 50]))
+            elif r.random() < 0.03:
+                x[4:8] = [y * 3 for y in x[4:8]]
+            d.append(x)
+    bars = spark.createDataFrame([tuple(x) for x in d], SCHEMA).toPandas()  # noqa: F841
+    instruments = spark.createDataFrame([("A", 300, 0.01, "clash")], INS).drop("close").toPandas()  # noqa: F841
+    bars = bars.drop(columns="tick_size")
+    want = {x[0] for x in duckdb.sql(P1_SQL).fetchall()}
+    assert set(run(spark, d, block_rows=block_rows)) == want and len(want) > 50
+
+
+def test_medians_are_exact(spark):
+    r = np.random.default_rng(3)
+    parts = [(k, kind, np.sort(np.round(r.normal(size=n), 1 if k == "b" else 9)).tolist()) for k in ("a", "b", None) for kind in ("move", "volume") for n in (1, 17, 48, 300, 33)]
+    parts += [("one", "move", [2.0]), ("two", "move", [1.0, 4.0])]
+    got = {(x.series_id, x.kind): x.x for x in spikes.medians(spark.createDataFrame(parts, "series_id string, kind string, xs array<double>")).collect()}
+    want = {}
+    for k, kind, x in parts:
+        want.setdefault((k, kind), []).extend(x)
+    assert got == pytest.approx({k: np.median(x) for k, x in want.items()}, abs=0)
+
+
 def test_odd_rows(spark):
     d = rows(30)
     d[3][3] = None  # no stamp: only bounds can be told
