@@ -27,7 +27,8 @@ class Leaf:
 @dataclass(frozen=True)
 class Repeated:
     """An array of objects (a bare object counts as an array of one), or, with ``keyed``, a map whose
-    keys become the leaf ``key``. ``encoded``: an element may be the JSON text of its object."""
+    keys become the leaf ``key``. ``encoded``: an element may be the JSON text of its object. ``bare``: the
+    leaf that an element stands for which is only a string or number."""
 
     name: str
     leaves: tuple[Leaf, ...] = ()
@@ -35,6 +36,7 @@ class Repeated:
     keyed: bool = False
     encoded: bool = False
     skip: tuple[str, ...] = field(default=())
+    bare: str | None = None
 
 
 def _leaf_text(v: object) -> str | None:
@@ -68,6 +70,8 @@ class Shredder:
             return [(k, x) for k, x in v.items() if k not in node.skip] if isinstance(v, dict) else []
         if isinstance(v, dict):
             return [(None, v)]
+        if node.bare and isinstance(v, (str, int, float)):
+            return [(None, v)]
         return [(None, x) for x in v] if isinstance(v, list) else []
 
     def _absent(self, record: int, node: Repeated, at: str, rep: int, level: int) -> None:
@@ -85,7 +89,9 @@ class Shredder:
                     y = json.loads(x)
                 except ValueError:
                     y = x
-                x = y if isinstance(y, dict) else x
+                x = y if isinstance(y, (dict, str)) else x
+            if node.bare and isinstance(x, (str, int, float)) and not (node.encoded and str(x).lstrip()[:1] in ("{", "[")):  # no cut-off object
+                x = {node.bare: x}
             is_object = isinstance(x, dict)
             # an element that is no object keeps its position but is not defined at this level
             defined = level if is_object or node.keyed else level - 1
@@ -232,6 +238,8 @@ SENSITIVITY = Repeated(
     ),
     keyed=True,
     encoded=True,
+    skip=("status", "groups"),
+    bare="verdict",
 )
 VERIFICATION = Repeated(
     "entry",
@@ -240,11 +248,12 @@ VERIFICATION = Repeated(
         Repeated(
             "checks",
             (Leaf("family"), Leaf("status")),
-            (Repeated("findings", (Leaf("code"), Leaf("severity"), Leaf("where"))),),
+            (Repeated("findings", (Leaf("code"), Leaf("severity"), Leaf("where")), (Repeated("where", (Leaf("fold"),), (Repeated("bars", (Leaf("bar"),), bare="bar"),)),)),),
         ),
     ),
     keyed=True,
     encoded=True,
+    bare="label",
 )
 
 
@@ -264,3 +273,18 @@ def registry_leaves(experiments: DataFrame) -> DataFrame:
         F.when(F.col("pos_3") < 0, F.col("entry_checks_family")).otherwise(F.col("entry_checks_findings_code")).alias("leaf_name"),
     )
     return a.unionByName(b).distinct()
+
+
+def registry_table(experiments: DataFrame, kind: str, table: str) -> DataFrame:
+    """One table of the 'sensitivity' or 'verification' documents, each row once: ``experiment_id``,
+    ``entry_key``, the position ``<name>_no`` in each repeated ancestor below the entry, and the leaves."""
+    root, under = (SENSITIVITY, "groups") if kind == "sensitivity" else (VERIFICATION, None)
+    t = flat_table(experiments, "experiment_id", f"{kind}_json", root, table, under=under).drop("pos_1")  # the order of a map means nothing
+    names = {f"pos_{k}": f"{x}_no" for k, x in enumerate(table.split("."), 1)} | {"record_key": "experiment_id", "entry_key": "entry_key"}
+    return t.select(*(F.col(c).alias(names.get(c, c.removeprefix("entry_"))) for c in t.columns)).distinct()
+
+
+def registry_entries(experiments: DataFrame) -> DataFrame:
+    """The entries of both documents, told apart by ``doc_kind``."""
+    a, b = (registry_table(experiments, k, "entry").withColumn("doc_kind", F.lit(k)) for k in ("sensitivity", "verification"))
+    return a.unionByName(b, allowMissingColumns=True)

@@ -31,6 +31,34 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.registry_leaves(table(spark, d, "experiments"))
 
 
+def p4_entries(spark: SparkSession, d: str) -> DataFrame:
+    return nested.registry_entries(table(spark, d, "experiments"))
+
+
+def p4_probes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.registry_table(table(spark, d, "experiments"), "sensitivity", "entry.probes")
+
+
+def p4_models(spark: SparkSession, d: str) -> DataFrame:
+    return nested.registry_table(table(spark, d, "experiments"), "sensitivity", "entry.probes.models")
+
+
+def p4_by_year(spark: SparkSession, d: str) -> DataFrame:
+    return nested.registry_table(table(spark, d, "experiments"), "sensitivity", "entry.probes.models.by_year")
+
+
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    return nested.registry_table(table(spark, d, "experiments"), "verification", "entry.checks")
+
+
+def p4_findings(spark: SparkSession, d: str) -> DataFrame:
+    return nested.registry_table(table(spark, d, "experiments"), "verification", "entry.checks.findings")
+
+
+def p4_bars(spark: SparkSession, d: str) -> DataFrame:
+    return nested.registry_table(table(spark, d, "experiments"), "verification", "entry.checks.findings.where.bars")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(table(spark, d, "bars"), table(spark, d, "instruments")).where("state <> 'reading'").select("series_id", "slot_ns")
 
@@ -39,7 +67,7 @@ def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(table(spark, d, "bars"), table(spark, d, "instruments"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_paths, p2_descendants, p4_found, p5_found, p5_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_paths, p2_descendants, p4_found, p4_entries, p4_probes, p4_models, p4_by_year, p4_checks, p4_findings, p4_bars, p5_found, p5_grid)}
 
 P1_SQL = """
 WITH b AS (

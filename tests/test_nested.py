@@ -100,3 +100,18 @@ def test_long_document_and_levels(spark):
     assert nested.flat_table(df, "k", "j", nested.SENSITIVITY, "entry.probes.models").count() == 5000
     lv = nested.shredded(df, "k", "j", nested.SENSITIVITY).where("path = 'entry.probes.models.model'").groupBy("rep").count().collect()
     assert {r["rep"]: r["count"] for r in lv} == {0: 1, 1: 199, 2: 800, 3: 4000}
+
+
+def test_registry_tables(spark):
+    sens = {"status": "RUN", "groups": {"A|U": "FAILED", "B|U": json.dumps({"verdict": "OK", "probes": [{"parameter": "q", "models": [{"model": "R", "by_year": [{"year": 2019, "uplift": 0.5}, {"year": 2020}]}]}]}), "C|U": '{"verdict": "cut'}}
+    verif = {"A|X": "NOT_RUN", "B|X": {"label": "PASS", "checks": [{"family": "f", "findings": [{"code": "C", "where": {"fold": 2, "bars": [7, 9]}}, {"code": "D"}]}, {"family": "g"}]}}
+    rows = [("E", json.dumps(sens), json.dumps(verif)), ("E", json.dumps({"groups": dict(reversed(sens["groups"].items()))}), json.dumps(verif, indent=1)), ("F", '{"status": "RUN", "groups": null}', "{")]
+    df = spark.createDataFrame(rows, "experiment_id string, sensitivity_json string, verification_json string")
+    tell = lambda t, *c: sorted(map(tuple, t.select(*c).collect()), key=str)
+    got = nested.registry_entries(df)
+    assert tell(got, "experiment_id", "entry_key", "verdict", "label") == [("E", "A|U", "FAILED", None), ("E", "A|X", None, "NOT_RUN"), ("E", "B|U", "OK", None), ("E", "B|X", None, "PASS"), ("E", "C|U", None, None)]
+    assert tell(nested.registry_table(df, "sensitivity", "entry.probes"), "entry_key", "probes_no", "probes_parameter", "verdict") == [("B|U", 0, "q", "OK")]
+    assert tell(nested.registry_table(df, "sensitivity", "entry.probes.models.by_year"), "entry_key", "by_year_no", "probes_models_by_year_year", "probes_models_by_year_uplift") == [("B|U", 0, "2019", "0.5"), ("B|U", 1, "2020", None)]
+    assert tell(nested.registry_table(df, "verification", "entry.checks"), "entry_key", "checks_no", "checks_family") == [("B|X", 0, "f"), ("B|X", 1, "g")]
+    bars = nested.registry_table(df, "verification", "entry.checks.findings.where.bars")
+    assert tell(bars, "checks_no", "findings_no", "checks_findings_where_fold", "bars_no", "checks_findings_where_bars_bar") == [(0, 0, "2", 0, "7"), (0, 0, "2", 1, "9")]
