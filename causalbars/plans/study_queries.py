@@ -517,11 +517,13 @@ PANEL_SCORE = "RANGE_POS_15"
 TZ = "America/New_York"
 
 
-def _rows(spark, d, wanted=(PANEL_SCORE,)):
-    """Resolved targets of all events pooled, with features and a common zone, as one study."""
+def _rows(spark, d, wanted=(PANEL_SCORE,), chosen=PANEL_TARGETS):
+    """Resolved targets of all events pooled, with features and a common zone, as one study; all if ``chosen`` is None."""
     b = placed_bars(spark, d)
     e = eligible(spark, d, b)
-    t = targets.inside_session(targets.primary_targets(e, b)).where(F.col("target_name").isin(*PANEL_TARGETS))
+    t = targets.inside_session(targets.primary_targets(e, b))
+    if chosen is not None:
+        t = t.where(F.col("target_name").isin(*chosen))
     f = features.compute_features(e, b, list(wanted))
     x = e.select("event_id", "event_ns", "symbol", "step_ns", "experiment_id").join(f, "event_id")
     for n in wanted:
@@ -572,13 +574,20 @@ def cv5_score_panel(spark, d):
     return _panel(spark, d).select("target", "event_id", "event_ns", "fold", "score", "threshold", "state", "y")
 
 
-MODEL_FEATURES = ["RET_5", "RET_15", "RET_30", "RET_60", "RV_15", "RV_60", "ER_15", "ER_60", "COUNT_BALANCE_15", "BODY_BALANCE_30", "RANGE_POS_15", "RANGE_POS_60", "SIGNED_VOLUME_15", "minutes_since_RTH_open", "day_of_week"]
+def _model_rows(spark, d):
+    """Fold rows of all primary targets with the whole feature bank. Folds are cut from all eligible events,
+    those with the history that the bank needs, whatever becomes of their targets and features; only then are
+    rows without them dropped."""
+    b = placed_bars(spark, d)
+    e = eligible(spark, d, b).where(F.col("pos_t") + 1 >= features.MIN_HISTORY).withColumns({"tz": F.lit(TZ), "study": F.lit("pooled")})
+    folds = crossval.development_folds(e.select("event_id", "event_ns", "tz", "study").distinct(), ["study"])
+    return crossval.fold_rows(_rows(spark, d, tuple(features.NAMES), None).withColumn("study", F.lit("pooled")), folds, ["study"])
 
 
 @query()
 def cv6_model_panels(spark, d):
     """Walk-forward of all three models over the pooled events: fits, so no SQL."""
-    return crossval.walk_forward(_folded(spark, d, tuple(MODEL_FEATURES)), ["target"], MODEL_FEATURES)
+    return crossval.walk_forward(_model_rows(spark, d), ["target"], features.NAMES)
 
 
 SPLIT_BASE = PANEL_BASE + """, sp AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS split, a, b FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b) WHERE a < b),
@@ -816,7 +825,7 @@ def ud4_causality_check(spark, d):
 @query()
 def m5_importances(spark, d):
     """Importances and coefficient signs of the three models, per target and fold: fits, so no SQL."""
-    return crossval.importances(_folded(spark, d, tuple(MODEL_FEATURES)), ["target", "fold"], MODEL_FEATURES)
+    return crossval.importances(_model_rows(spark, d), ["target", "fold"], features.NAMES)
 
 
 HOLDOUT = ("2019-01-01", "2020-01-01")
