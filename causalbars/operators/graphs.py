@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalbars.runtime import cut
+from causalbars.runtime import stored
 
 
 def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -13,11 +13,11 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Large-star and small-star steps: each round links the neighbours of a node above it, then those
     not above it, to the least node around; the number of rounds grows with the logarithm of the size,
-    every step is a grouped minimum and an equi-join, and one checkpoint a round cuts the lineage.
+    every step is a grouped minimum and an equi-join, and one written table a round cuts the lineage.
     NULL ends are left out; a link from a node to itself only names the node."""
     e = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    e = cut(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = stored(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -25,7 +25,7 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         down = large.where("u <> v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        new = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        new = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         same = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
         e = new
         if same:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalbars.runtime import cut
+from causalbars.runtime import stored
 
-CORE = 200_000  # edges that one task contracts in memory; about 300 bytes each
 MAX_ROUNDS = 400  # contraction is geometric; this only stops a defect from looping for ever
+MAX_TURNS = 64  # undoing doubles the steps a turn
 
 
 def _norm(c: str):
@@ -26,30 +24,29 @@ def links(rows: DataFrame, node: str, parent: str) -> DataFrame:
     return one.join(known, "pk", "left").select("id", "parent")
 
 
-def contract(edges: DataFrame, with_paths: bool, core: int) -> tuple[list[DataFrame], DataFrame, bool]:
-    """Alternate raking of leaves with splicing of unary nodes until at most ``core`` edges are left.
+def contract(edges: DataFrame, with_paths: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Alternate raking of leaves with splicing of unary nodes until only cycles are left, as self-loops.
 
     ``edges``: (c, p, d, m, via, hc, hp), d = steps from c up to p, m = least id spliced out of the edge,
     via = the spliced ids from above, hc and hp = hashes of c and p. Returns the records of removed nodes,
-    one frame a round, the edges left, and whether they are at most ``core`` (else all are self-loops). A unary node is spliced if its own coin shows heads and its
+    one frame a round, and the self-loops. A unary node is spliced if its own coin shows heads and its
     parent's tails, so no two neighbours go in one round; about a quarter of a chain goes a round, and
-    rounds grow with the logarithm of the depth. One checkpoint a round; coins are the hashes' last bits,
+    rounds grow with the logarithm of the depth. Two written tables a round; coins are the hashes' last bits,
     rehashed each round, so that all rounds run the same generated code."""
     removed = []
-    live = cut(edges)
+    live = stored(edges)
     heads = lambda c: F.col(c).bitwiseAND(F.lit(1).cast("long")) == 1
     for _ in range(MAX_ROUNDS):
-        n = live.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("c") != F.col("p"), 1)).alias("open")).first()
-        if n["all"] <= core or not n["open"]:
-            return removed, live, n["all"] <= core
+        if live.where("c <> p").isEmpty():
+            return removed, live
         kids = live.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("p", "c")
         spliced = (F.col("n") == 1) & (F.col("c") != F.col("p")) & heads("hc") & ~heads("hp")
-        marked = cut(live.join(kids, "c", "left").withColumn("what", F.when(F.col("n").isNull(), "rake").when(spliced, "splice").otherwise("keep")))
+        marked = stored(live.join(kids, "c", "left").withColumn("what", F.when(F.col("n").isNull(), "rake").when(spliced, "splice").otherwise("keep")))
         removed.append(marked.where("what <> 'keep'").select("c", "p", "d", "via"))
         # the child of a spliced node hangs on that node's parent now; a raked child is gone with it
         up = marked.where("what = 'splice'").select(F.col("c").alias("p"), *(F.col(x).alias(f"{x}2") for x in ("p", "d", "m", "via", "hp")))
         moved = F.col("p2").isNotNull()
-        live = cut(
+        live = stored(
             marked.where("what = 'keep'").join(up, "p", "left").select(
                 "c",
                 F.coalesce("p2", "p").alias("p"),
@@ -63,82 +60,22 @@ def contract(edges: DataFrame, with_paths: bool, core: int) -> tuple[list[DataFr
     raise RuntimeError("the contraction did not end")
 
 
-def contract_core(g: pd.DataFrame, with_paths: bool) -> pd.DataFrame:
-    """The same contraction of a bounded core in memory, undone at once: every node's top and distance."""
-    names = np.unique(np.concatenate([g["c"].to_numpy(str), g["p"].to_numpy(str), g["m"].dropna().to_numpy(str)]))
-    c, p = np.searchsorted(names, g["c"].to_numpy(str)), np.searchsorted(names, g["p"].to_numpy(str))
-    n = len(names)
-    m = np.full(len(g), n)
-    has = g["m"].notna().to_numpy()
-    m[has] = np.searchsorted(names, g["m"][has].to_numpy(str))
-    up, dist, least = np.full(n, -1), np.zeros(n, np.int64), np.full(n, n)
-    up[c], dist[c], least[c] = p, g["d"].to_numpy(np.int64), m
-    alive = up >= 0
-    rng = np.random.default_rng(0)
-    rounds: list[np.ndarray] = []
-    while True:
-        node = np.flatnonzero(alive)
-        kids = np.bincount(up[node], minlength=n)
-        rake = node[kids[node] == 0]
-        alive[rake] = False
-        node = node[alive[node]]
-        loop = up[node] == node
-        if not len(rake) and loop.all():
-            break
-        coin = rng.random(n) < 0.5
-        u = node[(np.bincount(up[node], minlength=n)[node] == 1) & ~loop & coin[node] & ~coin[up[node]]]
-        out = np.zeros(n, bool)
-        out[u] = True
-        child = node[out[up[node]]]  # each has one of the spliced nodes as its parent
-        v = up[child]
-        alive[u] = False
-        rounds += [rake, u]
-        dist[child] += dist[v]
-        least[child] = np.minimum(np.minimum(least[child], least[v]), v)
-        up[child] = up[v]
-    # undo: what was removed last is resolved first
-    top, far, cyc = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
-    left = np.flatnonzero(alive)
-    cyc[left], top[left] = True, np.minimum(left, least[left])
-    for x in reversed(rounds):
-        top[x], far[x], cyc[x] = top[up[x]], far[up[x]] + dist[x], cyc[up[x]]
-    res = pd.DataFrame({"id": names[c], "up": names[top[c]], "d": far[c], "r": names[top[c]], "cyc": cyc[c]})
-    if with_paths:
-        via = dict(zip(g["c"], g["via"]))
-        first = dict(zip(g["c"], g["p"]))
-        paths: dict[str, list[str]] = {}
-        near = c[np.argsort(far[c], kind="stable")]  # parents before children
-        for x in names[near[~cyc[near]]].tolist():
-            q = first[x]
-            paths[x] = paths.get(q, [q]) + list(via[x]) + [x]
-        res["path"] = [paths.get(x, []) for x in res["id"]]
-    else:
-        res["path"] = [[] for _ in range(len(res))]
-    return res
-
-
-def hierarchy(rows: DataFrame, node: str, parent: str, with_paths: bool = False, core: int = CORE) -> DataFrame:
+def hierarchy(rows: DataFrame, node: str, parent: str, with_paths: bool = False) -> DataFrame:
     """Each node's ``id, parent, root_id, depth`` and, on request, ``path`` (ids from the root down).
 
     A node without a known parent is its own root at depth 0. Where the ancestry runs into a cycle,
     ``root_id`` is the least id on it, ``depth`` is -1 and ``path`` NULL. Contractions are recorded and
     undone by composing the records: they form a forest whose height is at most twice the rounds, so
-    a handful of self-joins resolves every node. Rounds run on the cluster until ``core`` edges are left,
-    which one task contracts in memory; 0 leaves only the contracted cycles to it. NULL and blank ids are left out; an empty table
-    gives an empty result."""
-    tree = cut(links(rows, node, parent))
+    a handful of self-joins resolves every node. Every step is a grouped count or an equi-join, at any size.
+    NULL and blank ids are left out; an empty table gives an empty result."""
+    tree = stored(links(rows, node, parent))
     empty = F.array().cast("array<string>")
     edges = tree.where("parent is not null").select(
         F.col("id").alias("c"), F.col("parent").alias("p"), F.lit(1).cast("long").alias("d"), F.lit(None).cast("string").alias("m"), empty.alias("via"), F.xxhash64("id").alias("hc"), F.xxhash64("parent").alias("hp")
     )
-    removed, left, few = contract(edges, with_paths, core)
-    shape = "id string, up string, d bigint, r string, cyc boolean, path array<string>"
-    left = left.drop("hc", "hp")
-    if few:
-        solved = left.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda g: contract_core(g, with_paths), shape)
-    else:  # self-loops know nothing of each other
-        solved = left.mapInPandas(lambda gs: (contract_core(g, with_paths) for g in gs), shape)
-    # tops: roots, and the nodes of the core, whose root or cycle is known
+    removed, loops = contract(edges, with_paths)
+    solved = loops.select(F.col("c").alias("id"), F.col("c").alias("up"), F.lit(0).cast("long").alias("d"), F.least("c", "m").alias("r"), F.lit(True).alias("cyc"), empty.alias("path"))
+    # tops: roots, and what is left of each cycle
     seg = lambda c: F.array(F.col(c)) if with_paths else empty
     tops = tree.where("parent is null").select("id", F.col("id").alias("up"), F.lit(0).cast("long").alias("d"), F.col("id").alias("r"), F.lit(False).alias("cyc"), seg("id").alias("path"))
     tops = tops.unionByName(solved)
@@ -146,17 +83,19 @@ def hierarchy(rows: DataFrame, node: str, parent: str, with_paths: bool = False,
     for x in removed:
         x = x.select(F.col("c").alias("id"), F.col("p").alias("up"), "d", F.lit(None).cast("string").alias("r"), F.lit(False).alias("cyc"), (F.concat("via", F.array("c")) if with_paths else empty).alias("path"))
         rec = x if rec is None else rec.unionByName(x)
-    state = cut(tops.unionByName(rec) if rec is not None else tops)
-    for _ in range(64 if rec is not None else 0):
+    state = stored(tops.unionByName(rec) if rec is not None else tops)
+    for _ in range(MAX_TURNS):
         if state.where("r is null").isEmpty():
             break
         known = state.select(F.col("id").alias("up"), F.col("up").alias("u2"), F.col("d").alias("d2"), F.col("r").alias("r2"), F.col("cyc").alias("c2"), F.col("path").alias("p2"))
         todo = state.where("r is null").drop("r", "cyc").join(known, "up")
-        state = cut(
+        state = stored(
             todo.select("id", F.col("u2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), F.col("r2").alias("r"), F.col("c2").alias("cyc"), (F.concat("p2", "path") if with_paths else F.col("path")).alias("path")).unionByName(
                 state.where("r is not null")
             )
         )
+    else:
+        raise RuntimeError("the contraction could not be undone")
     out = state.select("id", F.col("r").alias("root_id"), F.when(F.col("cyc"), F.lit(-1)).otherwise(F.col("d")).cast("long").alias("depth"), F.when(~F.col("cyc"), F.col("path")).alias("path"))
     out = tree.join(out, "id")
     return out if with_paths else out.drop("path")
@@ -173,8 +112,8 @@ def descendants(rows: DataFrame, node: str, parent: str, marked: bool = False) -
     h = hierarchy(rows, node, parent, with_paths=True)
     up = F.transform(F.slice("path", 1, F.col("depth").cast("int")), lambda x, i: F.struct(x.alias("ancestor"), (F.col("depth") - i).alias("steps"), F.lit(False).alias("on_cycle")))
     pairs = h.where("depth > 0").select(F.col("id").alias("descendant"), F.inline(up))
-    lost = cut(h.where("depth = -1").select("id", "root_id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("parent"), F.col("parent").alias("above")))
-    opened = cut(hierarchy(lost, "id", "parent", with_paths=True).select("id", "root_id", "depth", "path"))
+    lost = stored(h.where("depth = -1").select("id", "root_id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("parent"), F.col("parent").alias("above")))
+    opened = stored(hierarchy(lost, "id", "parent", with_paths=True).select("id", "root_id", "depth", "path"))
     rings = lost.where("id = root_id").select(F.col("above").alias("id")).join(opened, "id").select("root_id", F.col("path").alias("ring"))
     # a path runs along the cycle and never comes back to it, so the members on it are its first ones
     on = F.size(F.array_intersect("path", "ring"))

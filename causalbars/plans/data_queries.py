@@ -141,6 +141,17 @@ SELECT id AS experiment_id, root_id, depth FROM down
 UNION ALL SELECT a.id, min(a.up), -1 FROM anc a JOIN onc ON a.up = onc.id GROUP BY a.id
 """
 
+P2_PATHS_SQL = P2_SQL.replace("id AS root_id, 0::BIGINT AS depth", "id AS root_id, 0::BIGINT AS depth, id AS path").replace("d.depth + 1 FROM", "d.depth + 1, d.path || '/' || t.id FROM").replace(
+    "root_id, depth FROM down", "root_id, depth, path FROM down").replace("-1 FROM anc", "-1, NULL FROM anc")
+
+P2_DESCENDANTS_SQL = P2_SQL[: P2_SQL.index("down AS (")] + """
+walk AS (
+  SELECT parent AS ancestor, id AS descendant, 1::BIGINT AS steps, [parent] AS seen FROM tree WHERE parent IS NOT NULL
+  UNION ALL SELECT t.parent, w.descendant, w.steps + 1, list_append(w.seen, t.parent)
+  FROM walk w JOIN tree t ON w.ancestor = t.id WHERE t.parent IS NOT NULL AND NOT list_contains(w.seen, t.parent))
+SELECT ancestor, descendant, steps, ancestor IN (SELECT ancestor FROM walk WHERE ancestor = descendant) AS on_cycle FROM walk
+"""
+
 P5_SQL = """
 WITH z AS (
   SELECT symbol, timezone_name AS tz, bar_seconds * 1000000 AS step, split_part(rth_open, ':', 1)::BIGINT * 60 + split_part(rth_open, ':', 2)::BIGINT AS o,
@@ -181,4 +192,4 @@ FROM s2 WHERE json_type(y) = 'OBJECT'
 UNION SELECT experiment_id, doc_kind, entry_key, item_no, -1, x ->> '$.family' FROM s1 WHERE doc_kind = 'verification' AND len(a) = 0
 """
 
-ORACLE_SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+ORACLE_SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_paths": P2_PATHS_SQL, "p2_descendants": P2_DESCENDANTS_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}

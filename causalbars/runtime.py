@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read from there, for loops of joins.
+
+    A checkpoint keeps the size estimated for its plan; over rounds of joins of a frame with itself that estimate
+    squares each time, until the driver only multiplies its digits. A table has the size it has, so that small
+    frames are broadcast as well. The files go with the application (``deleteOnExit``)."""
+    spark = df.sparkSession
+    home = f"{shared_dir(spark)}/causalbars-{spark.sparkContext.applicationId}"
+    root = spark._jvm.org.apache.hadoop.fs.Path(home)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
+    path = f"{home}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """One parquet table of a data directory; TIMESTAMP_NTZ columns are read as UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
