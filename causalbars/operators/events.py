@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causalbars.operators import features
-from causalbars.functions.clock import local_minute
+from causalbars.functions.clock import DAY_NS, local_minute
+from causalbars.operators.ranks import ranked
 from causalbars.operators.targets import SPAN, forward
 
 # The trials of an experiment, in order.
@@ -102,11 +103,16 @@ def compare_sets(exported: DataFrame, generated: DataFrame, key: list[str]) -> D
     return a.join(b, key, "full").select(*key, F.col("_a").isNotNull().alias("exported"), F.col("_b").isNotNull().alias("generated"))
 
 
-def overlaps(df: DataFrame, key: str, lo: str, hi: str, by: list[str]) -> DataFrame:
-    """Pairs of intervals [lo, hi) that overlap within a group, each pair once."""
-    a = df.select(F.col(key).alias("left_id"), *(F.col(b).alias(f"_{b}") for b in by), F.col(lo).cast("date").alias("_lo"), F.col(hi).cast("date").alias("_hi"))
-    b = df.select(F.col(key).alias("right_id"), *(F.col(b).alias(f"_{b}") for b in by), F.col(lo).cast("date").alias("_lo2"), F.col(hi).cast("date").alias("_hi2"))
-    return a.join(b, [f"_{x}" for x in by]).where("left_id < right_id and _lo < _hi2 and _lo2 < _hi").select("left_id", "right_id")
+def overlaps(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+    """Pairs of rows whose intervals [lo, hi) overlap, each pair once, ``left_id`` before ``right_id``.
+
+    An interval meets others in the calendar years it covers, so the join has a key; a pair that shares several
+    years is given in the first one only. Rows without two dates meet none."""
+    d = df.select(F.col(key).alias("id"), F.col(lo).try_cast("date").alias("lo"), F.col(hi).try_cast("date").alias("hi")).where("lo is not null and hi is not null").distinct()
+    d = d.withColumn("from", F.year(F.least("lo", "hi"))).withColumn("bucket", F.explode(F.sequence("from", F.year(F.greatest("lo", "hi")))))
+    a, b = (d.select("bucket", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "lo", "hi", "from"))) for side in ("left", "right"))
+    met = (F.col("left_id") < F.col("right_id")) & (F.col("left_lo") < F.col("right_hi")) & (F.col("right_lo") < F.col("left_hi"))
+    return a.join(b, "bucket").where(met & (F.col("bucket") == F.greatest("left_from", "right_from"))).select("left_id", "right_id")
 
 
 def trial_product(spark: SparkSession) -> DataFrame:
@@ -146,18 +152,29 @@ def pivots(bars: DataFrame, left: int, right: int) -> DataFrame:
     return d.select("series_id", (F.col("ts") + F.col("step_ns")).alias("event_ns"), F.when(F.col("_u"), 1).otherwise(-1).alias("direction"))
 
 
-def causality(plugin: Callable[[DataFrame], DataFrame], bars: DataFrame, fraction: float) -> DataFrame:
-    """One row ``n_checked, n_changed``: series, and events that differ if bars after a cutoff are not there.
-
-    The cutoff of a series lies ``fraction`` of the way between its first and last stamp. An event known at
-    the cutoff must be found by either run, with the same direction, and no other."""
-    cut = bars.groupBy("series_id").agg((F.min("ts") + ((F.max("ts") - F.min("ts")) * fraction).cast("long")).alias("_cut"))
-    cut = cut.withColumnRenamed("series_id", "_s")
-    known = bars.join(cut, F.col("series_id") == F.col("_s")).where(F.col("ts") + F.col("step_ns") <= F.col("_cut")).drop("_s", "_cut")
-    full = plugin(bars).join(cut, F.col("series_id") == F.col("_s")).where(F.col("event_ns") <= F.col("_cut")).select("series_id", "event_ns", "direction")
-    part = plugin(known).select("series_id", "event_ns", "direction")
-    changed = full.exceptAll(part).unionByName(part.exceptAll(full)).agg(F.count(F.lit(1)).alias("n_changed"))
-    return bars.agg(F.countDistinct("series_id").alias("n_checked")).crossJoin(changed)  # one row by one row
+def causality(plugin: Callable[[DataFrame], DataFrame], bars: DataFrame, cutoffs: int = 8, seed: int = 1729) -> DataFrame:
+    """One row per series ``series_id, n_cutoffs, n_cut, n_changed``: whether events known at a cutoff depend on later bars.
+
+    Cutoffs are times of the plugin's own events, evenly spread over them, where a look ahead shows first. At
+    each the plugin sees the bars complete by then alone (``n_cut`` counts events that come or go), and all bars
+    with the later ones at other prices and volumes (``n_changed``). All of these runs are one: each
+    (series, cutoff, variant) goes through the plugin as a series of its own. Series without events have no row."""
+    full = plugin(bars).select("series_id", "event_ns", "direction")
+    times = ranked(full.select("series_id", "event_ns").distinct(), ["series_id"], ["event_ns"], F.expr(f"event_ns div {DAY_NS}L"), "i", "n")
+    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(cutoffs - 1)), lambda k: F.floor(k * (F.col("n") - 1) / (cutoffs - 1)).cast("long")))
+    cut = times.where(F.array_contains(at, F.col("i"))).select(F.col("series_id").alias("_s"), "i", F.col("event_ns").alias("_cut"))
+    named = lambda s, i, v: F.concat_ws("\x1f", s, i.cast("string"), v)
+    b = bars.join(cut, F.col("series_id") == F.col("_s")).withColumn("_late", F.col("ts") + F.col("step_ns") > F.col("_cut"))
+    b = b.withColumn("_v", F.explode(F.when(F.col("_late"), F.array(F.lit("changed"))).otherwise(F.array(F.lit("cut"), F.lit("changed")))))
+    factor = F.when(F.col("_late"), F.pmod(F.xxhash64("_s", "i", "ts", F.lit(seed)), F.lit(1000)) / 200.0 + 0.2).otherwise(1.0)
+    other = b.withColumns({**{c: F.col(c) * factor for c in ("open", "high", "low", "close", "volume")}, "series_id": named(F.col("_s"), F.col("i"), F.col("_v"))})
+    seen = plugin(other.select(*bars.columns)).select(F.split("series_id", "\x1f").alias("_k"), "event_ns", "direction")
+    seen = seen.select(F.col("_k")[0].alias("_s"), F.col("_k")[1].cast("long").alias("i"), F.col("_k")[2].alias("_v"), "event_ns", "direction")
+    got = seen.join(cut, ["_s", "i"]).where("event_ns <= _cut").select("_s", "i", "_v", "event_ns", "direction", F.lit(1).alias("_w"))
+    want = full.withColumnRenamed("series_id", "_s").join(cut, "_s").where("event_ns <= _cut").select("_s", "i", F.explode(F.array(F.lit("cut"), F.lit("changed"))).alias("_v"), "event_ns", "direction", F.lit(-1).alias("_w"))
+    diff = got.unionByName(want).groupBy("_s", "i", "_v", "event_ns", "direction").agg(F.sum("_w").alias("_w"))
+    n = lambda v: F.count(F.when((F.col("_v") == v) & (F.col("_w") != 0), 1))
+    return diff.groupBy(F.col("_s").alias("series_id")).agg(F.countDistinct("i").alias("n_cutoffs"), n("cut").alias("n_cut"), n("changed").alias("n_changed"))
 
 
 def run_plugin(bars: DataFrame, detect: Callable[[pd.DataFrame, dict], pd.DataFrame], params: dict) -> DataFrame:

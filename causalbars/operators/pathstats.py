@@ -78,20 +78,27 @@ def first_passage(p: DataFrame, by: list[str]) -> DataFrame:
 
 def brackets(p: DataFrame, by: list[str]) -> DataFrame:
     """One row per event and cell of the surface: ``code, pnl`` (an ambiguous bar counts as the stop),
-    ``raw_pnl`` (NULL there) and ``stop_points``."""
-    cells = []
+    ``raw_pnl`` (NULL there) and ``stop_points``.
+
+    A cell is a number; its expiry and levels are looked up in arrays, so the code stays one expression."""
+    k, cell = len(LEVELS), F.col("cell")
+    arr = lambda cs: F.array(*(F.col(f"`{c}`") for c in cs))
+    fixed = lambda xs: F.array(*(F.lit(x) for x in xs))
+    d = p.where("sigma is not null").select(
+        *by, *(c for c in ("direction", "p0", "sigma") if c not in by),
+        arr([f"t_fav_{x}" for x in LEVELS]).alias("fav"), arr([f"t_adv_{x}" for x in LEVELS]).alias("adv"), arr([f"elig_{e}" for e in EXPIRIES]).alias("eligs"), arr([f"close_{e}" for e in EXPIRIES]).alias("closes"),
+        F.explode(F.sequence(F.lit(0), F.lit(len(EXPIRIES) * k * k - 1))).alias("cell"),
+    )
+    e, s, t = F.floor(cell / (k * k)).cast("int"), F.floor(cell / k).cast("int") % k, cell % k
+    d = d.withColumns({"e": e, "s": s, "t": t}).where(F.get("eligs", F.col("e")))
+    d = d.withColumns({"expiry": F.get(fixed(EXPIRIES), F.col("e")), "stop_sigma": F.get(fixed(LEVELS), F.col("s")), "target_sigma": F.get(fixed(LEVELS), F.col("t"))})
+    d = d.withColumn("code", outcome(F.get("fav", F.col("t")), F.get("adv", F.col("s")), F.col("expiry")))
     long, p0 = F.col("direction") > 0, F.col("p0")
-    for e in EXPIRIES:
-        for s in LEVELS:
-            for t in LEVELS:
-                up = lambda k: p0 * (F.exp(F.col("sigma") * k) - 1)
-                dn = lambda k: p0 * (1 - F.exp(-F.col("sigma") * k))
-                win, lose = F.when(long, up(t)).otherwise(dn(t)), F.when(long, dn(s)).otherwise(up(s))
-                code = outcome(F.col(f"`t_fav_{t}`"), F.col(f"`t_adv_{s}`"), F.lit(e))
-                raw = F.when(code == TARGET, win).when(code == STOP, -lose).when(code == EXPIRED, F.col("direction") * (F.col(f"close_{e}") - p0))
-                cells.append(F.struct(F.lit(e).alias("expiry"), F.lit(s).alias("stop_sigma"), F.lit(t).alias("target_sigma"), F.col(f"elig_{e}").alias("elig"), code.alias("code"), raw.alias("raw_pnl"), lose.alias("stop_points")))
-    d = p.where("sigma is not null").select(*by, F.inline(F.array(*cells))).where("elig").drop("elig")
-    return d.withColumn("pnl", F.when(F.col("code") == AMBIGUOUS, -F.col("stop_points")).otherwise(F.col("raw_pnl")))
+    move = lambda x, up: F.when(up, p0 * (F.exp(F.col("sigma") * x) - 1)).otherwise(p0 * (1 - F.exp(-F.col("sigma") * x)))
+    d = d.withColumn("stop_points", move(F.col("stop_sigma"), ~long))
+    raw = F.when(F.col("code") == TARGET, move(F.col("target_sigma"), long)).when(F.col("code") == STOP, -F.col("stop_points")).when(F.col("code") == EXPIRED, F.col("direction") * (F.get("closes", F.col("e")) - p0))
+    d = d.withColumn("raw_pnl", raw).withColumn("pnl", F.when(F.col("code") == AMBIGUOUS, -F.col("stop_points")).otherwise(F.col("raw_pnl")))
+    return d.select(*by, "expiry", "stop_sigma", "target_sigma", "code", "raw_pnl", "stop_points", "pnl")
 
 
 def bracket_surface(p: DataFrame, by: list[str]) -> DataFrame:

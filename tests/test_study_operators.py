@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causalbars.operators import crossval, events, features, models, pathstats, positions, ranks, stats, targets
@@ -198,7 +199,7 @@ def panel(spark, n=400):
 def test_resampling(spark):
     p, rows = panel(spark)
     ci = {r.half: r for r in stats.bootstrap_ci(p, ["target"], reps=300).collect()}
-    core = {r.half: r for r in stats.evaluate(p, ["target"], 15).collect()}
+    core = {r.half: r for r in stats.evaluate(p, ["target"], spark.createDataFrame([("T", 15)], "target string, n_weeks long")).collect()}
     for half in ("UPPER_HALF", "LOWER_HALF"):
         assert 0 < ci[half].ci_low < core[half].uplift < ci[half].ci_high
     pv = {r.half: r.raw_p for r in stats.permutation_p(p, ["target"], reps=200).collect()}
@@ -213,10 +214,71 @@ def test_resampling(spark):
 def test_paired_difference_of_a_group_with_itself_is_zero(spark):
     p, _ = panel(spark)
     both = p.withColumn("g", F.lit("a")).unionByName(p.withColumn("g", F.lit("b"))).withColumn("m", F.lit("M"))
-    r = stats.paired_difference(both, "g", "m", "a", "b", reps=50).first()
+    pairs = spark.createDataFrame([("T", "UPPER_HALF", "a", "b")], "target string, half string, group_a string, group_b string")
+    r = stats.paired_difference(both, ["target"], "g", "m", pairs, reps=50).first()
     assert r.difference == 0 and r.ci_low == r.ci_high == 0 and r.contains_zero
 
 
+def test_paired_difference_against_a_loop(spark):
+    p, rows = panel(spark)
+    other = p.withColumns({"g": F.lit("b"), "y": F.col("y") * 2 + F.col("score")})
+    both = p.withColumn("g", F.lit("a")).unionByName(other).withColumn("m", F.explode(F.array(F.lit("M1"), F.lit("M2"))))
+    pairs = spark.createDataFrame([("T", "UPPER_HALF", "a", "b")], "target string, half string, group_a string, group_b string")
+    r = stats.paired_difference(both, ["target"], "g", "m", pairs, reps=200).first()
+    y, sel = np.array([x[7] for x in rows]), np.array([x[6] == "UPPER_HALF" for x in rows])
+    z = y * 2 + np.array([x[8] for x in rows])
+    up = lambda v: (v[sel].mean() - v.mean()) / v.std(ddof=1)
+    assert r.difference == pytest.approx(up(y) - up(z)) and r.ci_low < r.difference < r.ci_high and r.n_weeks == len({x[5] for x in rows})
+
+
+def test_permutation_counts_as_a_plain_loop_does(spark):
+    """A panel of three weeks has six orders only, so the share of hits is known."""
+    import itertools
+
+    y = {"W0": [1.0, 2.0], "W1": [0.0, 5.0, 1.0], "W2": [3.0]}
+    st = ["UPPER_HALF", "LOWER_HALF", "UPPER_HALF", "UPPER_HALF", "LOWER_HALF", "LOWER_HALF"]
+    rows = [("T", f"e{i}", i, w, s, v) for i, ((w, v), s) in enumerate(zip([(w, v) for w in y for v in y[w]], st))]
+    df = spark.createDataFrame(rows, "target string, event_id string, event_ns long, week string, state string, y double")
+    upper = np.array([s == "UPPER_HALF" for s in st])
+    stat = lambda v: np.array(v)[upper].mean()
+    seen = stat([r[5] for r in rows])
+    share = np.mean([stat([v for w in o for v in y[w]]) >= seen - 1e-9 for o in itertools.permutations(y)])
+    got = {r.half: r.raw_p for r in stats.permutation_p(df, ["target"], reps=3000).collect()}
+    assert got["UPPER_HALF"] == pytest.approx(share, abs=0.04)
+
+
+def test_inner_predictions_never_see_their_own_time(monkeypatch):
+    seen = []
+
+    class Fake:
+        def fit(self, x, y):
+            self.known = set(x[:, 0].astype(int))
+            return self
+
+        def predict(self, x):
+            seen.append((self.known, x[:, 0].astype(int)))
+            return x[:, 0]
+
+    monkeypatch.setattr(models, "make", lambda *a: Fake())
+    r = np.random.default_rng(1)
+    n = 503
+    t = np.sort(r.integers(0, 10_000, n))
+    end = t + r.integers(1, 900, n)
+    got = crossval.inner_predictions("RIDGE", np.arange(n, dtype=float)[:, None], np.zeros(n), t, end, None)
+    parts = np.array_split(np.arange(n), crossval.INNER)
+    for known, own in seen:
+        assert known == {i for i in range(own[0]) if end[i] < t[own[0]]}
+    assert [list(o) for _, o in seen] == [list(x) for x in parts[1:]] and len(got) == n - len(parts[0])
+
+
+def test_overlapping_intervals(spark):
+    r = random.Random(3)
+    rows = [(f"c{i}", f"20{r.randrange(10, 14)}-0{r.randrange(1, 10)}-15", f"20{r.randrange(12, 20)}-0{r.randrange(1, 10)}-15") for i in range(40)] + [("x", "", "2012-01-01"), ("y", None, None)]
+    got = sorted(tuple(x) for x in events.overlaps(spark.createDataFrame(rows, "id string, a string, b string"), "id", "a", "b").collect())
+    full = [x for x in rows if x[1] and x[2]]
+    assert got == sorted((a[0], b[0]) for a in full for b in full if a[0] < b[0] and a[1] < b[2] and b[1] < a[2])
+
+
 def test_overfitting_probability(spark):
     r = np.random.default_rng(0)
     good = [("best", g, 1.0) for g in range(6)] + [(f"c{k}", g, float(r.normal())) for k in range(4) for g in range(6)]
@@ -265,9 +327,15 @@ def test_plugins_and_parameters(spark):
     assert q["a"] == 1 and q.unused() == {"b"}
     with pytest.raises(KeyError):
         q["c"]
-    assert events.causality(lambda x: events.pivots(positions.with_positions(x), 5, 3), df, 0.5).first().n_changed == 0
-    ahead = lambda x: x.groupBy("series_id").agg(F.max("ts").alias("event_ns")).select("series_id", (F.col("event_ns") - 399 * STEP).alias("event_ns"), F.lit(1).alias("direction"))
-    assert events.causality(ahead, df, 0.5).first().n_changed > 0
+    n = events.causality(lambda x: events.pivots(positions.with_positions(x), 5, 3), df).first()
+    assert n.n_cutoffs == 8 and n.n_cut == n.n_changed == 0
+    # an event where the next bar closes higher; one whose bar lies above the mean of all bars
+    step = lambda x: x.withColumn("event_ns", F.col("ts") + F.col("step_ns"))
+    w = Window.partitionBy("series_id").orderBy("ts")
+    ahead = lambda x: step(x).withColumn("up", F.lead("close").over(w) > F.col("close")).where("up").select("series_id", "event_ns", F.lit(1).alias("direction"))
+    mean = lambda x: step(x).withColumn("up", F.col("close") > F.avg("close").over(Window.partitionBy("series_id"))).where("up").select("series_id", "event_ns", F.lit(1).alias("direction"))
+    assert events.causality(ahead, df).first().n_cut > 0
+    assert events.causality(mean, df).first().n_changed > 0
 
 
 def test_sources(spark, tmp_path):
@@ -341,9 +409,16 @@ def test_registry_and_reports(spark, tmp_path):
     nan = spark.createDataFrame([(1, float("nan")), (2, 0.5)], "i int, x double")
     assert sorted(r.value for r in reports.json_rows(nan).collect()) == ['{"i":1,"x":null}', '{"i":2,"x":0.5}']
     assert reports.markdown(nan.where("i = 2")) == "| i | x |\n|---|---|\n| 2 | 0.5 |\n"
-    b = synthetic.bars(spark, 3, phi=0.5)
-    assert b.count() == 1170 and b.where("high < low").count() == 0
-    assert synthetic.event_table(spark, 30, 4.0, signal="linear").stat.corr("x", "y") > 0.1
+    b = synthetic.bars(spark, 8, pull=0.3)
+    assert b.count() == 8 * 390 == b.select("timestamp").distinct().count() and b.where("high < greatest(open, close) or low > least(open, close)").count() == 0
+    assert sorted(map(tuple, b.collect())) == sorted(map(tuple, synthetic.bars(spark, 8, pull=0.3).repartition(3).collect()))
+    for s, lo, hi in (("linear", 0.2, 0.5), ("none", -0.1, 0.1)):
+        assert lo < synthetic.event_table(spark, 300, 4.5, signal=s).stat.corr("x", "y") < hi
+    years = synthetic.event_table(spark, 104, 9.0, signal="linear", slope=0.8, slope_by_year={2016: -0.8}, tie=True, noise=2)
+    assert years.where("event_ns < 1451606400000000000").stat.corr("x", "y") > 0.4 > -0.4 > years.where("event_ns > 1451606400000000000").stat.corr("x", "y")
+    assert years.select("x").distinct().count() == 5 and {"x1", "x2"} <= set(years.columns)
+    with pytest.raises(ValueError):
+        synthetic.event_table(spark, 1, 1.0, signal="other")
 
 
 def test_plugin_sources():
