@@ -3,8 +3,9 @@
 Each source is cut by time into blocks of bounded size, so that a source with a third of all rows is
 spread over the cluster; a block also gets the nearest readings of the blocks beside it. Per block the
 price and the volume chain run through forward-backward over the states normal, spike, stuck and
-out-of-range, whose emissions are scaled by the source's own medians. What is flagged is told by the
-exact bounds and the exact medians alone; the model gives the chances beside it."""
+out-of-range. The emissions carry the definitions, scaled by the source's own exact medians: readings off both
+levels around them have no support in the normal state, nor have unchanged runs. A reading is flagged if it
+is more likely than not in another state than normal, or breaks a hard bound of what can be."""
 
 from __future__ import annotations
 
@@ -20,7 +21,9 @@ STATES = ("normal", "spike", "stuck", "range")
 TRANSITIONS = np.array([[0.997, 0.001, 0.001, 0.001], [0.6, 0.39, 0.005, 0.005], [0.1, 0.005, 0.89, 0.005], [0.6, 0.005, 0.005, 0.39]])
 START = np.array([0.97, 0.01, 0.01, 0.01])
 EDGE = 16  # readings a block gets from either side
-NEAR_BLOCKS = 8  # from at most so many blocks: enough for runs of eight readings even if each has one
+NEAR_BLOCKS = 8  # of blocks that have such readings: enough for runs of eight even if each has one
+KINDS = ("price", "level", "volume")  # readings with high, low and close; with a positive close; with a volume
+OFF = 1e-12  # chance of what a state does not emit
 CHUNK, LAP = 256, 64  # rows of one forward-backward chain, and its warm-up on either side
 POINT = 32  # values of a block that share one pair of bounds while a median is being closed in
 
@@ -98,6 +101,21 @@ def _usual_share(same: np.ndarray, run: int) -> float:
     return float(np.clip(np.mean(free > 1), 0.01, 0.5)) if len(free) else 0.01
 
 
+def emissions(d: np.ndarray, off: np.ndarray, run: np.ndarray, equal: np.ndarray, bad: np.ndarray, p_equal: float) -> np.ndarray:
+    """Likelihoods (n, states) of readings at distance d from the usual, in medians.
+
+    Normal readings are heavy-tailed around the usual, now and then equal to a neighbour, but neither ``off`` the levels
+    around them nor part of a long ``run``; spikes are off, stuck readings in a run; impossible ones are out of range."""
+    eq = np.where(equal, p_equal, 1 - p_equal)
+    lik = np.empty((len(d), len(STATES)))
+    lik[:, 0] = np.where(off | run, OFF, np.exp(-np.minimum(d, 30.0) / 10.0) / 10.0 * eq)
+    lik[:, 1] = np.where(off, 0.02 * eq, OFF)
+    lik[:, 2] = np.where(run, 0.1, OFF)
+    lik[:, 3] = OFF
+    lik[bad] = (OFF, OFF, OFF, 1.0)
+    return lik
+
+
 def judge(
     rows: pd.DataFrame, move: float, vol: float, tick: float, k_price: float, k_volume: float, run: int, wide: int, more: tuple[bool, bool] = (False, False)
 ) -> pd.DataFrame:
@@ -123,7 +141,7 @@ def judge(
             lev = cc[order][np.unique(tt[order], return_index=True)[1]]
             med = _rolling_median(lev)
         scale = move if move > 0 else tick if tick > 0 else 1e-9
-        # the price chain's distance from the level around it
+        # the distance from the level around it
         if len(lev_t):
             near = np.clip(np.searchsorted(lev_t, t), 0, len(lev_t) - 1)
             dist = np.nanmax(np.where(np.isnan(prices), -1.0, np.abs(prices - med[near][:, None])), axis=1) / scale
@@ -145,25 +163,7 @@ def judge(
             vback[some], vahead[some] = _match(r, v[some][:, None])
         vsame = np.where(v == 0, 1, vback + vahead - 1)
 
-        # emissions: heavy-tailed around the level; flat far out; equality with a neighbour; bounds
-        def chain(d: np.ndarray, equal: np.ndarray, bad: np.ndarray, p_equal: float) -> np.ndarray:
-            lik = np.empty((n, 4))
-            eq = np.where(equal, p_equal, 1 - p_equal)
-            lik[:, 0] = np.exp(-np.minimum(d, 60.0) / 3.0) / 3.0 * eq
-            lik[:, 1] = np.where(d > 8, 0.02, 1e-4) * eq
-            lik[:, 2] = np.where(equal, 0.1, 1e-4)
-            lik[:, 3] = 1e-5
-            lik[bad] = (1e-9, 1e-9, 1e-9, 1.0)
-            return np.maximum(lik, 1e-12)
-
-        # stuck rows must not teach the model that equality is usual
-        p_eq = _usual_share(same[full], run)
-        pv_eq = _usual_share(vsame[some], run)
-        vd = np.nan_to_num(np.abs(v) / vol) if vol > 0 else np.where(np.nan_to_num(v) != 0, 60.0, 0.0) if vol == 0 else np.zeros(n)
-        pp = posterior(chain(dist, same > 1, bad_price, p_eq))
-        pv = posterior(chain(vd, vsame > 1, bad_volume, pv_eq))
-
-        # bounds. Levels before and after a row are the nearest readings that stay near the level around them
+        # off both levels. Levels before and after a row are the nearest readings that stay near the level around them
         flag_spike = np.zeros(n, bool)
         if len(lev_t):
             normal = np.abs(lev - med) <= k_price / 2 * move
@@ -184,9 +184,14 @@ def judge(
                 # no level among the readings of the next blocks: more than ``wide`` stand there
                 beyond = (~has_i & more[0]) | (~has_j & more[1])
                 flag_spike = far.any(1) & (rj - ri - 1 <= wide) & (has_i | has_j) & ~beyond
-        flag_volume = v > k_volume * vol
-        flag_stuck = (same >= run) | (vsame >= run)
-    reason = np.where(bad_price | bad_volume, "range", np.where(flag_stuck, "stuck", np.where(flag_spike | flag_volume, "spike", None)))
+        vd = np.nan_to_num(np.abs(v) / vol) if vol > 0 else np.zeros(n)
+        pp = posterior(emissions(dist, flag_spike, same >= run, same > 1, bad_price, _usual_share(same[full], run)))
+        pv = posterior(emissions(vd, v > k_volume * vol, vsame >= run, vsame > 1, bad_volume, _usual_share(vsame[some], run)))
+    reason = np.full(n, None, dtype=object)
+    for k in (1, 2, 3):  # what is worse stands
+        reason[((pp[:, k] > 0.5) | (pv[:, k] > 0.5)) if n else []] = STATES[k]
+    reason[(reason == None) & ((pp[:, 0] < 0.5) | (pv[:, 0] < 0.5))] = "spike"  # noqa: E711  not normal, though no one state is likely
+    reason[bad_price | bad_volume] = "range"
     return pd.DataFrame(
         {"bar_id": rows["bar_id"].to_numpy(), "p_spike": np.maximum(pp[:, 1], pv[:, 1]), "p_stuck": np.maximum(pp[:, 2], pv[:, 2]), "p_range": np.maximum(pp[:, 3], pv[:, 3]), "reason": reason}
     )
@@ -263,11 +268,15 @@ def implausible(
                 parts.append(pd.DataFrame({"kind": [kind], "xs": [np.sort(x)]}))
         if len(ok):  # for the move from block to block
             parts.append(pd.DataFrame({"kind": ["ends"], "index_ns": ok["index_ns"].iloc[:1], "x": ok["close"].iloc[0], "close": ok["close"].iloc[-1]}))
-        used = g[g[["high", "low", "close", "volume"]].notna().any(axis=1)]
-        d = used["index_ns"].rank(method="dense")
-        for kind, edge in (("head", used[d <= EDGE]), ("tail", used[d > (d.max() if len(d) else 0) - EDGE])):
+        # all rows up to, and from, the EDGE-th reading of each kind on
+        has = (g[["high", "low", "close"]].notna().all(axis=1), g["close"] > 0, g["volume"].notna())
+        stamps = [np.unique(g["index_ns"][m]) for m in has]
+        for kind, edge in (
+            ("head", g[g["index_ns"] <= max((x[:EDGE][-1] for x in stamps if len(x)), default=-(2**63))]),
+            ("tail", g[g["index_ns"] >= min((x[-EDGE:][0] for x in stamps if len(x)), default=2**63 - 1)]),
+        ):
             parts.append(edge.assign(kind=kind, x=np.nan)[["kind", "x", *cols]])
-        parts.append(pd.DataFrame({"kind": ["block"]}))
+        parts.append(pd.DataFrame({"kind": ["block"], "x": float(sum(1 << i for i, x in enumerate(stamps) if len(x)))}))
         out = pd.concat(parts, ignore_index=True)
         out["series_id"], out["block"] = key[0], key[1]
         out = out.reindex(columns=["series_id", "block", "kind", "x", "xs", *cols])
@@ -279,14 +288,18 @@ def implausible(
     across = across.where("x is not null").select("series_id", F.lit("move").alias("kind"), F.array("x").alias("xs"))
     mid = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("x")))
     usual = medians(summary.where("kind in ('move', 'volume')").select("series_id", "kind", "xs").unionByName(across)).groupBy("series_id").agg(mid("move").alias("move"), mid("volume").alias("vol"))
-    w = Window.partitionBy("series_id").orderBy("block")
-    blocks = summary.where("kind = 'block'").select(
-        "series_id", "block", F.collect_list("block").over(w.rowsBetween(-NEAR_BLOCKS, -1)).alias("before"), F.collect_list("block").over(w.rowsBetween(1, NEAR_BLOCKS)).alias("after")
-    )
+    blocks = summary.where("kind = 'block'").select("series_id", "block", F.col("x").cast("int").alias("has"))
+    # the blocks nearest to each that have a kind of reading, by their number among those
+    near = blocks.select("series_id", "block", F.posexplode(F.array(*(F.col("has").bitwiseAND(1 << i) > 0 for i in range(len(KINDS))))).alias("of", "there"))
+    upto = Window.partitionBy("series_id", "of").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("no", F.coalesce(F.sum(F.col("there").cast("long")).over(upto), F.lit(0)))
+    holds = near.where("there").select(F.col("series_id").alias("_s"), "of", "no", F.col("block").alias("_from"))
     null_eq = lambda a, b: a.eqNullSafe(b)
     sides = []
-    for side, kind in (("before", "tail"), ("after", "head")):
-        b = blocks.select(F.col("series_id").alias("_s"), F.col("block").alias("_target"), F.explode(side).alias("_from"))
+    for kind, first in (("tail", F.col("no") - NEAR_BLOCKS), ("head", F.col("no") + F.col("there").cast("long"))):
+        want = near.select("series_id", F.col("block").alias("_target"), F.col("of").alias("_of"), F.explode(F.sequence(first, first + NEAR_BLOCKS - 1)).alias("_no"))
+        b = want.join(holds, null_eq(F.col("series_id"), F.col("_s")) & (F.col("_of") == F.col("of")) & (F.col("_no") == F.col("no")))
+        b = b.select(F.col("series_id").alias("_s"), "_target", "_from").distinct()
         e = summary.where(F.col("kind") == kind)
         sides.append(e.join(b, null_eq(F.col("series_id"), F.col("_s")) & (F.col("block") == F.col("_from"))).select("series_id", F.col("_target").alias("block"), "kind", *cols))
     u = usual.select(F.col("series_id").alias("_s"), "move", "vol")

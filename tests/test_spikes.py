@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,34 @@ def test_hot_series_is_spread(spark):
     ins = spark.createDataFrame([("A", 300, 0.01, "clash")], INS)
     df = spikes.implausible(spark.createDataFrame([tuple(x) for x in rows(2000)], SCHEMA), ins, block_rows=64)
     assert df.where(F.col("reason").isNotNull()).count() == 0
+
+
+def test_the_states_decide(spark, monkeypatch):
+    """Other posteriors give other rows: nothing but the hard bounds stands without them."""
+    n = 60
+    c = 100 + np.cumsum(np.random.default_rng(3).choice([-0.5, 0.5], n))
+    c[20] += 400
+    rows = pd.DataFrame({"bar_id": np.arange(n), "index_ns": np.arange(n) * 60, "open": c, "high": c + 0.25, "low": c - 0.25, "close": c, "volume": 10.0 + np.arange(n) % 7})
+    rows.loc[30:39, ["open", "high", "low", "close"]] = [c[30], c[30] + 0.25, c[30] - 0.25, c[30]]
+    rows.loc[50, "volume"] = 5000.0
+    rows.loc[55, "low"] = -1.0
+    judge = lambda: {int(i): r for i, r in zip(*(spikes.judge(rows, 0.5, 13.0, 0.25, 22.0, 30.0, 8, 3)[x] for x in ("bar_id", "reason"))) if r}
+    assert judge() == {20: "spike", **{i: "stuck" for i in range(30, 40)}, 50: "spike", 55: "range"}
+    monkeypatch.setattr(spikes, "posterior", lambda lik: np.tile([1.0, 0, 0, 0], (len(lik), 1)))
+    assert judge() == {55: "range"}
+    monkeypatch.setattr(spikes, "posterior", lambda lik: np.tile([0.1, 0.3, 0.3, 0.3], (len(lik), 1)))
+    assert len(judge()) == n
+
+
+def test_a_run_over_blocks_without_readings(spark):
+    """Eight equal readings, each in a block of its own, with ten blocks of NULLs between any two."""
+    rows = []
+    for i in range(30):
+        p = 100.0 if 10 <= i < 18 else 100.0 + i
+        for k in range(11):
+            ns = (i * 11 + k) * 4 * 60 * 10**9
+            rows.append((i * 11 + k, "s", "X", ns, *([p, p + 1, p - 1, p, 5.0 + i] if k == 0 else [None] * 5)))
+    df = spark.createDataFrame(rows, "bar_id long, series_id string, symbol string, index_ns long, open double, high double, low double, close double, volume double")
+    ins = spark.createDataFrame([("X", 0.25, 60)], "symbol string, tick_size double, bar_seconds long")
+    got = spikes.implausible(df, ins, block_rows=1).where("reason = 'stuck'").collect()
+    assert sorted(r.bar_id for r in got) == [i * 11 for i in range(10, 18)]
