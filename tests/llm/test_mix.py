@@ -1,19 +1,47 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from causalbars.llm import mix
-from causalbars.llm.mix import Share, water_fill
-
-
-def test_water_filling():
-    s = [Share("a", 0.5, 1, 100), Share("b", 0.3, 2, 100), Share("c", 0.2, 10, 100), Share("none", 0.0, 9, 50)]
-    exact = water_fill(s, None)
-    assert exact == pytest.approx({"a": 100, "b": 60, "c": 40})
-    more = water_fill(s, 400)
-    assert more == pytest.approx({"a": 100, "b": 180, "c": 120})
-    most = water_fill(s, 10_000)
-    assert most == pytest.approx({"a": 100, "b": 200, "c": 1000})
-    assert water_fill([Share("x", 0.5, 3, 0)], None) == {}
-    assert water_fill([Share("x", 0.5, 3, 0), Share("y", 0.5, 1, 10)], None) == pytest.approx({"y": 10})
+
+
+def fill(spark, sources, total):
+    df = spark.createDataFrame(sources, "source string, target double, most long, size long")
+    return {r.source: r.tokens for r in mix.water_fill(df, total).collect() if r.tokens}
+
+
+def test_water_filling(spark):
+    s = [("a", 0.5, 1, 100), ("b", 0.3, 2, 100), ("c", 0.2, 10, 100), ("none", 0.0, 9, 50)]
+    assert fill(spark, s, None) == pytest.approx({"a": 100, "b": 60, "c": 40})
+    assert fill(spark, s, 400) == pytest.approx({"a": 100, "b": 180, "c": 120})
+    assert fill(spark, s, 700) == pytest.approx({"a": 100, "b": 200, "c": 400})
+    assert fill(spark, s, 10_000) == pytest.approx({"a": 100, "b": 200, "c": 1000})
+    assert fill(spark, s, mix.CORPUS) == pytest.approx({"a": 100, "b": 120, "c": 80})
+    assert fill(spark, [("x", 0.5, 3, 0)], None) == {}
+    assert fill(spark, [("x", 0.5, 3, 0), ("y", 0.5, 1, 10)], None) == pytest.approx({"y": 10})
+    assert fill(spark, [("x", 0.5, 3, 0)], 100) == {}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_water_filling_against_bisection(spark, seed):
+    r = random.Random(seed)
+    s = [(f"s{i}", r.random(), r.randrange(1, 5), r.randrange(1, 1000)) for i in range(30)]
+    total = 0.6 * sum(m * n for _, _, m, n in s)
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(m * n, mid * w) for _, w, m, n in s) < total else (lo, mid)
+    assert fill(spark, s, total) == pytest.approx({k: min(m * n, lo * w) for k, w, m, n in s})
+
+
+def test_clamped_sources_in_a_mix(spark, docs):
+    """The whole corpus as budget: two sources stand at their caps, the third takes up what they lack."""
+    out, report = mix.mixture(docs, spark.createDataFrame([("a_one", 0.05, 9), ("b", 0.15, 1), ("tiny", 0.8, 1)], "source string, target_share double, max_repeats long"), mix.CORPUS, size=F.length("text"))
+    rep = {r.source: r for r in report.collect()}
+    assert rep["b"].mix_tokens == rep["b"].size_tokens and rep["tiny"].mix_tokens == rep["tiny"].size_tokens and rep["b"].reached_share < 0.15
+    assert rep["a_one"].reached_share > 0.05 and sum(r.reached_share for r in rep.values()) == pytest.approx(1)
+    assert sum(r.mix_tokens for r in rep.values()) == pytest.approx(sum(r.size_tokens for k, r in rep.items() if k in ("a_one", "b", "tiny")), rel=0.01)
 
 
 DOCS = "doc_id long, source string, text string, n_tokens long, copies string"
