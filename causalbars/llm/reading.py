@@ -1,4 +1,7 @@
-"""Reading level of English prose: a linear pairwise ranker calibrated by isotonic regression."""
+"""Reading level of English prose: a linear pairwise ranker calibrated by isotonic regression.
+
+What is English, and how hard a word is, are learned as well: words by the grades of the documents that hold
+them, the language from bounded samples of texts labelled English and otherwise."""
 
 from __future__ import annotations
 
@@ -15,21 +18,14 @@ from causalbars.llm.text import _TAG, _tag, plain
 
 #: At most so many labelled documents (the first by a seeded hash of their id) train the ranker.
 MAX_LABELLED = 6000
-MAX_PAIRS = 60_000
+MAX_PAIRS = 60_000  # seeded pairs of those that the ranker sees
+#: At most so many texts labelled English, and so many labelled otherwise, teach what English is.
+MAX_LANGUAGE = 1500
 SEED = 17
 LEAST_WORDS = 12
 #: A text in which log lines are more than this share of all tokens, those of lists, quotes and tables included, is a log.
 LOG_SHARE = 0.5
 
-# Frequent function words by language, and joining words of subordinate clauses.
-FUNCTION_WORDS = {
-    "en": "the a an of and to in is are was were that this it for on with as by at from or be not but each every some any our their we they he she has have had which when while if than then so into over under after before because although one no",
-    "de": "der die das den dem des ein eine einer eines einem einen und oder aber nicht ist sind war wird mit von zu zur zum auf für im in an als auch nach bei aus dass dieser diese dieses jeder jede jedes ohne gegen über unter vor wenn weil sich es wir sie",
-    "es": "el la los las un una unos unas y o pero no es son fue era con de del al en por para que se su sus como más este esta estos estas cada sin sobre entre hasta desde cuando porque si lo le ya hay muy",
-    "fr": "le la les un une des et ou mais ne pas est sont était avec de du au aux en par pour que qui se sa son ses ce cette ces dans sur sans sous entre quand parce si il elle nous vous",
-}
-SUBORDINATORS = "although because since unless until whereas while when if that which who whom whose though whether provided given insofar inasmuch notwithstanding irrespective throughout despite upon therefore thus hence moreover nevertheless"
-
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _LOG = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|^\s*\d\d:\d\d:\d\d\b|^\s*(?:INFO|WARN|ERROR|FAIL|DEBUG)\b")
 # marks of lists, headings and prompts end with a blank: *emphasis*, -0.5 or `name` may begin a sentence
@@ -72,7 +68,7 @@ def scan(text: str | None) -> tuple[list[str], int, int]:
 
 
 class Words:
-    """Words of a batch as numbers, with the length of each and marks of its language and use."""
+    """Words of a batch as numbers."""
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
@@ -88,11 +84,8 @@ class Words:
             out.append(i)
         return out
 
-    def marks(self) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
-        sets = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-        sub = frozenset(SUBORDINATORS.split())
-        n = np.array([len(w) for w in self.names], dtype=float)
-        return n, {k: np.array([w in s for w in self.names], dtype=float) for k, s in sets.items()}, np.array([w in sub for w in self.names], dtype=float)
+    def lengths(self) -> np.ndarray:
+        return np.array([len(w) for w in self.names], dtype=float)
 
 
 def _sum(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -111,7 +104,7 @@ class Batch:
     par_doc: np.ndarray
     sentences: np.ndarray
     commas: np.ndarray
-    english: np.ndarray
+    prose: np.ndarray  # whether it is a text with prose of its own, and no log with something pasted in
 
 
 def read(texts: list[str | None]) -> Batch:
@@ -133,14 +126,36 @@ def read(texts: list[str | None]) -> Batch:
         at.append(len(ids))
         sentences.append(s)
         commas.append(c)
-    b = Batch(ws, np.array(ids, dtype=np.int64), np.array(at), np.array(par), np.array(par_doc, dtype=np.int64), np.array(sentences, float), np.array(commas, float), np.zeros(len(texts), bool))
-    _, lang, _ = ws.marks()
-    n = np.maximum(b.at[1:] - b.at[:-1], 1)
-    share = {k: (_sum(m[b.ids], b.at) if len(b.ids) else np.zeros(len(texts))) / n for k, m in lang.items()}
-    rest = np.maximum.reduce([share[k] for k in share if k != "en"])
-    own = ~np.array(logs, bool)  # else it is a log with something pasted in
-    b.english = (b.at[1:] - b.at[:-1] >= LEAST_WORDS) & (share["en"] > 0.12) & (share["en"] > 1.3 * rest) & own
-    return b
+    at = np.array(at)
+    return Batch(ws, np.array(ids, dtype=np.int64), at, np.array(par), np.array(par_doc, dtype=np.int64), np.array(sentences, float), np.array(commas, float), (at[1:] - at[:-1] >= LEAST_WORDS) & ~np.array(logs, bool))
+
+
+class English:
+    """Words weighed for and against English: a naive Bayes classifier. Words of neither side say nothing. Without any
+    texts of the other side a text is English if more of its words are known than not."""
+
+    def __init__(self, yes: list[str | None], no: list[str | None], smooth: float = 0.5, trims: int = 3):
+        b, c = read(yes), read(no)
+        names = sorted({*b.words.names, *c.words.names})
+        index = {w: i for i, w in enumerate(names)}
+        v = len(names)
+        counts = []
+        for x in (b, c):
+            code = np.array([index[w] for w in x.words.names], dtype=np.int64)[x.ids] if len(x.ids) else np.zeros(0, np.int64)
+            doc = np.repeat(np.arange(len(x.at) - 1), x.at[1:] - x.at[:-1])
+            counts.append((code, doc, len(x.at) - 1))
+        keep = [np.ones(n, bool) for _, _, n in counts]
+        for _ in range(trims):  # labels err: a text that the others contradict teaches nothing the next time
+            n = [np.bincount(code[k[doc]], minlength=v) + smooth for (code, doc, _), k in zip(counts, keep)]
+            w = np.log(n[0] / n[0].sum()) - np.log(n[1] / n[1].sum())
+            said = [np.bincount(doc, weights=w[code], minlength=k) for code, doc, k in counts]
+            keep = [said[0] >= 0, said[1] <= 0]
+        some = bool(len(counts[1][0]))
+        self.weight, self.unseen = dict(zip(names, w.tolist() if some else np.ones(v).tolist())), 0.0 if some else -1.0
+
+    def __call__(self, b: Batch) -> np.ndarray:
+        w = np.array([self.weight.get(x, self.unseen) for x in b.words.names])
+        return b.prose & (_sum(w[b.ids], b.at) > 0) if len(b.ids) else np.zeros(len(b.at) - 1, bool)
 
 
 def _mostly_ascii(p: str) -> bool:
@@ -148,12 +163,12 @@ def _mostly_ascii(p: str) -> bool:
     return p.isascii() or any("\u0370" <= c <= "\u04ff" or c in "\xad\u200b\u200c\u200d\ufeff\xa0" or c > "\uff00" for c in p)
 
 
-NAMES = ("length", "long8", "long11", "sentence", "subordinate", "commas", "lexicon", "hard", "par_length", "par_lexicon")
+NAMES = ("length", "long8", "long11", "sentence", "commas", "lexicon", "hard", "par_length", "par_lexicon")
 
 
 def features(b: Batch, lexicon: dict[str, float] | None, own: np.ndarray | None = None) -> np.ndarray:
     """(documents, len(NAMES)). ``own``: per word position the word's difficulty, if it differs by document."""
-    length, _, sub = b.words.marks()
+    length = b.words.lengths()
     k = len(b.at) - 1
     n = np.maximum(b.at[1:] - b.at[:-1], 1).astype(float)
     if not len(b.ids):
@@ -171,7 +186,6 @@ def features(b: Batch, lexicon: dict[str, float] | None, own: np.ndarray | None
             _sum((wl >= 8) * 1.0, b.at) / n,
             _sum((wl >= 11) * 1.0, b.at) / n,
             np.log(np.maximum(n / s, 1)),
-            _sum(sub[b.ids], b.at) / n,
             b.commas / n,
             _sum(diff, b.at) / n,
             _sum((diff >= 3.6) * 1.0, b.at) / n,
@@ -212,7 +226,7 @@ def learn_lexicon(b: Batch, grade: np.ndarray, weight: float = 6.0) -> tuple[dic
     g = grade[pd_]
     n = np.bincount(pw, minlength=v).astype(float)
     s = np.bincount(pw, weights=g, minlength=v)
-    base = prior(b.words.marks()[0])
+    base = prior(b.words.lengths())
     full = (s + weight * base) / (n + weight)
     without = (s[pw] - g + weight * base[pw]) / (n[pw] - 1 + weight)
     return dict(zip(b.words.names, full.tolist())), without[inv]
@@ -255,6 +269,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
+    english: English
     lexicon: dict[str, float]
     mean: np.ndarray
     sd: np.ndarray
@@ -267,8 +282,9 @@ class Model:
         return score, np.interp(score, self.knots, self.levels)
 
 
-def fit(texts: list[str | None], grade: np.ndarray) -> Model:
-    """``grade``: mean grade of each labelled document."""
+def fit(texts: list[str | None], grade: np.ndarray, english: list[str | None] = (), other: list[str | None] = ()) -> Model:
+    """``grade``: mean grade of each labelled document; all of these are English. ``english`` and ``other``: more texts
+    labelled so."""
     b = read(texts)
     use = b.at[1:] - b.at[:-1] >= LEAST_WORDS
     lexicon, own = learn_lexicon(b, grade)
@@ -280,40 +296,49 @@ def fit(texts: list[str | None], grade: np.ndarray) -> Model:
     z = (x - mean) / sd
     w = rank_pairs(z, g, ridge=0.3 / np.sqrt(max(len(g), 1)))
     knots, levels = isotonic(z @ w, g)
-    return Model(lexicon, mean, sd, w, knots, levels)
+    return Model(English([*texts, *english], list(other)), lexicon, mean, sd, w, knots, levels)
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most MAX_LABELLED labelled documents; several raters' grades are averaged."""
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on at most MAX_LABELLED graded documents, several raters' grades averaged, and MAX_LANGUAGE texts a side
+    of a language column, if there is one."""
     grades = labels.where("grade_level is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.avg("grade_level").alias("grade"))
     some = grades.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(MAX_LABELLED)
     rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(some, "_id").where("text is not null").dropDuplicates(["_id"]).orderBy("_id").toPandas()
-    return fit(rows["text"].tolist(), rows["grade"].to_numpy(float))
+    told: list[list[str]] = [[], []]
+    if lang_col in documents.columns:
+        name = F.regexp_extract(F.lower(F.trim(lang_col)), "^[a-z]{2}", 0)
+        for i, of in enumerate((name == "en", (name != "en") & (name != ""))):
+            some = documents.where(of & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(id_col, F.lit(SEED)).alias("h"), F.col(id_col).alias("_id"))
+            told[i] = [r["text"] for r in some.orderBy("h", "_id").limit(MAX_LANGUAGE).select("text").collect()]
+    return fit(rows["text"].tolist(), rows["grade"].to_numpy(float), *told)
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, n_words, is_english, score, level`` of every document's own prose.
 
-    ``n_words`` counts words of running prose (see ``prose``); ``is_english`` is told from its function
-    words, whatever a language column says; ``score`` is the ranker's, ``level`` its calibrated grade. A
+    ``n_words`` counts words of running prose (see ``prose``); ``is_english`` is told by its words,
+    whatever the language column says of it (a sample of that column teaches the words); ``score`` is the ranker's, ``level`` its calibrated grade. A
     text without prose (NULL, empty, a log even if prose is pasted in, a table) or of fewer than LEAST_WORDS words has NULL score
     and level; so has prose in another language. Repeated rows repeat; texts are read whole. The model
-    is fitted once and travels with the function: its size is bounded by MAX_LABELLED documents.
+    is fitted once and travels as a broadcast: its size is bounded by MAX_LABELLED and MAX_LANGUAGE documents.
     Without any labelled prose a ValueError says so."""
-    model = train(documents, labels, id_col, text_col)
+    sent = documents.sparkSession.sparkContext.broadcast(train(documents, labels, id_col, text_col, lang_col))
     schema = f"doc_id {dict(documents.select(id_col).dtypes)[id_col]}, n_words int, is_english boolean, score double, level double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = sent.value
         for p in batches:
             b = read([t if isinstance(t, str) else None for t in p["_text"]])
             score, level = model.level(b)
+            english = model.english(b)
             yield pd.DataFrame(
                 {
                     "doc_id": p["_id"],
                     "n_words": (b.at[1:] - b.at[:-1]).astype(np.int32),
-                    "is_english": b.english,
-                    "score": np.where(b.english, score, np.nan),
-                    "level": np.where(b.english, level, np.nan),
+                    "is_english": english,
+                    "score": np.where(english, score, np.nan),
+                    "level": np.where(english, level, np.nan),
                 }
             )
 

@@ -14,8 +14,9 @@ def text(level, seed, n=90):
     return ". ".join(" ".join(ws[i : i + size]).capitalize() for i in range(0, n, size)) + "."
 
 
-DOCS = "doc_id long, text string, grade_level string, level string"
+DOCS = "doc_id long, text string, lang string, level string"
 GERMAN = "Der Bereich hält den Kurs und die Schwelle ist nicht über dem Abstand, wenn der Ausschuss es will und das Handeln sich nicht ändert."
+FRENCH = "Le comité regarde les courbes et la règle ne change pas, car les seuils sont encore trop loin de la moyenne pour que nous puissions agir."
 LOG = "\n".join(f"2021-01-19T10:44:{i:02d}Z INFO walkforward[2] the fold is in the registry and it was not of any use" for i in range(30))
 
 
@@ -24,7 +25,7 @@ def got(spark):
     rows = [(i, text(1 + i % 5, i), "x", "y") for i in range(300)]
     rows += [(1000, None, "", ""), (1001, "", "", ""), (1002, LOG, "", ""), (1003, GERMAN, "", ""), (1004, "Too short.", "", ""), (1005, "| a | b |\n|---|---|\n| the | of |", "", "")]
     rows += [(1006, text(5, 9, 400) + "\n\n" + LOG[:140], "", ""), (1010, text(5, 9, 60) + "\n\n" + LOG, "", ""), (1007, "> " + text(5, 8) + "\n\n" + text(1, 7, 200), "", ""), (1008, (text(5, 6) + "\n\n") * 300, "", ""), (1009, text(5, 9).upper(), "", "")]
-    rows += [rows[4]]
+    rows += [rows[4]] + [(2000 + i, GERMAN, lang, "") for i, lang in enumerate(("de", "DE", " en ", None))] + [(2010, text(2, 77), "de", ""), (2011, FRENCH, "fr", "")]
     labels = [(i, 1 + i % 5, "r") for i in range(150)] + [(3, None, "r"), (7, 2, "r2"), (5000, 5, "r")]
     d = spark.createDataFrame(rows, DOCS)
     out = reading.reading_levels(d, spark.createDataFrame(labels, "doc_id long, grade_level long, text string")).collect()
@@ -39,10 +40,20 @@ def test_held_out_levels(got):
 
 
 def test_what_is_no_english_prose(got):
-    for i in (1000, 1001, 1002, 1003, 1004, 1005, 1010):
+    for i in (1000, 1001, 1002, 1003, 1004, 1005, 1010, 2000, 2001, 2002, 2003, 2011):
         assert not got[i].is_english and got[i].level is None and got[i].score is None, i
 
 
+def test_english_whatever_the_column_says(got):
+    assert got[2010].is_english and all(got[i].is_english for i in range(300))
+
+
+def test_language_without_labels(spark):
+    rows = [(i, text(1 + i % 5, i)) for i in range(100)] + [(500, GERMAN), (501, FRENCH)]
+    out = reading.reading_levels(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1 + i % 5) for i in range(40)], "doc_id long, grade_level long")).collect()
+    assert {r.doc_id: r.is_english for r in out} == {i: i < 500 for i, _ in rows}
+
+
 def test_own_prose_only(got):
     assert got[1006].level >= 3.5 and got[1008].level >= 3.5 and got[1009].level >= 3.5
     assert got[1007].level < 2.5
@@ -58,11 +69,11 @@ def test_memos_with_log_lines_are_no_logs(share):
     cut = memo.index(". ", half) + 2
     mixed = memo[:cut] + "\n" + "\n".join(lines[i % 30] for i in range(k)) + "\n" + memo[cut:]
     plain, got = reading.read([memo]), reading.read([mixed])
-    assert got.english.tolist() == [True] and got.at.tolist() == plain.at.tolist()
+    assert got.prose.tolist() == [True] and got.at.tolist() == plain.at.tolist()
     # many tables and little prose: the log lines are still no more than a part
     table = "\n".join("| EXP | the of a | 12 | 13 |" for _ in range(60))
-    assert reading.read([text(3, 11, 60) + "\n\n" + table + "\n\n" + "\n".join(lines[:8])]).english.tolist() == [True]
-    assert reading.read([text(3, 11, 60) + "\n\n" + LOG]).english.tolist() == [False]
+    assert reading.read([text(3, 11, 60) + "\n\n" + table + "\n\n" + "\n".join(lines[:8])]).prose.tolist() == [True]
+    assert reading.read([text(3, 11, 60) + "\n\n" + LOG]).prose.tolist() == [False]
 
 
 def test_marks_that_begin_sentences():
