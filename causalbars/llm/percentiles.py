@@ -12,14 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causalbars.runtime import cut
 
 BLOCK = 65_536
 BUFFER = 1_000_000  # values a task holds while it builds blocks
-FINISH = 512
+FINISH = 4096  # values of a target that are settled at once; a task gets its share of all targets
 MAX_ROUNDS = 500
 MAX_BROADCAST_TARGETS = 200_000  # rows of about 50 bytes
 
@@ -121,9 +121,7 @@ def select_ranks(held: DataFrame, keys: list[str], qs: list[float], eps: float =
     near = state.where((F.col("value").isNull()) & F.lit(eps > 0) & (F.col("active") <= F.lit(eps) * F.col("n")) & F.col("pivot").isNotNull())
     rest = state.where("value is null").join(near.select("t"), "t", "left_anti")
     last = at_blocks(rest, ["t", "lo", "hi", "below", "k"]).mapInPandas(_gather, "t bigint, r bigint, v array<double>, w array<bigint>")
-    each = last.select("t", "r", F.inline(F.arrays_zip("v", "w")))  # at most FINISH rows a target
-    upto = F.sum("w").over(Window.partitionBy("t").orderBy("v").rangeBetween(Window.unboundedPreceding, 0))
-    settled = each.withColumn("upto", upto).where("upto >= r").groupBy("t").agg(F.min("v").alias("last"))
+    settled = last.repartition("t").mapInPandas(_settle, "t bigint, last double")
     out = state.join(settled, "t", "left").select(*(F.col(x).alias(k) for k, x in zip(keys, g)), "q", "n", F.coalesce("value", "last", "pivot").alias("value"))
     return out
 
@@ -182,6 +180,47 @@ def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["t", "r", "v", "w"])
 
 
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The value of rank r among the values of each target, all of which are in one partition."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    df = pd.concat(parts, ignore_index=True)
+    t = np.repeat(df["t"].to_numpy(), df["v"].map(len).to_numpy())
+    r = np.repeat(df["r"].to_numpy(), df["v"].map(len).to_numpy())
+    v, w = np.concatenate(df["v"].to_list()), np.concatenate(df["w"].to_list())
+    o = np.lexsort((v, t))
+    t, r, v, c = t[o], r[o], v[o], np.cumsum(w[o])
+    head = np.r_[True, t[1:] != t[:-1]]
+    before = np.repeat((c - w[o])[head], np.diff(np.r_[np.flatnonzero(head), len(t)]))
+    reached = np.flatnonzero(c - before >= r)
+    first = reached[np.r_[True, t[reached][1:] != t[reached][:-1]]] if len(reached) else reached
+    yield pd.DataFrame({"t": t[first], "last": v[first]})
+
+
+def merge(summaries: DataFrame, keys: list[str], eps: float) -> DataFrame:
+    """Summaries put together per ``keys`` and thinned: one block per group that keeps a value of every 2 * eps * size.
+
+    The rank error of the result is at most that of the summaries plus ``eps``. A group's blocks meet in one task, so a
+    group is what can be told from summaries of bounded size: a month, not all time."""
+    types = dict(summaries.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", vals array<double>, cum array<bigint>"
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        v = np.concatenate(g["vals"].to_list())
+        w = np.concatenate([np.diff(np.r_[0, c]) for c in g["cum"]])
+        o = np.argsort(v, kind="stable")
+        v, c = v[o], np.cumsum(w[o])
+        s = max(1, int(2 * eps * c[-1]))
+        ends = np.minimum(np.arange(s, c[-1] + s, s), c[-1])
+        mids = (np.r_[0, ends[:-1]] + ends + 1) // 2  # ranks from 1
+        at = np.searchsorted(c, mids)
+        last = np.r_[at[1:] != at[:-1], True]  # one value for several steps goes once
+        return pd.DataFrame([(*key, v[at[last]], ends[last].astype(np.int64))], columns=[*keys, "vals", "cum"])
+
+    return summaries.groupBy(*keys).applyInPandas(run, schema)
+
+
 def path_values(paths: DataFrame) -> DataFrame:
     """Long form ``symbol, h, event_day, field, value`` of the eligible path rows, each (event_id, h) once."""
     one = paths.where("elig").select("event_id", "symbol", "h", "event_day", "mfe_pts", "mae_pts", "t_mfe").dropDuplicates(["event_id", "h"])
@@ -199,12 +238,33 @@ def path_percentiles(paths: DataFrame, qs: list[float] = QS) -> DataFrame:
     return select_ranks(blocks(path_values(paths), keys), keys, qs)
 
 
-def day_summaries(paths: DataFrame, eps: float = 0.005) -> DataFrame:
+def day_summaries(paths: DataFrame, eps: float = 0.0025) -> DataFrame:
     """What a day's run keeps: per (day, symbol, h, field) blocks from which percentiles come out within
     ``eps`` of the rank. Summaries of any days, files or clusters can be put together with ``union``."""
     return blocks(path_values(paths), ["event_day", "symbol", "h", "field"], eps=eps)
 
 
+def month_summaries(days: DataFrame, eps: float = 0.0025) -> DataFrame:
+    """Day summaries merged per month: what is kept once the days are over."""
+    month = F.trunc("event_day", "month")
+    return merge(days.withColumn("month", month).drop("event_day"), ["month", "symbol", "h", "field"], eps)
+
+
 def combine(summaries: DataFrame, qs: list[float] = QS) -> DataFrame:
-    """Percentiles per symbol and horizon over all the days in ``summaries``."""
-    return select_ranks(summaries.drop("event_day"), ["symbol", "h", "field"], qs)
+    """Percentiles per symbol and horizon over all the days or months in ``summaries``."""
+    keys = ["symbol", "h", "field"]
+    return select_ranks(summaries.select(*keys, "vals", "cum"), keys, qs)
+
+
+def within(paths: DataFrame, told: DataFrame, eps: float) -> DataFrame:
+    """``symbol, h, field, q, n, within``: whether each told percentile stands within ``eps * n`` ranks of the right one.
+
+    The ranks of a value are counted over all values: those below it and those not above it."""
+    keys = ["symbol", "h", "field"]
+    v = path_values(paths).select(*keys, F.col("value").alias("v"))
+    t = told.groupBy(*keys).agg(F.collect_list(F.struct("q", "n", "value")).alias("told"))  # a few percentiles
+    each = v.join(t, keys).select(*keys, "v", F.inline("told"))
+    c = each.groupBy(*keys, "q", "n").agg(F.count(F.when(F.col("v") < F.col("value"), 1)).alias("below"), F.count(F.when(F.col("v") <= F.col("value"), 1)).alias("upto"))
+    k = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n")))
+    ok = (k >= F.col("below") + 1 - F.lit(eps) * F.col("n")) & (k <= F.col("upto") + F.lit(eps) * F.col("n"))
+    return c.select(*keys, "q", "n", ok.alias("within"))

@@ -14,7 +14,13 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_from_days(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles.combine(percentiles.day_summaries(table(spark, d, "path_arrays")))
+    """Percentiles within 0.005 of their rank, from day summaries (0.0025) merged to months (0.0025 more)."""
+    return percentiles.combine(percentiles.month_summaries(percentiles.day_summaries(table(spark, d, "path_arrays"))))
+
+
+def p3_rank_error(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile of p3_from_days holds its stated error, by counting over all values."""
+    return percentiles.within(table(spark, d, "path_arrays"), p3_from_days(spark, d), 0.005)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +65,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.where("is_english").groupBy(F.round("level").cast("int").alias("grade")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_from_days, p6_found, p6_clean, p7_mix, p7_shares, p7_corpus_mix, p7_corpus_shares, p7_character_shares, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_from_days, p3_rank_error, p6_found, p6_clean, p7_mix, p7_shares, p7_corpus_mix, p7_corpus_shares, p7_character_shares, p8_found, p8_profile)}
 
 P3_SQL = """
 WITH one AS (SELECT DISTINCT ON (event_id, h) symbol, h, mfe_pts, mae_pts, t_mfe FROM path_arrays WHERE elig ORDER BY event_id, h),
@@ -95,4 +101,5 @@ g AS (SELECT source, sum(n * copies)::BIGINT AS mixed, count(*) AS docs, max(cop
 SELECT e.source, coalesce(target, 0) AS target_share, coalesce(mixed / (SELECT sum(mixed) FROM g), 0)::DOUBLE AS reached_share, size AS size_tokens, coalesce(mixed, 0) AS mix_tokens, coalesce(docs, 0) AS n_documents, most AS max_repeats, coalesce(copies, 0) AS max_copies
 FROM e LEFT JOIN g ON e.source = g.source
 """
-ORACLE_SQL: dict[str, str] = {"p3_percentiles": P3_SQL, "p7_character_shares": P7_SQL}
+P3_ERROR_SQL = P3_SQL.replace("SELECT symbol, h, field, q, n, value FROM r", "SELECT symbol, h, field, q, n, true AS within FROM r")
+ORACLE_SQL: dict[str, str] = {"p3_percentiles": P3_SQL, "p3_rank_error": P3_ERROR_SQL, "p7_character_shares": P7_SQL}

@@ -60,3 +60,18 @@ def test_paths(spark):
     df = spark.createDataFrame([(*r[:4], None, *r[4:], "clash") for r in rows], "event_id string, symbol string, h int, elig boolean, event_day date, mfe_pts double, mae_pts double, t_mfe int, value string")
     got = {(r.field, r.q): (r.value, r.n) for r in p.path_percentiles(df, [0.5]).collect()}
     assert got == {("mfe_pts", 0.5): (1.0, 1), ("mae_pts", 0.5): (-3.0, 2), ("t_mfe", 0.5): (2.0, 2)}
+
+
+def test_merged_summaries_are_small_and_within_their_error(spark):
+    r = np.random.default_rng(9)
+    parts = [r.lognormal(size=int(n)) for n in r.integers(1, 120, 200)] + [np.full(500, 2.0)]
+    df = spark.createDataFrame([(f"d{i}", "a", float(v)) for i, x in enumerate(parts) for v in x], "day string, g string, value double")
+    days = p.blocks(df, ["day", "g"], eps=0.01)
+    merged = p.merge(days.drop("day"), ["g"], 0.02)
+    (row,) = merged.collect()
+    s = np.sort(np.concatenate(parts))
+    assert len(row.vals) <= 26 and row.cum[-1] == len(s) and list(row.vals) == sorted(row.vals)
+    for got in p.select_ranks(merged, ["g"], [0.0, 0.1, 0.5, 0.9, 1.0]).collect():
+        lo, hi = np.searchsorted(s, got.value, "left") + 1, np.searchsorted(s, got.value, "right")
+        k = max(1, math.ceil(got.q * len(s)))
+        assert max(lo - k, k - hi, 0) <= 0.03 * len(s) + 1
