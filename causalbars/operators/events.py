@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from causalbars.operators import features
 from causalbars.functions.clock import DAY_NS, local_minute
 from causalbars.operators.ranks import ranked
-from causalbars.operators.targets import SPAN, forward
+from causalbars.operators.targets import SPAN, forward, with_close
 
 # The trials of an experiment, in order.
 TARGETS = ("DIR_RETURN_15", "DIR_RETURN_60", "DIR_RETURN_180", "DIR_PATH_SKEW_60")
@@ -177,6 +177,68 @@ def causality(plugin: Callable[[DataFrame], DataFrame], bars: DataFrame, cutoffs
     return diff.groupBy(F.col("_s").alias("series_id")).agg(F.countDistinct("i").alias("n_cutoffs"), n("cut").alias("n_cut"), n("changed").alias("n_changed"))
 
 
+def generate(raw: DataFrame, bars: DataFrame, dims: DataFrame, gap: Column) -> DataFrame:
+    """Raw plugin events (series_id, event_ns, direction) to a study's: those at the completion of a bar in regular hours,
+    one per time and none where directions differ, ``gap`` ns apart, with a whole bar left before the close.
+
+    ``dims``: the zone columns of each series. Order matters: an event that is dropped holds up none after it."""
+    e = raw.join(dims, "series_id").withColumn("ts", F.col("event_ns") - F.col("step_ns"))
+    e = e.join(bars.select("series_id", "ts"), ["series_id", "ts"], "left_semi").where(in_session("ts"))
+    e = drop_conflicts(e.select("series_id", "event_ns", "direction", "step_ns", "tz", "rth_to"), ["series_id", "event_ns"], "direction")
+    kept = cooldown(e.select("series_id", "event_ns", "step_ns"), ["series_id"], "event_ns", gap)
+    e = with_close(e.join(kept, ["series_id", "event_ns"], "left_semi"))
+    return e.where("target_eligible").select("series_id", "event_ns", "direction")
+
+
+class LadderError(ValueError):
+    """A ladder plugin that does not give the declared steps in their order, or whose last step is not the study's events."""
+
+
+def ladder(steps: dict[str, DataFrame], declared: list[str], final: DataFrame) -> DataFrame:
+    """The event sets of a ladder plugin as one table ``step_no, step, series_id, event_ns, direction``.
+
+    The steps must be the declared ones, in their order, and the last the same events as ``final``."""
+    if list(steps) != list(declared):
+        raise LadderError(f"declared {list(declared)}, got {list(steps)}")
+    cols = ["series_id", "event_ns", "direction"]
+    last = steps[declared[-1]].select(*cols)
+    if not last.exceptAll(final.select(*cols)).isEmpty() or not final.select(*cols).exceptAll(last).isEmpty():
+        raise LadderError("the last step is not the study's event set")
+    out = None
+    for i, (name, df) in enumerate(steps.items()):
+        d = df.select(F.lit(i).alias("step_no"), F.lit(name).alias("step"), *cols)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def delayed(located: DataFrame, bars: DataFrame, n: int) -> DataFrame:
+    """Events moved to the completion of the bar ``n`` positions after their own; those beyond the data are left out."""
+    to = bars.select("series_id", F.col("pos").alias("_to"), (F.col("ts") + F.col("step_ns")).alias("delayed_ns"))
+    return located.withColumn("_to", F.col("pos_t") + n).join(to, ["series_id", "_to"]).drop("_to")
+
+
+def probes(base: dict[str, float | int], multipliers: tuple[float, ...] = (0.75, 1.25)) -> list[tuple[str, float, dict]]:
+    """Parameter sets that differ from ``base`` in one number: (parameter, multiplier, parameters), integers rounded half up
+    and at least 1, sets like the base left out."""
+    out = []
+    for name, v in base.items():
+        for m in multipliers:
+            x = max(1, int(v * m + 0.5)) if isinstance(v, int) else v * m
+            if x != v:
+                out.append((name, m, {**base, name: x}))
+    return out
+
+
+def trial_sets(trials: DataFrame, by: str) -> DataFrame:
+    """How each experiment's trials (target, half, model) stand to the declared product: ``by, n_trials, n_missing, n_unknown,
+    n_repeated``."""
+    want = trial_product(trials.sparkSession).select(F.col("trial_id").alias("_t"), F.lit(True).alias("_w"))
+    n = trials.groupBy(by, F.concat_ws("|", "target", "model", "half").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    g = n.join(want, "_t", "left").groupBy(by).agg(F.count(F.lit(1)).alias("n_trials"), F.count("_w").alias("_ok"), F.count(F.when(F.col("_n") > 1, 1)).alias("n_repeated"))
+    size = len(TARGETS) * len(MODELS) * len(HALVES)
+    return g.select(by, "n_trials", (size - F.col("_ok")).alias("n_missing"), (F.col("n_trials") - F.col("_ok")).alias("n_unknown"), "n_repeated")
+
+
 def run_plugin(bars: DataFrame, detect: Callable[[pd.DataFrame, dict], pd.DataFrame], params: dict) -> DataFrame:
     """A pandas plugin ``detect(bars, params) -> [event_time, direction]`` per series, as a grouped map. It sees a
     whole series; plugins that are DataFrame functions, like ``pivots``, need no such group."""

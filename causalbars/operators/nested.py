@@ -141,7 +141,7 @@ def assemble(s: Shredder, table: str, outer: bool = False) -> pd.DataFrame:
     out = {"record": rec}
     for k, p in enumerate(pos, 1):
         out[f"pos_{k}"] = p
-    for path, lv in own:
+    for path, _ in own:
         out[path] = s.levels(path)["value"].to_numpy(dtype=object)
     for path, at, lv in s.paths:  # leaves of the ancestors: entry j of theirs holds while rep > lv
         if lv < level and table.startswith(at + "."):
@@ -168,6 +168,17 @@ def parse(text: object) -> object:
         return None
 
 
+def holder(text: object, under: str | None) -> dict | None:
+    """What holds the root's elements: the decoded document, or its field ``under`` if that is an object or the JSON text
+    of one; None if the text is no object."""
+    doc = parse(text)
+    if not isinstance(doc, dict) or not under:
+        return doc if isinstance(doc, dict) else None
+    inner = doc.get(under)
+    inner = parse(inner) if isinstance(inner, str) else inner
+    return inner if isinstance(inner, dict) else doc
+
+
 def flat_table(df: DataFrame, key: str, json_col: str, root: Repeated, table: str, outer: bool = False, under: str | None = None) -> DataFrame:
     """The flat table of one repeated ancestor over all records of ``df``, in one pass, no shuffle.
 
@@ -184,11 +195,8 @@ def flat_table(df: DataFrame, key: str, json_col: str, root: Repeated, table: st
         for b in batches:
             s = Shredder(root)
             for i, text in enumerate(b["_doc"].to_numpy(dtype=object)):
-                doc = parse(text)
-                if isinstance(doc, dict):
-                    if under and isinstance(doc.get(under), str):
-                        doc = doc | {under: parse(doc[under])}
-                    s.add(i, doc[under] if under and isinstance(doc.get(under), dict) else doc)
+                if (doc := holder(text, under)) is not None:
+                    s.add(i, doc)
             t = assemble(s, table, outer)
             t.insert(0, "record_key", b["_key"].to_numpy(dtype=object)[t["record"].to_numpy(dtype=np.int64)])
             t = t.drop(columns="record").rename(columns={p: p.replace(".", "_") for p in leaves})
@@ -206,9 +214,8 @@ def shredded(df: DataFrame, key: str, json_col: str, root: Repeated, under: str
         for b in batches:
             s = Shredder(root)
             for i, text in enumerate(b["_doc"].to_numpy(dtype=object)):
-                doc = parse(text)
-                if isinstance(doc, dict):
-                    s.add(i, doc[under] if under and isinstance(doc.get(under), dict) else doc)
+                if (doc := holder(text, under)) is not None:
+                    s.add(i, doc)
             keys = b["_key"].to_numpy(dtype=object)
             for p in s.columns:
                 t = s.levels(p)

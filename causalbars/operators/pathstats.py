@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalbars.operators.targets import LEVELS, PATH_HORIZONS
@@ -130,9 +130,44 @@ def yearly_table(p: DataFrame, by: list[str], year: str, least: int = 20) -> Dat
     ).where(F.col("n") >= least)
 
 
+def ladder_paths(p: DataFrame, n_weeks: DataFrame) -> DataFrame:
+    """Path summary of each ladder step and horizon with its change against the step before.
+
+    ``p``: paths once per step they belong to (``step_no, step``); ``n_weeks``: one row. Steps without an eligible path at
+    a horizon have no row there."""
+    d = _long(p, ["step_no", "step"]).where("elig and sigma is not null").withColumn("up", (F.col("direction") * (F.col("close") - F.col("p0")) > 0).cast("double"))
+    g = d.groupBy("step_no", "step", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("up").alias("continuation"), *_pct("mfe", [0.5, 0.75, 0.95], "mfe"), *_pct(-F.col("mae"), [0.5, 0.75, 0.95], "abs_mae"))
+    g = g.join(F.broadcast(n_weeks)).withColumn("per_week", F.col("n") / F.col("n_weeks")).drop("n_weeks")  # one row
+    w = Window.partitionBy("h").orderBy("step_no")
+    told = F.lag("step_no").over(w) == F.col("step_no") - 1
+    return g.withColumns({f"d_{c}": F.when(told, F.col(c) - F.lag(c).over(w)) for c in ("per_week", "continuation", "mfe_p50", "abs_mae_p50")})
+
+
+def digest(p: DataFrame, by: list[str], h: int = 60) -> DataFrame:
+    """A few numbers per context: events, continuation, reversal and median excursions at ``h``, and how many cells of
+    the bracket surface have a positive mean."""
+    d = _long(p, by).where((F.col("h") == h) & F.col("elig"))
+    side = F.col("direction") * (F.col("close") - F.col("p0"))
+    share = lambda c: F.avg(c.cast("double"))
+    a = d.groupBy(*by).agg(share(side > 0).alias("continuation"), share(side < 0).alias("reversal"), F.percentile("mfe", 0.5).alias("median_mfe"), F.percentile(-F.col("mae"), 0.5).alias("median_abs_mae"))
+    cells = brackets(p, by).groupBy(*by, "expiry", "stop_sigma", "target_sigma").agg(F.avg("pnl").alias("m")).groupBy(*by).agg(F.count(F.when(F.col("m") > 0, 1)).alias("positive_cells"), F.count(F.lit(1)).alias("cells"))
+    n = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"))
+    return n.join(a, by, "left").join(cells, by, "left")
+
+
 def group_contexts(members: DataFrame) -> DataFrame:
     """Contexts with the same events share a group: rows (context, event_id) to ``context, n, fingerprint``.
 
     The fingerprint is a sum of 128 bits of hashes, combined on the map side: no event list is gathered."""
     h = lambda s: F.sum(F.xxhash64("event_id", F.lit(s)).cast("decimal(38,0)")).cast("string")
     return members.groupBy("context").agg(F.count(F.lit(1)).alias("n"), h(1).alias("a"), h(2).alias("b")).select("context", "n", F.sha2(F.concat_ws("|", "n", "a", "b"), 256).alias("fingerprint"))
+
+
+# Words that a diagnostic report must not use.
+FORBIDDEN = ("BEST BRACKET", "OPTIMAL STOP", "OPTIMAL TARGET", "RECOMMENDED BRACKET")
+
+
+def forbidden_phrases(texts: DataFrame, text: str) -> DataFrame:
+    """The rows whose text holds a forbidden phrase, whatever the case, with ``phrases``: those found."""
+    found = F.filter(F.array(*(F.lit(x) for x in FORBIDDEN)), lambda x: F.contains(F.upper(F.col(text)), x))
+    return texts.withColumn("phrases", found).where(F.size("phrases") > 0)

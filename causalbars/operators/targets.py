@@ -92,6 +92,22 @@ def primary_targets(events: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
+def declared_ends(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """``event_id, target_name, declared_end_ns``: the completion of the last bar of each primary target's own horizon, by
+    position; NULL if the data end before it."""
+    names = {f"DIR_RETURN_{n}": n for n in RETURN_TARGETS} | {f"DIR_PATH_SKEW_{SKEW_BARS}": SKEW_BARS}
+    e = events.select("event_id", "series_id", "pos_fwd", F.inline(F.array(*(F.struct(F.lit(k).alias("target_name"), (F.col("pos_fwd") + horizon(n) - 1).alias("pos")) for k, n in names.items()))))
+    b = bars.select("series_id", "pos", (F.col("ts") + F.col("step_ns")).alias("declared_end_ns"))
+    return e.join(b, ["series_id", "pos"], "left").select("event_id", "target_name", "declared_end_ns")
+
+
+def effective_ends(targets: DataFrame, declared: DataFrame) -> DataFrame:
+    """Targets whose effective end is the later of the claimed and the declared one: a plugin that claims to know an
+    outcome early is purged as if it did not."""
+    t = targets.drop("effective_target_end_ns").join(declared, ["event_id", "target_name"], "left")
+    return t.withColumn("effective_target_end_ns", F.greatest("target_end_ns", "declared_end_ns"))
+
+
 def inside_session(targets: DataFrame, strict: bool = False) -> DataFrame:
     """Targets that resolve within the event's session. ``strict`` raises if any does not."""
     if strict:

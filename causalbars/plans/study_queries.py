@@ -11,11 +11,12 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causalbars.functions.clock import local_day, utc_year, week_key
+from causalbars.functions.clock import local_day, local_minute, utc_year, week_key
 from causalbars.operators import crossval, events, features, graphs, nested, pathstats, positions, stats, targets
 from causalbars.plans.data_queries import P4_SQL
 from causalbars.runtime import stored, table
 from causalbars.sources import bars as bar_source
+from causalbars.sources import registry
 from causalbars.streaming import resample
 
 DIGITS = 10
@@ -934,11 +935,56 @@ def ag24_campaign_summary(spark, d):
     return e.groupBy("campaign_id").agg(F.countDistinct("experiment_id").alias("n_experiments"), F.countDistinct(F.when(F.col("revealed_at") != "", F.col("experiment_id"))).alias("n_revealed"), F.max(F.nullif("created_at", F.lit(""))).alias("last_created"))
 
 
-@query("""SELECT e.experiment_id, e.n AS n_rows, x.n AS n_events FROM (SELECT experiment_id, count(*) AS n FROM experiments GROUP BY 1) e LEFT JOIN (SELECT experiment_id, count(*) AS n FROM study_events GROUP BY 1) x USING (experiment_id)""")
+_P4_ENTRIES = P4_SQL[: P4_SQL.index("i0 AS (")].rstrip().rstrip(",")
+_P4_LEAVES = P4_SQL[: P4_SQL.index("SELECT DISTINCT experiment_id, doc_kind, entry_key, item_no, sub_no")]
+
+
+@query(_P4_LEAVES + """, tm AS (SELECT DISTINCT experiment_id, split_part(entry_key, '|', 1) AS target, y ->> '$.model' AS model FROM s2 WHERE doc_kind = 'sensitivity' AND json_type(y) = 'OBJECT'),
+vl AS (SELECT DISTINCT experiment_id, entry_key, CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.label' END AS label FROM e3 WHERE doc_kind = 'verification' AND json_type(v) = 'OBJECT')
+SELECT tm.experiment_id, target, model, label FROM tm LEFT JOIN vl ON tm.experiment_id = vl.experiment_id AND vl.entry_key = target || '|' || model WHERE model IS NOT NULL""")
 def jn10_left_lookup(spark, d):
-    e = table(spark, d, "experiments", "experiment_id").groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    x = table(spark, d, "study_events", "experiment_id").groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n_events"))
-    return e.join(x, "experiment_id", "left")
+    """The verification label of every (target, model) that a sensitivity document has results of; NULL if there is none."""
+    e = table(spark, d, "experiments")
+    m = nested.registry_table(e, "sensitivity", "entry.probes.models")
+    m = m.select("experiment_id", F.split("entry_key", r"\|")[0].alias("target"), F.col("probes_models_model").alias("model")).where("model is not null").distinct()
+    v = nested.registry_table(e, "verification", "entry").where("mode is not null or label is not null").select("experiment_id", F.col("entry_key").alias("_k"), "label").distinct()
+    return m.withColumn("_k", F.concat_ws("|", "target", "model")).join(v, ["experiment_id", "_k"], "left").drop("_k")
+
+
+@query("""WITH e AS (SELECT DISTINCT experiment_id, campaign_id, sequence_in_campaign, revealed_at, frozen_at, trial_ledger_hash FROM experiments), o AS (SELECT DISTINCT experiment_id, campaign_id, sequence_in_campaign FROM e)
+SELECT 'repeated_experiment' AS check_name, count(*) AS n_violations FROM (SELECT experiment_id FROM experiments GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'unknown_campaign', count(*) FROM o ANTI JOIN campaigns USING (campaign_id)
+UNION ALL SELECT 'campaign_too_large', count(*) FROM (SELECT campaign_id FROM o GROUP BY 1 HAVING count(DISTINCT experiment_id) > 20)
+UNION ALL SELECT 'repeated_sequence', count(*) FROM (SELECT campaign_id FROM o GROUP BY campaign_id, sequence_in_campaign HAVING count(DISTINCT experiment_id) > 1)
+UNION ALL SELECT 'revealed_before_frozen', count(DISTINCT experiment_id) FROM e WHERE coalesce(revealed_at, '') <> '' AND (coalesce(frozen_at, '') = '' OR revealed_at < frozen_at)
+UNION ALL SELECT 'revealed_unsealed', count(DISTINCT experiment_id) FROM e WHERE coalesce(revealed_at, '') <> '' AND coalesce(trial_ledger_hash, '') = ''""")
+def rg8_integrity(spark, d):
+    return registry.integrity(table(spark, d, "experiments"), table(spark, d, "campaigns"))
+
+
+@query(_P4_LEAVES + """, tr AS (SELECT experiment_id, split_part(entry_key, '|', 1) || '|' || (y ->> '$.model') || '|' || split_part(entry_key, '|', 2) AS t, count(*) AS n FROM
+  (SELECT DISTINCT experiment_id, entry_key, item_no, sub_no, y FROM s2 WHERE doc_kind = 'sensitivity' AND json_type(y) = 'OBJECT' AND item_no = 0) GROUP BY 1, 2),
+tw AS (SELECT t || '|' || m || '|' || s AS t FROM (SELECT unnest(['DIR_RETURN_15', 'DIR_RETURN_60', 'DIR_RETURN_180', 'DIR_PATH_SKEW_60']) AS t), (SELECT unnest(['RIDGE', 'SPLINE', 'XGB']) AS m), (SELECT unnest(['UPPER_HALF', 'LOWER_HALF']) AS s))
+SELECT experiment_id, count(*) AS n_trials, 24 - count(tw.t) AS n_missing, count(*) - count(tw.t) AS n_unknown, count(*) FILTER (WHERE n > 1) AS n_repeated FROM tr LEFT JOIN tw USING (t) GROUP BY 1""")
+def rg2_trial_sets(spark, d):
+    """The trials that each experiment's first probes have results of, against the declared product."""
+    m = nested.registry_table(table(spark, d, "experiments"), "sensitivity", "entry.probes.models").where("probes_no = 0").select("experiment_id", "entry_key", "probes_no", "models_no", F.col("probes_models_model").alias("model")).distinct()
+    k = F.split("entry_key", r"\|")
+    return events.trial_sets(m.select("experiment_id", k[0].alias("target"), F.get(k, F.lit(1)).alias("half"), "model"), "experiment_id")
+
+
+@query(_P4_LEAVES + """, tu AS (SELECT DISTINCT experiment_id, concat_ws('|', experiment_id, entry_key, item_no, sub_no) AS trial_id, TRY_CAST(y ->> '$.uplift' AS DOUBLE) AS uplift FROM s2 WHERE doc_kind = 'sensitivity' AND json_type(y) = 'OBJECT'),
+tp AS (SELECT campaign_id, experiment_id, trial_id, exp(-abs(uplift) * 40) AS p FROM tu JOIN (SELECT DISTINCT experiment_id, campaign_id FROM experiments WHERE coalesce(revealed_at, '') <> '') USING (experiment_id) WHERE uplift IS NOT NULL),
+tk AS (SELECT *, row_number() OVER c AS kc, count(*) OVER (PARTITION BY campaign_id) AS mc, row_number() OVER e AS ke, count(*) OVER (PARTITION BY experiment_id) AS me FROM tp WINDOW c AS (PARTITION BY campaign_id ORDER BY p, trial_id), e AS (PARTITION BY experiment_id ORDER BY p, trial_id))
+SELECT campaign_id, experiment_id, trial_id, round(least(1, min(p * mc / kc) OVER (PARTITION BY campaign_id ORDER BY kc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 10) AS campaign_q, round(least(1, p * mc), 10) AS campaign_bonferroni,
+  round(least(1, min(p * me / ke) OVER (PARTITION BY experiment_id ORDER BY ke ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 10) AS experiment_q, round(least(1, p * me), 10) AS experiment_bonferroni FROM tk""")
+def rg4_campaign_recompute(spark, d):
+    """Corrections of every revealed trial, always from the whole revealed table: within its experiment and its campaign."""
+    shown = table(spark, d, "experiments").where(F.coalesce("revealed_at", F.lit("")) != "").select("experiment_id").distinct()
+    t = _trials(spark, d).join(shown, "experiment_id", "left_semi")
+    t = stats.benjamini_hochberg(t, ["experiment_id"], "p", "trial_id", "experiment_q").withColumnRenamed("bonferroni", "experiment_bonferroni")
+    t = stats.benjamini_hochberg(t, ["campaign_id"], "p", "trial_id", "campaign_q").withColumnRenamed("bonferroni", "campaign_bonferroni")
+    return t.select("campaign_id", "experiment_id", "trial_id", "campaign_q", "campaign_bonferroni", "experiment_q", "experiment_bonferroni")
 
 
 @query(sql(f""", pv AS (SELECT series_id, pos, high, low, min(low) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS left_low, min(low) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS right_low,
@@ -949,13 +995,13 @@ def w10_pivot_events(spark, d):
     return events.pivots(placed_bars(spark, d), 5, 3)
 
 
-def _pivot_sql(source: str, name: str) -> str:
+def _pivot_sql(source: str, name: str, left: int = 5, right: int = 3) -> str:
     """Pivot events of each (series_id, k) of ``source``; k tells apart the copies that end at a cutoff."""
     w = "PARTITION BY series_id, k ORDER BY ts ROWS BETWEEN"
-    return f"""{name}_w AS (SELECT series_id, k, low, high, lead(ts, 3) OVER (PARTITION BY series_id, k ORDER BY ts) + step_ns AS event_ns, count(*) OVER ({w} 5 PRECEDING AND 1 PRECEDING) AS nl,
-  min(low) OVER ({w} 5 PRECEDING AND 1 PRECEDING) AS left_low, min(low) OVER ({w} CURRENT ROW AND 3 FOLLOWING) AS right_low, max(high) OVER ({w} 5 PRECEDING AND 1 PRECEDING) AS left_high, max(high) OVER ({w} CURRENT ROW AND 3 FOLLOWING) AS right_high FROM {source}),
+    return f"""{name}_w AS (SELECT series_id, k, low, high, lead(ts, {right}) OVER (PARTITION BY series_id, k ORDER BY ts) + step_ns AS event_ns, count(*) OVER ({w} {left} PRECEDING AND 1 PRECEDING) AS nl,
+  min(low) OVER ({w} {left} PRECEDING AND 1 PRECEDING) AS left_low, min(low) OVER ({w} CURRENT ROW AND {right} FOLLOWING) AS right_low, max(high) OVER ({w} {left} PRECEDING AND 1 PRECEDING) AS left_high, max(high) OVER ({w} CURRENT ROW AND {right} FOLLOWING) AS right_high FROM {source}),
 {name} AS (SELECT series_id, k, event_ns, CASE WHEN low < left_low AND low <= right_low THEN 1 ELSE -1 END AS direction FROM {name}_w
-  WHERE nl = 5 AND event_ns IS NOT NULL AND ((low < left_low AND low <= right_low) <> (high > left_high AND high >= right_high)))"""
+  WHERE nl = {left} AND event_ns IS NOT NULL AND ((low < left_low AND low <= right_low) <> (high > left_high AND high >= right_high)))"""
 
 
 @query(sql(f""", all_b AS (SELECT *, -1 AS k FROM cb), {_pivot_sql('all_b', 'pf')},
@@ -971,6 +1017,90 @@ def ud4_causality_check(spark, d):
     return c.select("series_id", "n_cutoffs", (F.col("n_cut") + F.col("n_changed")).alias("n_cut"))
 
 
+# pivots as raw events, then the rules in their order
+_GENERATED = f""", all_b AS (SELECT *, -1 AS k FROM cb), {_pivot_sql('all_b', 'pf')},
+g1 AS (SELECT pf.series_id, pf.event_ns, min(direction) AS direction, any_value(cb.step_ns) AS step_ns, any_value(tz) AS tz, any_value(rth_to) AS rth_to FROM pf JOIN cb ON pf.series_id = cb.series_id AND pf.event_ns - cb.step_ns = cb.ts
+  WHERE epoch(make_timestamptz(cb.ts // 1000) AT TIME ZONE tz - (make_timestamptz(cb.ts // 1000) AT TIME ZONE tz)::DATE) // 60 BETWEEN rth_from AND rth_to - 1 GROUP BY 1, 2 HAVING count(DISTINCT direction) = 1),
+g2 AS (SELECT series_id, unnest(kept) AS event_ns FROM (
+  SELECT series_id, list_reduce(ts, lambda acc, x: CASE WHEN len(acc) = 0 OR x[1] >= acc[-1] + gap THEN list_append(acc, x[1]) ELSE acc END, []::BIGINT[]) AS kept
+  FROM (SELECT series_id, list([event_ns] ORDER BY event_ns) AS ts, any_value(step_ns) * 10 AS gap FROM g1 GROUP BY 1))),
+ge AS (SELECT series_id, event_ns, direction FROM g1 JOIN g2 USING (series_id, event_ns) WHERE event_ns + step_ns <= epoch_us(((make_timestamptz(event_ns // 1000) AT TIME ZONE tz)::DATE + to_minutes(rth_to)) AT TIME ZONE tz) * 1000)
+"""
+
+
+def _generated(b, left=5, right=3):
+    dims = b.groupBy("series_id").agg(*(F.first(c).alias(c) for c in ("step_ns", "tz", "rth_from", "rth_to")))
+    return events.generate(events.pivots(b, left, right), b, dims, F.col("step_ns") * 10)
+
+
+@query(sql(_GENERATED + "SELECT * FROM ge"))
+def ud7_generate_events(spark, d):
+    """The whole pipeline from a plugin's raw events to a study's."""
+    return _generated(placed_bars(spark, d))
+
+
+STUDY_LADDER = ["PIVOT", "PIVOT_LONG", "PIVOT_LONG_MORNING"]
+
+
+@query(sql(_GENERATED + """, gl AS (SELECT ge.*, epoch(l - l::DATE) // 60 < 720 AS morning FROM (SELECT ge.*, make_timestamptz(event_ns // 1000) AT TIME ZONE tz AS l FROM ge JOIN dim USING (series_id)) ge)
+SELECT step_no, step, series_id, count(*) AS n FROM (SELECT 0 AS step_no, 'PIVOT' AS step, series_id FROM gl UNION ALL SELECT 1, 'PIVOT_LONG', series_id FROM gl WHERE direction = 1 UNION ALL SELECT 2, 'PIVOT_LONG_MORNING', series_id FROM gl WHERE direction = 1 AND morning) GROUP BY ALL"""))
+def ud2_ladder_events(spark, d):
+    """A ladder of nested steps under the contract of ladder plugins."""
+    b = placed_bars(spark, d)
+    e = stored(_generated(b).join(b.groupBy("series_id").agg(F.first("tz").alias("tz")), "series_id").withColumn("minute", local_minute("event_ns")))
+    up = e.where("direction = 1")
+    sets = dict(zip(STUDY_LADDER, (e, up, up.where("minute < 720"))))
+    return events.ladder(sets, STUDY_LADDER, up.where("minute < 720")).groupBy("step_no", "step", "series_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql(", " + ", ".join(["all_b AS (SELECT *, -1 AS k FROM cb)", *(_pivot_sql("all_b", f"p{i}", x["left"], x["right"]) for i, (_, _, x) in enumerate([("", 1.0, {"left": 5, "right": 3}), *events.probes({"left": 5, "right": 3})]))]) + " " + " UNION ALL ".join(
+    f"SELECT '{name}' AS parameter, {m}::DOUBLE AS multiplier, count(*) AS n_events, count(b.event_ns) AS n_shared FROM p{i} a LEFT JOIN p0 b ON a.series_id = b.series_id AND a.event_ns = b.event_ns AND a.direction = b.direction" for i, (name, m, _) in enumerate([("base", 1.0, {}), *events.probes({"left": 5, "right": 3})]))))
+def ag21_parameter_probes(spark, d):
+    """The plugin at parameters a quarter off: how many events it gives and how many it shares with the base."""
+    b = placed_bars(spark, d)
+    base = {"left": 5, "right": 3}
+    cols = ["series_id", "event_ns", "direction"]
+    own = events.pivots(b, **base).select(*cols, F.lit(True).alias("shared"))
+    out = None
+    for name, m, params in [("base", 1.0, base), *events.probes(base)]:
+        r = events.pivots(b, **params).join(own, cols, "left").agg(F.count(F.lit(1)).alias("n_events"), F.count("shared").alias("n_shared")).select(F.lit(name).alias("parameter"), F.lit(m).alias("multiplier"), "n_events", "n_shared")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query(sql("SELECT event_id, b.ts + b.step_ns AS delayed_ns FROM ev JOIN cb b ON ev.series_id = b.series_id AND b.pos = pos_t + 3"))
+def jn11_delay_shift(spark, d):
+    b = placed_bars(spark, d)
+    return events.delayed(located(spark, d, b), b, 3).select("event_id", "delayed_ns")
+
+
+# a plugin that claims to know its outcome after one bar
+@query(TARGET_BASE + """SELECT event_id, target_name, event_ns + step_ns AS target_end_ns, target_end_ns AS declared_end_ns, greatest(event_ns + step_ns, target_end_ns) AS effective_target_end_ns FROM tg JOIN el USING (event_id)""")
+def tg6_effective_ends(spark, d):
+    b = placed_bars(spark, d)
+    e = eligible(spark, d, b)
+    t = targets.primary_targets(e, b).join(e.select("event_id", "event_ns", "step_ns"), "event_id").withColumn("target_end_ns", F.col("event_ns") + F.col("step_ns"))
+    return targets.effective_ends(t, targets.declared_ends(e, b)).select("event_id", "target_name", "target_end_ns", "declared_end_ns", "effective_target_end_ns")
+
+
+_PQ = {"mfe": "mfe", "abs_mae": "-mae"}
+
+
+@query(PATH_BASE + """, st AS (SELECT px.*, step_no, step FROM px, (SELECT unnest([0, 1, 2]) AS step_no, unnest(['ALL', 'LONG', 'LONG_MORNING']) AS step) JOIN dim ON true
+  WHERE dim.series_id = (SELECT series_id FROM ce WHERE ce.event_id = px.event_id) AND (step_no = 0 OR direction = 1) AND (step_no < 2 OR epoch((make_timestamptz(event_ns // 1000) AT TIME ZONE tz) - (make_timestamptz(event_ns // 1000) AT TIME ZONE tz)::DATE) // 60 < 720)),
+lw AS (SELECT count(DISTINCT strftime(make_timestamptz(ts // 1000) AT TIME ZONE tz, '%G-W%V')) AS n_weeks FROM cb),
+lp AS (SELECT step_no, step, h, count(*) AS n, avg((direction * (close_h - p0) > 0)::INT) AS continuation, """ + ", ".join(f"quantile_cont({e}, {q}) AS {n}_p{round(q * 100)}" for n, e in _PQ.items() for q in (0.5, 0.75, 0.95)) + """ FROM st WHERE elig AND sigma IS NOT NULL GROUP BY ALL),
+lz AS (SELECT lp.*, n / n_weeks AS per_week FROM lp, lw)
+SELECT a.step_no, a.step, a.h, a.n, """ + ", ".join(f"round(a.{c}, 10) + 0.0 AS {c}" for c in ("continuation", "mfe_p50", "mfe_p75", "mfe_p95", "abs_mae_p50", "abs_mae_p75", "abs_mae_p95", "per_week")) + ", " + ", ".join(f"round(a.{c} - b.{c}, 10) + 0.0 AS d_{c}" for c in ("per_week", "continuation", "mfe_p50", "abs_mae_p50")) + """
+FROM lz a LEFT JOIN lz b ON a.h = b.h AND b.step_no = a.step_no - 1""", digits=6)
+def pd11_ladder_paths(spark, d):
+    p = _paths(spark, d).join(located(spark, d).select("event_id", "tz"), "event_id").withColumn("minute", local_minute("event_ns"))
+    long = F.col("direction") == 1
+    step = lambda i, name: F.struct(F.lit(i).alias("step_no"), F.lit(name).alias("step"))
+    p = p.select("*", F.inline(F.array_compact(F.array(step(0, "ALL"), F.when(long, step(1, "LONG")), F.when(long & (F.col("minute") < 720), step(2, "LONG_MORNING"))))))
+    return pathstats.ladder_paths(p, stats.weeks_with_bars(bars_of(spark, d)).where("year is null").select("n_weeks"))
+
+
 @query()
 def m5_importances(spark, d):
     """Importances and coefficients of the three models, per study, target and fold: fits, so no SQL."""
@@ -991,6 +1121,24 @@ def cv12_holdout(spark, d):
     return _selected(crossval.score_panel(rows, BY, "score", min_train=1))
 
 
+@query(CELL_BASE + PANEL_BASE[len(BASE):] + f""", hr AS (SELECT *, CASE WHEN event_ns < a AND end_ns < a THEN 'train' WHEN event_ns >= a AND end_ns <= z THEN 'val' END AS role FROM ro, (SELECT epoch_us(TIMESTAMP '{HOLDOUT[0]}') * 1000 AS a, epoch_us(TIMESTAMP '{HOLDOUT[1]}') * 1000 AS z)),
+ht AS (SELECT {_BY}, quantile_cont(score, 0.5) AS threshold FROM hr WHERE role = 'train' GROUP BY ALL),
+hm AS (SELECT study || '|ALL' AS context, event_id FROM me WHERE event_ns >= epoch_us(TIMESTAMP '{HOLDOUT[0]}') * 1000 AND event_ns < epoch_us(TIMESTAMP '{HOLDOUT[1]}') * 1000
+  UNION ALL SELECT study || '|' || target || '|' || model, event_id FROM hr JOIN ht USING ({_BY}) WHERE role = 'val' AND score > threshold),
+h6 AS (SELECT context, avg((direction * (close_h - p0) > 0)::INT) AS continuation, avg((direction * (close_h - p0) < 0)::INT) AS reversal, quantile_cont(mfe, 0.5) AS median_mfe, quantile_cont(-mae, 0.5) AS median_abs_mae FROM hm JOIN px USING (event_id) WHERE h = 60 AND elig GROUP BY 1),
+hc AS (SELECT context, count(*) FILTER (WHERE m > 0) AS positive_cells, count(*) AS cells FROM (SELECT context, expiry, stop_sigma, target_sigma, avg(pnl) AS m FROM hm JOIN cl USING (event_id) GROUP BY ALL) GROUP BY 1),
+hn AS (SELECT context, count(*) AS n_events FROM hm JOIN pa USING (event_id) GROUP BY 1)
+SELECT context, n_events, round(continuation, 10) + 0.0 AS continuation, round(reversal, 10) + 0.0 AS reversal, round(median_mfe, 10) + 0.0 AS median_mfe, round(median_abs_mae, 10) + 0.0 AS median_abs_mae, positive_cells, cells FROM hn LEFT JOIN h6 USING (context) LEFT JOIN hc USING (context)""", digits=6)
+def pd12_holdout_digest(spark, d):
+    """Paths of the holdout's events: all of each study, and those that each score selects."""
+    b = placed_bars(spark, d)
+    e = _study_events(spark, d, b)
+    p = crossval.score_panel(crossval.holdout_rows(_score_rows(e, b), *_HOLDOUT_NS), BY, "score", min_train=1).where("state = 'UPPER_HALF'")
+    inside = e.where((F.col("event_ns") >= _HOLDOUT_NS[0]) & (F.col("event_ns") < _HOLDOUT_NS[1]))
+    m = inside.select(F.concat_ws("|", "study", F.lit("ALL")).alias("context"), "event_id").unionByName(p.select(F.concat_ws("|", *BY).alias("context"), "event_id"))
+    return pathstats.digest(_paths(spark, d).join(m, "event_id"), ["context"])
+
+
 def _selected(p):
     sel = F.when(F.col("state") == "UPPER_HALF", F.col("y"))
     return p.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"), F.count(sel).alias("n_selected"), F.avg(sel).alias("selected_effect"), (F.avg(sel) - F.avg("y")).alias("uplift"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,18 +52,19 @@ def write_panel(df: DataFrame, path: str) -> None:
     df.repartition("target", "model").write.mode("overwrite").partitionBy("target", "model").parquet(path)
 
 
+def read_panel(spark: SparkSession, path: str, target: str | None = None, model: str | None = None) -> DataFrame:
+    """A panel as ``write_panel`` laid it out; a named target or model reads its own folders only."""
+    p = spark.read.parquet(path)
+    for c, v in (("target", target), ("model", model)):
+        p = p if v is None else p.where(F.col(c) == v)
+    return p
+
+
 def read_timestamps(spark: SparkSession, path: str, column: str) -> DataFrame:
     """One column of stamps of a CSV export, as UTC instants."""
     return spark.read.option("header", True).csv(path).select(F.to_timestamp(column).alias("event_time")).where("event_time is not null")
 
 
-@dataclass(frozen=True)
-class Zone:
-    """Columns that say how a series lives in time; see ``zoned``."""
-
-    day: str = "local_day"
-
-
 def zones(instruments: DataFrame) -> DataFrame:
     """Instruments with sessions as minutes and the bar interval in ns, one row per symbol."""
     m = lambda c: (F.split(c, ":")[0].cast("long") * 60 + F.split(c, ":")[1].cast("long"))

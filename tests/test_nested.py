@@ -115,3 +115,14 @@ def test_registry_tables(spark):
     assert tell(nested.registry_table(df, "verification", "entry.checks"), "entry_key", "checks_no", "checks_family") == [("B|X", 0, "f"), ("B|X", 1, "g")]
     bars = nested.registry_table(df, "verification", "entry.checks.findings.where.bars")
     assert tell(bars, "checks_no", "findings_no", "checks_findings_where_fold", "bars_no", "checks_findings_where_bars_bar") == [(0, 0, "2", 0, "7"), (0, 0, "2", 1, "9")]
+
+
+def test_encoded_root_in_columns_as_in_tables(spark):
+    """A document whose ``groups`` is the JSON text of an object comes out of the columns as well."""
+    import json
+
+    doc = json.dumps({"status": "x", "groups": json.dumps({"A|UP": {"verdict": "OK", "probes": []}})})
+    df = spark.createDataFrame([("e", doc)], "k string, j string")
+    flat = nested.flat_table(df, "k", "j", nested.SENSITIVITY, "entry", under="groups").collect()
+    cols = nested.shredded(df, "k", "j", nested.SENSITIVITY, under="groups").where("path = 'entry.verdict'").collect()
+    assert [r.entry_verdict for r in flat] == [r.value for r in cols] == ["OK"]

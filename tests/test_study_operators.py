@@ -429,3 +429,50 @@ def test_plugin_sources():
     bad = "import os\nfrom random import choice\nx = 5\ny = b.shift(-1)\ny = b.shift(periods=-n)\nz = b.bfill()\nw = b.rolling(n, center=True)\nv = b.fillna(method='bfill')\nopen('f')\n"
     assert [p.split(":")[0] for p in problems(bad)] == ["1", "2", "3", "4", "5", "6", "7", "8", "9"]
     assert problems("def (") != []
+
+
+def test_specifications(tmp_path):
+    import json
+
+    from causalbars.sources import spec
+
+    frame = spec.Frame("NQ", "1min", 570, 960, 1)
+    good = {
+        "experiment_id": "E", "campaign_id": "C", "hypothesis": "a pivot is followed by a move", "instrument": "NQ", "data_interval": "1min",
+        "partitions": {"development_end": "2019-01-01", "selection_holdout_end": "2020-01-01", "lockbox_start": "2020-01-01"},
+        "eligible_session": {"start": "09:31", "end": "16:00"}, "direction_definition": {"rule": "pivot", "values": [1]},
+        "event_condition": {"description": "a pivot", "parameters_used": ["left"]}, "deduplication_rule": "first_per_timestamp", "cooldown": {"bars": 5},
+        "base_parameters": {"left": 5, "right": 3}, "sensitivity_parameters": ["left"], "expected_information_time": {"rule": "at the bar", "confirmation_delay_bars": "right"},
+        "filter_ladder": ["BASE_TRIGGER", "FINAL_EVENT"],
+    }
+    (tmp_path / "s.json").write_text(json.dumps(good))
+    assert spec.checked(spec.load(str(tmp_path / "s.json")), frame, experiment_id="E") == good
+    bad = {
+        "hypothesis": "TODO", "instrument": "ES", "data_interval": "5min", "partitions": {"development_end": "2019-01-01", "selection_holdout_end": "2019-07-01", "lockbox_start": "2019-07-01"},
+        "eligible_session": {"start": "09:30", "end": "16:00"}, "direction_definition": {"rule": "x", "values": [1, -1]}, "event_condition": {"description": "x", "parameters_used": ["up"]}, "deduplication_rule": "any",
+        "cooldown": {"bars": True}, "base_parameters": {"left": float("nan")}, "sensitivity_parameters": ["up"], "expected_information_time": {"rule": "x", "confirmation_delay_bars": -1}, "filter_ladder": ["FINAL_EVENT"],
+    }
+    for part, value in bad.items():
+        assert part in {p.split(":")[0] for p in spec.problems(good | {part: value}, frame)}, part
+    assert len(spec.problems({}, frame)) == len(spec.KEYS) and spec.problems(good, frame, campaign_id="D")
+    with pytest.raises(spec.SpecError):
+        spec.checked(good | bad, frame)
+
+
+def test_ladders_probes_and_panels(spark, tmp_path):
+    a = spark.createDataFrame([("s", 1, 1), ("s", 2, -1)], "series_id string, event_ns long, direction int")
+    b = a.where("direction = 1")
+    assert events.ladder({"A": a, "B": b}, ["A", "B"], b).count() == 3
+    for steps, declared, final in (({"B": b, "A": a}, ["A", "B"], b), ({"A": a, "B": b}, ["A", "B"], a), ({"A": a}, ["A", "B"], a)):
+        with pytest.raises(events.LadderError):
+            events.ladder(steps, declared, final)
+    assert events.probes({"n": 5, "x": 2.0, "one": 1}) == [("n", 0.75, {"n": 4, "x": 2.0, "one": 1}), ("n", 1.25, {"n": 6, "x": 2.0, "one": 1}), ("x", 0.75, {"n": 5, "x": 1.5, "one": 1}), ("x", 1.25, {"n": 5, "x": 2.5, "one": 1})]
+    t = events.trial_product(spark).select(F.lit("E").alias("e"), *(F.split("trial_id", r"\\|")[i].alias(n) for i, n in enumerate(("target", "model", "half"))))
+    assert tuple(events.trial_sets(t, "e").first()) == ("E", 24, 0, 0, 0)
+    odd = t.where("model <> 'XGB'").unionByName(t.limit(1)).unionByName(t.limit(1).withColumn("target", F.lit("X")))
+    assert tuple(events.trial_sets(odd, "e").first()) == ("E", 17, 8, 1, 1)
+    p = spark.createDataFrame([("A", "M", 1), ("B", "M", 2), ("B", "N", 3)], "target string, model string, x int")
+    bar_source.write_panel(p, f"{tmp_path}/p")
+    assert [r.x for r in bar_source.read_panel(spark, f"{tmp_path}/p", "B", "N").collect()] == [3] and bar_source.read_panel(spark, f"{tmp_path}/p").count() == 3
+    texts = spark.createDataFrame([("the best bracket is",), ("a bracket",), (None,)], "text string")
+    assert [r.phrases for r in pathstats.forbidden_phrases(texts, "text").collect()] == [["BEST BRACKET"]]
