@@ -42,7 +42,7 @@ class Repeated:
 def _leaf_text(v: object) -> str | None:
     if v is None or isinstance(v, str):
         return v
-    return json.dumps(v, ensure_ascii=False)
+    return json.dumps(v, ensure_ascii=False, separators=(",", ":"))
 
 
 def leaf_paths(node: Repeated, above: str = "", level: int = 1) -> list[tuple[str, str, int]]:

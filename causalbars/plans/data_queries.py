@@ -192,4 +192,56 @@ FROM s2 WHERE json_type(y) = 'OBJECT'
 UNION SELECT experiment_id, doc_kind, entry_key, item_no, -1, x ->> '$.family' FROM s1 WHERE doc_kind = 'verification' AND len(a) = 0
 """
 
-ORACLE_SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_paths": P2_PATHS_SQL, "p2_descendants": P2_DESCENDANTS_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+
+def _table_sql(kind: str, *levels: str) -> str:
+    """A flat table of one of the documents, by unnesting its arrays one after the other."""
+    root = nested.SENSITIVITY if kind == "sensitivity" else nested.VERIFICATION
+    bare = f"WHEN json_type(v) = 'VARCHAR' AND left(ltrim(v ->> '$'), 1) NOT IN ('{{', '[') THEN v ->> '$'"
+    cols = [f"CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.{x.name}' {bare if x.name == root.bare else ''} END AS {x.name}" for x in root.leaves]
+    sql = P4_SQL[: P4_SQL.index("e3 AS (")] + f"""
+t0 AS (SELECT experiment_id, entry_key, v, {', '.join(cols)} FROM (
+  SELECT experiment_id, entry_key, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v ->> '$') THEN (v ->> '$')::JSON ELSE v END AS v FROM e2
+  WHERE doc_kind = '{kind}' AND NOT (doc_kind = 'sensitivity' AND entry_key IN ('status', 'groups'))))"""
+    node, path = root, ""
+    for i, name in enumerate(levels, 1):
+        node = next(c for c in node.repeated if c.name == name)
+        path += f"{name}_"
+        arr = f"CASE json_type(v -> '$.{name}') WHEN 'ARRAY' THEN from_json(v -> '$.{name}', '[\"JSON\"]') WHEN 'OBJECT' THEN [v -> '$.{name}'] END"
+        leaf = lambda x: f"CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.{x}' ELSE v ->> '$' END" if x == node.bare else f"v ->> '$.{x}'"  # noqa: B023, E731
+        cols = ", ".join(f"{leaf(x.name)} AS {path}{x.name}" for x in node.leaves)
+        there = "true" if node.bare else "json_type(v) = 'OBJECT'"
+        sql += f""", u{i} AS (SELECT * EXCLUDE (v, a), unnest(a) AS v, generate_subscripts(a, 1) - 1 AS {name}_no FROM (SELECT *, {arr} AS a FROM t{i - 1} WHERE json_type(v) = 'OBJECT')),
+t{i} AS (SELECT *, {cols} FROM u{i} WHERE {there})"""
+    return f"{sql} SELECT DISTINCT * EXCLUDE (v) FROM t{len(levels)}"
+
+
+P4_TABLES = {
+    "p4_entries": f"SELECT *, 'sensitivity' AS doc_kind FROM ({_table_sql('sensitivity')}) UNION ALL BY NAME SELECT *, 'verification' AS doc_kind FROM ({_table_sql('verification')})",
+    "p4_probes": _table_sql("sensitivity", "probes"),
+    "p4_models": _table_sql("sensitivity", "probes", "models"),
+    "p4_by_year": _table_sql("sensitivity", "probes", "models", "by_year"),
+    "p4_checks": _table_sql("verification", "checks"),
+    "p4_findings": _table_sql("verification", "checks", "findings"),
+    "p4_bars": _table_sql("verification", "checks", "findings", "where", "bars"),
+}
+
+P5_GRID_SQL = P5_SQL[: P5_SQL.index("r AS (")] + """
+r AS (
+  SELECT series_id, index_ns, close, volume, received_at, bar_id, tz, step, o, c, (make_timestamptz(index_ns // 1000) AT TIME ZONE tz)::DATE AS day
+  FROM bars JOIN z USING (symbol) WHERE close IS NOT NULL AND index_ns IS NOT NULL),
+s AS (SELECT *, epoch_us((day + to_minutes(o)) AT TIME ZONE tz) AS a, epoch_us((day + to_minutes(c)) AT TIME ZONE tz) AS e FROM r),
+l AS (SELECT *, (index_ns - a * 1000) // (step * 1000) AS slot FROM s WHERE index_ns >= a * 1000 AND index_ns < e * 1000
+  QUALIFY row_number() OVER (PARTITION BY series_id, a, index_ns ORDER BY received_at DESC NULLS LAST, bar_id DESC) = 1),
+t AS (SELECT series_id, a, e, step, slot, max_by(close, index_ns) AS close, sum(volume) AS volume, count(*) AS n FROM l GROUP BY ALL),
+g AS (SELECT series_id, a, step, unnest(range(((e - a + step - 1) // step)::BIGINT)) AS slot FROM (SELECT DISTINCT series_id, a, e, step FROM t)),
+w AS (SELECT g.*, t.close, t.volume, t.n,
+  last_value(CASE WHEN n > 0 THEN g.slot END IGNORE NULLS) OVER before AS s0, last_value(t.close IGNORE NULLS) OVER before AS c0,
+  first_value(CASE WHEN n > 0 THEN g.slot END IGNORE NULLS) OVER after AS s1, first_value(t.close IGNORE NULLS) OVER after AS c1
+  FROM g LEFT JOIN t USING (series_id, a, slot)
+  WINDOW before AS (PARTITION BY g.series_id, g.a ORDER BY g.slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (PARTITION BY g.series_id, g.a ORDER BY g.slot ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+m AS (SELECT *, CASE WHEN n > 0 THEN 'reading' WHEN s0 IS NULL THEN 'before' WHEN s1 IS NULL THEN 'after' WHEN s1 - s0 - 1 <= 3 THEN 'filled' ELSE 'gap' END AS state FROM w)
+SELECT series_id, (a + slot * step) * 1000 AS slot_ns, CASE state WHEN 'reading' THEN close WHEN 'filled' THEN c0 + (c1 - c0) * (slot - s0) / (s1 - s0) END AS close,
+  CASE state WHEN 'reading' THEN volume WHEN 'filled' THEN 0.0::DOUBLE END AS volume, coalesce(n, 0) AS n_readings, state FROM m
+"""
+
+ORACLE_SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_paths": P2_PATHS_SQL, "p2_descendants": P2_DESCENDANTS_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_grid": P5_GRID_SQL} | P4_TABLES

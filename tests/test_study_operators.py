@@ -467,7 +467,7 @@ def test_ladders_probes_and_panels(spark, tmp_path):
         with pytest.raises(events.LadderError):
             events.ladder(steps, declared, final)
     assert events.probes({"n": 5, "x": 2.0, "one": 1}) == [("n", 0.75, {"n": 4, "x": 2.0, "one": 1}), ("n", 1.25, {"n": 6, "x": 2.0, "one": 1}), ("x", 0.75, {"n": 5, "x": 1.5, "one": 1}), ("x", 1.25, {"n": 5, "x": 2.5, "one": 1})]
-    t = events.trial_product(spark).select(F.lit("E").alias("e"), *(F.split("trial_id", r"\\|")[i].alias(n) for i, n in enumerate(("target", "model", "half"))))
+    t = events.trial_product(spark).select(F.lit("E").alias("e"), *(F.split("trial_id", r"\|")[i].alias(n) for i, n in enumerate(("target", "model", "half"))))
     assert tuple(events.trial_sets(t, "e").first()) == ("E", 24, 0, 0, 0)
     odd = t.where("model <> 'XGB'").unionByName(t.limit(1)).unionByName(t.limit(1).withColumn("target", F.lit("X")))
     assert tuple(events.trial_sets(odd, "e").first()) == ("E", 17, 8, 1, 1)
