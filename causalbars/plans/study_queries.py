@@ -597,7 +597,7 @@ def _bank(spark, d):
 def cv6_model_panels(spark, d):
     """Walk-forward of all three models on the whole bank over all primary targets: fits, so no SQL."""
     e, bank, rows = _bank(spark, d)
-    return crossval.walk_forward(bank, crossval.fold_rows(rows, _folds(e), ["study"]), ["study"], features.NAMES, min_train=FIT_TRAIN)
+    return crossval.walk_forward(bank, crossval.fold_rows(rows, _folds(e), ["study"]), ["study"], features.NAMES, min_train=FIT_TRAIN, targets=events.TARGETS)
 
 
 SPLIT_BASE = PANEL_BASE + f""", sp AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS split, a, b FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b) WHERE a < b),
@@ -647,7 +647,7 @@ def cv9_group_uplift(spark, d):
 def cv9_model_splits(spark, d):
     """The combinatorial splits of all three models on the whole bank: fits, so no SQL."""
     e, bank, rows = _bank(spark, d)
-    p = crossval.walk_forward(bank, crossval.split_rows(rows, _blocks(e), ["study"]), ["study"], features.NAMES, min_train=FIT_TRAIN, part="split", test="test")
+    p = crossval.walk_forward(bank, crossval.split_rows(rows, _blocks(e), ["study"]), ["study"], features.NAMES, min_train=FIT_TRAIN, targets=events.TARGETS, part="split", test="test")
     return crossval.split_results(p, BY)
 
 
@@ -1105,7 +1105,7 @@ def pd11_ladder_paths(spark, d):
 def m5_importances(spark, d):
     """Importances and coefficients of the three models, per study, target and fold: fits, so no SQL."""
     e, bank, rows = _bank(spark, d)
-    return crossval.importances(bank, crossval.fold_rows(rows, _folds(e), ["study"]), ["study"], features.NAMES, min_train=FIT_TRAIN)
+    return crossval.importances(bank, crossval.fold_rows(rows, _folds(e), ["study"]), ["study"], features.NAMES, min_train=FIT_TRAIN, targets=events.TARGETS)
 
 
 HOLDOUT = ("2019-01-01", "2020-01-01")
@@ -1148,7 +1148,7 @@ def _selected(p):
 def cv12_model_holdout(spark, d):
     """All three models fitted before the holdout and read on it: fits, so no SQL."""
     _, bank, rows = _bank(spark, d)
-    return _selected(crossval.walk_forward(bank, crossval.holdout_rows(rows, *_HOLDOUT_NS), ["study"], features.NAMES, min_train=FIT_TRAIN))
+    return _selected(crossval.walk_forward(bank, crossval.holdout_rows(rows, *_HOLDOUT_NS), ["study"], features.NAMES, min_train=FIT_TRAIN, targets=events.TARGETS))
 
 
 @query(PANEL_BASE + """, cu AS (SELECT ro.study, target, model, symbol AS config, block, avg(y) FILTER (WHERE score > 0.5) - avg(y) AS u FROM ro JOIN bl ON ro.study = bl.study AND (lo IS NULL OR event_ns >= lo) AND (hi IS NULL OR event_ns < hi) GROUP BY ALL),
