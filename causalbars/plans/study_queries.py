@@ -823,7 +823,10 @@ def f18_feature_bank(spark, d):
 _NAMES = ", ".join(f'"{n}"' for n in features.NAMES)
 
 
-@query(f"SELECT feature, count(*) FILTER (WHERE x IS NULL) AS n_bad FROM (SELECT {_NAMES} FROM ({_bank_sql()}) WHERE completed_bars >= {features.MIN_HISTORY}) UNPIVOT INCLUDE NULLS (x FOR feature IN ({_NAMES})) GROUP BY 1")
+_BAD = ", ".join(f'count(*) FILTER (WHERE "{n}" IS NULL AND completed_bars >= {features.MIN_HISTORY}) AS "{n}"' for n in features.NAMES)
+
+
+@query(f"UNPIVOT (SELECT {_BAD} FROM ({_bank_sql()})) ON {_NAMES} INTO NAME feature VALUE n_bad")
 def flt11_feature_quality(spark, d):
     return features.quality(_bank_features(spark, d)[1])
 
