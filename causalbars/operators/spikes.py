@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalbars.runtime import clean_double, cut
+from causalbars.runtime import clean_double, cut, stored
 
 STATES = ("normal", "spike", "stuck", "range")
 #: chance of each state after each state; normal readings go wrong rarely, stuck ones stay stuck
@@ -288,7 +288,7 @@ def implausible(
     across = across.where("x is not null").select("series_id", F.lit("move").alias("kind"), F.array("x").alias("xs"))
     mid = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("x")))
     usual = medians(summary.where("kind in ('move', 'volume')").select("series_id", "kind", "xs").unionByName(across)).groupBy("series_id").agg(mid("move").alias("move"), mid("volume").alias("vol"))
-    blocks = summary.where("kind = 'block'").select("series_id", "block", F.col("x").cast("int").alias("has"))
+    blocks = stored(summary.where("kind = 'block'").select("series_id", "block", F.col("x").cast("int").alias("has")))  # a row a block
     # the blocks nearest to each that have a kind of reading, by their number among those
     near = blocks.select("series_id", "block", F.posexplode(F.array(*(F.col("has").bitwiseAND(1 << i) > 0 for i in range(len(KINDS))))).alias("of", "there"))
     upto = Window.partitionBy("series_id", "of").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -299,7 +299,7 @@ def implausible(
     for kind, first in (("tail", F.col("no") - NEAR_BLOCKS), ("head", F.col("no") + F.col("there").cast("long"))):
         want = near.select("series_id", F.col("block").alias("_target"), F.col("of").alias("_of"), F.explode(F.sequence(first, first + NEAR_BLOCKS - 1)).alias("_no"))
         b = want.join(holds, null_eq(F.col("series_id"), F.col("_s")) & (F.col("_of") == F.col("of")) & (F.col("_no") == F.col("no")))
-        b = b.select(F.col("series_id").alias("_s"), "_target", "_from").distinct()
+        b = stored(b.select(F.col("series_id").alias("_s"), "_target", "_from").distinct())
         e = summary.where(F.col("kind") == kind)
         sides.append(e.join(b, null_eq(F.col("series_id"), F.col("_s")) & (F.col("block") == F.col("_from"))).select("series_id", F.col("_target").alias("block"), "kind", *cols))
     u = usual.select(F.col("series_id").alias("_s"), "move", "vol")
