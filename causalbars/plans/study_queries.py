@@ -990,14 +990,6 @@ def rg4_campaign_recompute(spark, d):
     return t.select("campaign_id", "experiment_id", "trial_id", "campaign_q", "campaign_bonferroni", "experiment_q", "experiment_bonferroni")
 
 
-@query(sql(f""", pv AS (SELECT series_id, pos, high, low, min(low) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS left_low, min(low) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS right_low,
-  count(*) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS nr, max(high) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS left_high, max(high) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS right_high FROM cb)
-SELECT a.series_id, b.ts + b.step_ns AS event_ns, CASE WHEN a.low < left_low AND a.low <= right_low THEN 1 ELSE -1 END::INT AS direction FROM pv a JOIN cb b ON a.series_id = b.series_id AND b.pos = a.pos + 3
-WHERE a.pos >= 5 AND nr = 4 AND ((a.low < left_low AND a.low <= right_low) <> (a.high > left_high AND a.high >= right_high))"""))
-def w10_pivot_events(spark, d):
-    return events.pivots(placed_bars(spark, d), 5, 3)
-
-
 def _pivot_sql(source: str, name: str, left: int = 5, right: int = 3) -> str:
     """Pivot events of each (series_id, k) of ``source``; k tells apart the copies that end at a cutoff."""
     w = "PARTITION BY series_id, k ORDER BY ts ROWS BETWEEN"
@@ -1007,6 +999,11 @@ def _pivot_sql(source: str, name: str, left: int = 5, right: int = 3) -> str:
   WHERE nl = {left} AND event_ns IS NOT NULL AND ((low < left_low AND low <= right_low) <> (high > left_high AND high >= right_high)))"""
 
 
+@query(sql(f""", all_b AS (SELECT *, -1 AS k FROM cb), {_pivot_sql('all_b', 'pf')} SELECT series_id, event_ns, direction::INT AS direction FROM pf"""))
+def w10_pivot_events(spark, d):
+    return events.pivots(placed_bars(spark, d), 5, 3)
+
+
 @query(sql(f""", all_b AS (SELECT *, -1 AS k FROM cb), {_pivot_sql('all_b', 'pf')},
 pt AS (SELECT series_id, event_ns, row_number() OVER (PARTITION BY series_id ORDER BY event_ns) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM (SELECT DISTINCT series_id, event_ns FROM pf)),
 ct AS (SELECT series_id, i AS k, event_ns AS cutoff FROM pt WHERE i IN (SELECT floor(j * (pt.n - 1) / 7)::BIGINT FROM (SELECT unnest(range(8)) AS j))),
