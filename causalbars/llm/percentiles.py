@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalbars.runtime import cut
+from causalbars.runtime import cut, stored
 
 BLOCK = 65_536
 BUFFER = 1_000_000  # values a task holds while it builds blocks
@@ -78,7 +78,7 @@ def select_ranks(held: DataFrame, keys: list[str], qs: list[float], eps: float =
     sized = held.groupBy(*g).agg(F.sum(F.element_at("cum", -1)).alias("n"))
     qarr = F.array(*(F.lit(float(q)) for q in qs))
     # open range (lo, hi); below: values at or under lo; active: values in the range; pivot NULL: none yet
-    state = cut(
+    state = stored(
         sized.withColumn("q", F.explode(qarr))
         .withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("long"))
         .withColumn("t", F.xxhash64(*g, "q"))
@@ -105,7 +105,7 @@ def select_ranks(held: DataFrame, keys: list[str], qs: list[float], eps: float =
         down = has & ~first & (F.col("k") <= F.col("below") + F.col("lt"))
         hit = has & ~first & ~down & (F.col("k") <= F.col("below") + F.col("lt") + F.col("eq"))
         up = has & ~first & ~down & ~hit
-        state = cut(
+        state = stored(
             j.select(
                 *g, "q", "n", "k", "t",
                 F.when(up, F.col("pivot")).otherwise(F.col("lo")).alias("lo"),
