@@ -222,8 +222,10 @@ def merge(summaries: DataFrame, keys: list[str], eps: float) -> DataFrame:
 
 
 def path_values(paths: DataFrame) -> DataFrame:
-    """Long form ``symbol, h, event_day, field, value`` of the eligible path rows, each (event_id, h) once."""
-    one = paths.where("elig").select("event_id", "symbol", "h", "event_day", "mfe_pts", "mae_pts", "t_mfe").dropDuplicates(["event_id", "h"])
+    """Long form ``symbol, h, event_day, field, value`` of the eligible path rows, each (event_id, h) once.
+
+    Of copies that differ the largest values count; the symbol and day of an event are its own."""
+    one = paths.where("elig").groupBy("event_id", "h", "symbol", "event_day").agg(*(F.max(c).alias(c) for c in ("mfe_pts", "mae_pts", "t_mfe")))  # fixed widths: no sort
     return one.select(
         "symbol", "h", "event_day", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in ("mfe_pts", "mae_pts", "t_mfe"))))
     ).where("value is not null")
