@@ -589,7 +589,7 @@ def _bank(spark, d):
     b = stored(positions.with_positions(bar_source.clean_bars(table(spark, d, "bars"), table(spark, d, "instruments"), by_day=True)))  # cleaned once; read by events, targets and features
     e = _study_events(spark, d, b)
     f = features.compute_features(e, b, features.NAMES, keep=("study", "event_ns"))
-    return e, f.where(" and ".join(f"`{n}` is not null" for n in features.NAMES)), _outcomes(e, b)
+    return e, f.where(" and ".join(f"`{n}` is not null" for n in features.NAMES)), stored(_outcomes(e, b))  # so that the shuffles of targets and features do not lie there together
 
 
 @query()

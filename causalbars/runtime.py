@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: int | str = 8, app: str = "causalbars", **conf: str) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -56,18 +60,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read from there, for loops of joins.
 
     A checkpoint keeps the size estimated for its plan; over rounds of joins of a frame with itself that estimate
     squares each time, until the driver only multiplies its digits. A table has the size it has, so that small
-    frames are broadcast as well. The files go with the application (``deleteOnExit``)."""
+    frames are broadcast as well. The files go with the application (``deleteOnExit``), the shuffles behind them at once."""
     spark = df.sparkSession
     home = f"{shared_dir(spark)}/causalbars-{spark.sparkContext.applicationId}"
     root = spark._jvm.org.apache.hadoop.fs.Path(home)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
     path = f"{home}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _dropping_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

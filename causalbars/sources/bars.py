@@ -93,7 +93,7 @@ def clean_bars(bars: DataFrame, instruments: DataFrame, by_day: bool = False) ->
     )
     keys = ["series_id", "ts"]
     if by_day:
-        ok = ok.withColumn("day", F.expr(f"ts div {DAY_NS}L")).repartition("series_id", "day")
+        ok = ok.withColumn("day", F.expr(f"ts div {DAY_NS}L")).where("day is not null").repartition("series_id", "day")  # said here, else a join on the day adds it to one of two equal shuffles
         keys = ["series_id", "day", "ts"]
     one = ok.groupBy(*keys).agg(F.max_by(F.struct("symbol", *OHLCV), F.struct("received_at", "bar_id")).alias("x")).select(*keys, "x.*")
     return one.join(zones(instruments), "symbol")
