@@ -1,11 +1,14 @@
 """What a query leaves on disk while it goes on."""
 
 import re
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from causalbars import runtime
 from causalbars.operators import positions
+from causalbars.plans import study_queries
 from causalbars.sources import bars as bar_source
 
 
@@ -27,3 +30,13 @@ def test_bars_are_shuffled_once_for_their_positions(spark, data):
     filters = [line.split("Filter ")[1] for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter " in line and "isnan(open" in line]
     plain = {re.sub(r"#\d+L?", "", x) for x in filters}
     assert len(filters) == 2 and len(plain) == 1  # else one shuffle can't stand for both
+
+
+def test_outcomes_of_fits_are_stored_before_the_features(spark):
+    d = "/root/testdata/sf0.01"  # the smallest tables with series as long as the bank's history
+    if not Path(d).exists():
+        pytest.skip("no test tables here")
+    _, bank, rows = study_queries._bank(spark, d)
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text(rows) and "Aggregate" not in text(rows) and "FlatMapCoGroups" in text(bank)
+    assert rows.count() == rows.select("event_id", "target").distinct().count() > 0
