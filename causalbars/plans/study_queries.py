@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from causalbars.functions.clock import local_day, local_minute, utc_year, week_key
 from causalbars.operators import crossval, events, features, graphs, nested, pathstats, positions, stats, targets
 from causalbars.plans.data_queries import P4_SQL
-from causalbars.runtime import stored, table
+from causalbars.runtime import file_bytes, stored, table
 from causalbars.sources import bars as bar_source
 from causalbars.sources import registry
 from causalbars.streaming import resample
@@ -584,19 +585,47 @@ def cv5_score_panel(spark, d):
     return _panel(spark, d).select(*BY, "event_id", "event_ns", "fold", "score", "threshold", "state", "y")
 
 
+SLICE_BYTES = 128 << 20  # of bars, whose series are shuffled together for targets and features
+MOST_SLICES = 8
+
+
+def _bank_pieces(spark, d):
+    """The study's events, the whole feature bank over slices of the series, the outcomes, and the stored tables behind them.
+
+    Outcomes are stored slice by slice, as the bank's pieces should be, so that the shuffles of one do not lie there with those of another."""
+    raw = table(spark, d, "bars")
+    n = min(MOST_SLICES, max(1, -(-file_bytes(raw) // SLICE_BYTES)))
+    own = F.pmod(F.xxhash64("series_id"), F.lit(n)).cast("int")
+    b = positions.with_positions(bar_source.clean_bars(raw, table(spark, d, "instruments"), by_day=True))
+    b = stored(b.withColumn("slice", own), "slice", codec="zstd")  # cleaned once; read by events, targets and features
+    e = _study_events(spark, d, b)
+    slices = [(e.where(own == i), b.where(F.col("slice") == i)) for i in range(n)]
+    outcomes = [stored(_outcomes(*s)) for s in slices]
+    whole = " and ".join(f"`{n}` is not null" for n in features.NAMES)
+    pieces = [features.compute_features(*s, features.NAMES, keep=("study", "event_ns")).where(whole) for s in slices]
+    return e, pieces, reduce(DataFrame.unionByName, outcomes), [b, e, *outcomes]
+
+
 def _bank(spark, d):
     """The study's events with the whole feature bank, and their outcomes: one row an event, one an outcome."""
-    b = stored(positions.with_positions(bar_source.clean_bars(table(spark, d, "bars"), table(spark, d, "instruments"), by_day=True)))  # cleaned once; read by events, targets and features
-    e = _study_events(spark, d, b)
-    f = features.compute_features(e, b, features.NAMES, keep=("study", "event_ns"))
-    return e, f.where(" and ".join(f"`{n}` is not null" for n in features.NAMES)), stored(_outcomes(e, b))  # so that the shuffles of targets and features do not lie there together
+    e, pieces, rows, _ = _bank_pieces(spark, d)
+    return e, reduce(DataFrame.unionByName, pieces), rows
+
+
+def _fitted(spark, d, fit, parts, **more):
+    """``fit`` (walk_forward or importances) of all models on the whole bank; ``parts`` gives the outcomes their role in each part."""
+    e, pieces, rows, spent = _bank_pieces(spark, d)
+    return fit(reduce(DataFrame.unionByName, pieces), parts(rows, e), ["study"], features.NAMES, min_train=FIT_TRAIN, targets=events.TARGETS, pieces=pieces, spent=spent, **more)
+
+
+def _in_folds(rows, e):
+    return crossval.fold_rows(rows, _folds(e), ["study"])
 
 
 @query()
 def cv6_model_panels(spark, d):
     """Walk-forward of all three models on the whole bank over all primary targets: fits, so no SQL."""
-    e, bank, rows = _bank(spark, d)
-    return crossval.walk_forward(bank, crossval.fold_rows(rows, _folds(e), ["study"]), ["study"], features.NAMES, min_train=FIT_TRAIN, targets=events.TARGETS)
+    return _fitted(spark, d, crossval.walk_forward, _in_folds)
 
 
 SPLIT_BASE = PANEL_BASE + f""", sp AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS split, a, b FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b) WHERE a < b),
@@ -645,8 +674,7 @@ def cv9_group_uplift(spark, d):
 @query()
 def cv9_model_splits(spark, d):
     """The combinatorial splits of all three models on the whole bank: fits, so no SQL."""
-    e, bank, rows = _bank(spark, d)
-    p = crossval.walk_forward(bank, crossval.split_rows(rows, _blocks(e), ["study"]), ["study"], features.NAMES, min_train=FIT_TRAIN, targets=events.TARGETS, part="split", test="test")
+    p = _fitted(spark, d, crossval.walk_forward, lambda rows, e: crossval.split_rows(rows, _blocks(e), ["study"]), part="split", test="test")
     return crossval.split_results(p, BY)
 
 
@@ -858,8 +886,8 @@ def ag15_family_importance(spark, d):
 
 @query()
 def ag15_sign_stability(spark, d):
-    """How often a linear coefficient has the sign that it has in the first fold."""
-    return stats.sign_stability(m5_importances(spark, d), ["study", "target"])
+    """How often a linear coefficient has the sign that it has in the first fold; the other models have no coefficients and are not fitted."""
+    return stats.sign_stability(_fitted(spark, d, crossval.importances, _in_folds, names=("RIDGE",)), ["study", "target"])
 
 
 LADDER_STEPS = ("ALL", "SCORE_ABOVE_HALF", "SCORE_ABOVE_HALF_LONG")
@@ -1103,8 +1131,7 @@ def pd11_ladder_paths(spark, d):
 @query()
 def m5_importances(spark, d):
     """Importances and coefficients of the three models, per study, target and fold: fits, so no SQL."""
-    e, bank, rows = _bank(spark, d)
-    return crossval.importances(bank, crossval.fold_rows(rows, _folds(e), ["study"]), ["study"], features.NAMES, min_train=FIT_TRAIN, targets=events.TARGETS)
+    return _fitted(spark, d, crossval.importances, _in_folds)
 
 
 HOLDOUT = ("2019-01-01", "2020-01-01")
@@ -1146,8 +1173,7 @@ def _selected(p):
 @query()
 def cv12_model_holdout(spark, d):
     """All three models fitted before the holdout and read on it: fits, so no SQL."""
-    _, bank, rows = _bank(spark, d)
-    return _selected(crossval.walk_forward(bank, crossval.holdout_rows(rows, *_HOLDOUT_NS), ["study"], features.NAMES, min_train=FIT_TRAIN, targets=events.TARGETS))
+    return _selected(_fitted(spark, d, crossval.walk_forward, lambda rows, _: crossval.holdout_rows(rows, *_HOLDOUT_NS)))
 
 
 @query(PANEL_BASE + """, cu AS (SELECT ro.study, target, model, symbol AS config, block, avg(y) FILTER (WHERE score > 0.5) - avg(y) AS u FROM ro JOIN bl ON ro.study = bl.study AND (lo IS NULL OR event_ns >= lo) AND (hi IS NULL OR event_ns < hi) GROUP BY ALL),

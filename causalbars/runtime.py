@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,22 +75,41 @@ def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(DROP_SHUFFLES, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/causalbars-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, *by: str, codec: str = "snappy") -> DataFrame:
     """``df`` written as a table in the shared folder and read from there, for loops of joins.
 
     A checkpoint keeps the size estimated for its plan; over rounds of joins of a frame with itself that estimate
     squares each time, until the driver only multiplies its digits. A table has the size it has, so that small
-    frames are broadcast as well. The files go with the application (``deleteOnExit``), the shuffles behind them at once."""
+    frames are broadcast as well. The files go with the application (``deleteOnExit``), the shuffles behind them at once.
+    ``by``: columns with a folder for each of their values, for tables that are read by these."""
     spark = df.sparkSession
-    home = f"{shared_dir(spark)}/causalbars-{spark.sparkContext.applicationId}"
+    home = _home(spark)
     root = spark._jvm.org.apache.hadoop.fs.Path(home)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
     path = f"{home}/{uuid.uuid4().hex}"
     with _dropping_shuffles(spark):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path, partitionBy=list(by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(*frames: DataFrame) -> None:
+    """Deletes the stored tables that the frames read: nothing may read them, or what rests on them, any more."""
+    for spark in {df.sparkSession for df in frames}:
+        table_of = re.compile(rf"(.*/{re.escape(_home(spark).rsplit('/', 1)[1])}/[0-9a-f]{{32}})/")
+        for path in {m[1] for df in frames if df.sparkSession is spark for f in df.inputFiles() if (m := table_of.match(f))}:
+            root = spark._jvm.org.apache.hadoop.fs.Path(path)
+            root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table just read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """One parquet table of a data directory; TIMESTAMP_NTZ columns are read as UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
